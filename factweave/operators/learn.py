@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..facts import FactBase, union_all
 from ..plans.atom_counts import atom_counts, counts_for_atoms
 from ..plans.counting import EXACT, clause_counts
-from ..plans.signatures import SIG, signatures
+from ..plans.signatures import signatures
+from ..plans.storage import cut
 from ..rules import Clause, unit
 
 Weights = dict[str, dict[str, float]]  # problem -> clause_id -> weight
@@ -109,80 +111,115 @@ class Fit:
     converged: bool
 
 
+DAMPINGS = (1.0, 1e-2, 0.0)  # multiples of the current damping tried in one job
+
+
+def _assemble(rows, ids: dict[str, list[str]], inv_var: float, mean: float, points: dict[str, np.ndarray]):
+    """Penalised value, gradient and Hessian per trial problem from ``pll_moments`` rows."""
+    index = {p: {c: i for i, c in enumerate(cs)} for p, cs in ids.items()}
+    out = {p: [0.0, np.zeros(len(cs)), np.zeros((len(cs), len(cs)))] for p, cs in ids.items()}
+    for r in rows:
+        p, ci, cj, v = r["problem"], r["ci"], r["cj"], r["v"]
+        if ci is None:
+            out[p][0] += v
+        elif cj is None:
+            out[p][1][index[p][ci]] += v
+        else:
+            i, j = index[p][ci], index[p][cj]
+            out[p][2][i, j] += v
+            if i != j:
+                out[p][2][j, i] += v
+    result = {}
+    for p, (raw, g, h) in out.items():
+        d = points[p] - mean
+        result[p] = (raw - 0.5 * inv_var * float(d @ d), raw, g - inv_var * d, h - inv_var * np.eye(len(d)))
+    return result
+
+
 def fit_signatures(
     s: DataFrame,
     start: Weights,
     prior_std: float | None = 100.0,
     prior_mean: float = 0.0,
-    max_iter: int = 50,
+    max_iter: int = 40,
     tol: float = 1e-9,
 ) -> dict[str, Fit]:
     """Maximise PLL minus prior for every problem at once.
 
-    Each iteration is one Spark aggregation over the cached signature table; the driver solves one
-    small Newton system per problem and halves a step that did not improve the objective.
+    Each iteration is one Spark aggregation over the stored signature table.  It evaluates a few
+    damped Newton steps per problem (the objective is concave); the driver keeps the best one and
+    solves the next small linear systems.  Driver state is one weight vector per problem.
     """
-    state = {
-        p: {"ids": sorted(ws), "w": np.array([ws[c] for c in sorted(ws)], float), "best": None, "step": None,
-            "damp": 0.0, "done": False, "it": 0}
-        for p, ws in start.items()
-    }
     inv_var = 0.0 if prior_std is None else 1.0 / prior_std**2
+    ids = {p: sorted(ws) for p, ws in start.items()}
+    best: dict[str, tuple] = {}
+    at = {p: np.array([start[p][c] for c in ids[p]], float) for p in start}
+    damp = dict.fromkeys(start, 1e-3)
+    done: dict[str, bool] = {}
+    rounds = dict.fromkeys(start, 0)
     for _ in range(max_iter):
-        live = {p: st for p, st in state.items() if not st["done"]}
-        if not live:
-            break
-        trial = {
-            p: dict(zip(st["ids"], st["w"] if st["step"] is None else st["w"] + st["step"])) for p, st in live.items()
-        }
-        res: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
-        for p, st in live.items():
-            k = len(st["ids"])
-            res[p] = [0.0, np.zeros(k), np.zeros((k, k))]
-        index = {p: {c: i for i, c in enumerate(st["ids"])} for p, st in live.items()}
-        for r in pll_moments(s.filter(F.col("problem").isin(list(live))), trial).collect():
-            p = r["problem"]
-            if r["ci"] is None:
-                res[p][0] += r["v"]
-            elif r["ci"] in index[p] and r["cj"] is None:
-                res[p][1][index[p][r["ci"]]] += r["v"]
-            elif r["ci"] in index[p] and r["cj"] in index[p]:
-                i, j = index[p][r["ci"]], index[p][r["cj"]]
-                res[p][2][i, j] += r["v"]
-                if i != j:
-                    res[p][2][j, i] += r["v"]
-        for p, st in live.items():
-            v, g, h = res[p]
-            w = st["w"] if st["step"] is None else st["w"] + st["step"]
-            raw = v
-            v = v - 0.5 * inv_var * float(((w - prior_mean) ** 2).sum())
-            g = g - inv_var * (w - prior_mean)
-            h = h - inv_var * np.eye(len(w))
-            st["it"] += 1
-            if st["best"] is not None and v < st["best"] - 1e-12 * abs(st["best"]):
-                st["step"] = st["step"] / 4
-                if np.abs(st["step"]).max() < 1e-12:
-                    st["done"] = True
+        points: dict[str, np.ndarray] = {}
+        owner: dict[str, str] = {}
+        for p in start:
+            if p in done:
                 continue
-            gain = math.inf if st["best"] is None else v - st["best"]
-            st.update(w=w, best=v, pll=raw)
-            if np.abs(g).max(initial=0.0) <= tol * max(1.0, abs(v)) or gain <= tol * 1e-3 * max(1.0, abs(v)):
-                st["done"] = True
+            if p not in best:
+                points[p] = at[p]
+                owner[p] = p
                 continue
-            lam = 1e-10 * max(1.0, float(np.abs(np.diag(h)).max(initial=0.0)))
-            step = np.linalg.lstsq(-h + lam * np.eye(len(w)), g, rcond=None)[0]
-            biggest = float(np.abs(step).max(initial=0.0))
-            st["step"] = step * (5.0 / biggest) if biggest > 5.0 else step
+            _, _, g, h = best[p]
+            scale = np.maximum(-np.diag(h), 1e-12 * max(1.0, float(np.abs(h).max(initial=0.0))))
+            for k, m in enumerate(DAMPINGS):
+                step = np.linalg.lstsq(-h + m * damp[p] * np.diag(scale) + 1e-14 * np.diag(scale), g, rcond=None)[0]
+                step = np.clip(step, -50.0, 50.0)
+                key = f"{p}\x00{k}"
+                points[key] = at[p] + step
+                owner[key] = p
+        if not points:
+            break
+        copies = s.sparkSession.createDataFrame([(owner[k], k) for k in points], "owner string, trial string")
+        trials = s.join(F.broadcast(copies), F.col("problem") == F.col("owner")).select("trial", "sig", "mult")
+        rows = pll_moments(
+            trials.withColumnRenamed("trial", "problem"), {k: dict(zip(ids[owner[k]], x)) for k, x in points.items()}
+        ).collect()
+        found = _assemble(rows, {k: ids[owner[k]] for k in points}, inv_var, prior_mean, points)
+        for p in dict.fromkeys(owner.values()):
+            rounds[p] += 1
+            keys = [k for k in points if owner[k] == p]
+            top = max(keys, key=lambda k: found[k][0] if np.isfinite(found[k][0]) else -math.inf)
+            value = found[top][0]
+            if p not in best:
+                best[p], gain = found[top], math.inf
+            elif value > best[p][0]:
+                gain = value - best[p][0]
+                best[p], at[p] = found[top], points[top]
+                damp[p] = damp[p] * 0.1 if top[-1] != "0" else damp[p] * 0.5
+            else:
+                gain = 0.0
+                damp[p] = max(damp[p], 1e-6) * 100.0
+            size = max(1.0, abs(best[p][0]))
+            flat = float(np.abs(best[p][2]).max(initial=0.0)) <= tol * size
+            if flat or (0.0 < gain <= tol * 1e-2 * size) or damp[p] > 1e12:
+                done[p] = True
     return {
-        p: Fit(dict(zip(st["ids"], map(float, st["w"]))), st["best"], st["pll"], st["it"], st["done"])
-        for p, st in state.items()
+        p: Fit(dict(zip(ids[p], map(float, at[p]))), best[p][0], best[p][1], rounds[p], p in done) for p in start
     }
 
 
+@contextmanager
+def stored(s: DataFrame):
+    """The signature table, materialised once for the iterations: balanced partitions, short lineage."""
+    table = cut(s.hint("rebalance")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield table
+    finally:
+        table.unpersist()
+
+
 def fit_weights(
     clauses: list[Clause],
     fb: FactBase,
-    max_iter: int = 50,
+    max_iter: int = 40,
     tol: float = 1e-9,
     prior_std: float | None = 100.0,
     equal_predicates: bool = False,
@@ -192,11 +229,8 @@ def fit_weights(
     s = signatures({"theory": clauses}, fb, preds)
     if equal_predicates:
         s = scale_by_predicate(s, fb)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_signatures(s, {"theory": {c.clause_id: c.weight for c in clauses}}, prior_std, 0.0, max_iter, tol)["theory"]
-    finally:
-        s.unpersist()
+    with stored(s) as table:
+        return fit_signatures(table, {"theory": {c.clause_id: c.weight for c in clauses}}, prior_std, 0.0, max_iter, tol)["theory"]
 
 
 def score_candidates(
@@ -219,13 +253,10 @@ def score_candidates(
     s = signatures(problems, fb)
     if equal_predicates:
         s = scale_by_predicate(s, fb)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        base_fit = fit_signatures(s, {"@base": {c.clause_id: c.weight for c in base}}, prior_std, 0.0, max_iter, tol)["@base"]
+    with stored(s) as table:
+        base_fit = fit_signatures(table, {"@base": {c.clause_id: c.weight for c in base}}, prior_std, 0.0, max_iter, tol)["@base"]
         start = {c.clause_id: {**base_fit.weights, c.clause_id: c.weight} for c in candidates}
-        fits = fit_signatures(s, start, prior_std, 0.0, max_iter, tol)
-    finally:
-        s.unpersist()
+        fits = fit_signatures(table, start, prior_std, 0.0, max_iter, tol)
     rows = [
         (
             c.clause_id,

@@ -22,6 +22,16 @@ def tiny_facts(seed, folds=1, density=0.5, schema=TINY, domains=DOMAINS):
     return out
 
 
+def mixed_facts(seed, folds=1):
+    """Like tiny_facts, but no predicate is empty or full in any fold."""
+    while True:
+        facts = tiny_facts(seed, folds)
+        counts = {(f, p.name): sum(1 for x in facts if x[:2] == (f, p.name)) for f in range(folds) for p in TINY}
+        if all(0 < n < len(atoms(p)) for (_, p), n in counts.items()):
+            return facts
+        seed += 1000
+
+
 def fact_base(spark, facts, schema=TINY, domains=DOMAINS, folds=1, open_world=(), false=()):
     rows = [(f, p, list(a), "true") for f, p, a in sorted(facts)]
     rows += [(f, p, list(a), "false") for f, p, a in sorted(false)]

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from brute import TINY, atoms, count_diff, fact_base, tiny_facts
+from brute import TINY, atoms, count_diff, fact_base, mixed_facts, tiny_facts
 from factweave.operators.learn import (
     atom_scores, fit_weights, log_odds_weights, pll, pll_gradient, score_candidates, theory_report, unit_theory, unit_weights,
 )
@@ -49,7 +49,7 @@ def test_pll_and_gradient(spark, seed):
 
 
 def test_fit_reaches_zero_gradient_and_closed_form(spark):
-    facts = tiny_facts(31) - {(0, "S", ("A1",))} | {(0, "S", ("A2",))}
+    facts = mixed_facts(31)
     fb = fact_base(spark, facts)
     units = unit_theory(fb)
     fit = fit_weights(units, fb, prior_std=None)
