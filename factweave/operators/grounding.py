@@ -203,14 +203,15 @@ def tie_weights(counts: DataFrame, clause_formula: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(fb: FactBase, preds: list[str] | None = None, max_degree: int | None = None) -> DataFrame:
-    """Pairs of facts sharing a constant: ``fold, pred, args, const, other_pred, other_args``.
+def neighbours(fb: FactBase, atoms: DataFrame) -> DataFrame:
+    """Facts sharing a constant with the given atoms (``fold, pred, args``).
 
-    Atoms with a repeated constant are skipped.  The result lists pairs by definition; aggregate
-    forms (``feature_counts``) never build it.
+    ``fold, pred, args, const, other_pred, other_args``; atoms and facts with a repeated constant are
+    skipped.  One row per shared constant of a pair, so this is for a list of atoms; sizes over all
+    facts come from ``neighbour_counts`` and shapes from ``feature_table``, which list no pairs.
     """
-    sides = _exploded(fb, preds)
-    left = sides.select("fold", "type", "const", "pred", "args")
+    sides = _exploded(fb, None)
+    left = atoms.join(sides, ["fold", "pred", "args"]).select("fold", "type", "const", "pred", "args")
     right = sides.select("fold", "type", "const", F.col("pred").alias("other_pred"), F.col("args").alias("other_args"))
     same = (F.col("pred") == F.col("other_pred")) & (F.col("args") == F.col("other_args"))
     return left.join(right, ["fold", "type", "const"]).filter(~same).select(
@@ -218,6 +219,25 @@ def neighbours(fb: FactBase, preds: list[str] | None = None, max_degree: int | N
     ).dropDuplicates()
 
 
+def neighbour_counts(fb: FactBase) -> DataFrame:
+    """``fold, pred, args, n``: how many other facts share a constant with each fact of one or two arguments.
+
+    Degrees per constant are added up and facts that share both constants are taken off once, so a
+    constant occurring in a third of all facts costs one row.
+    """
+    sides = _exploded(fb, None)
+    degree = sides.groupBy("fold", "type", "const").agg(F.count(F.lit(1)).alias("d"))
+    by_fact = sides.join(degree, ["fold", "type", "const"]).groupBy("fold", "pred", "args").agg(
+        F.sum("d").alias("d"), F.collect_set(F.struct("type", "const")).alias("members"), F.count(F.lit(1)).alias("k")
+    )
+    members = F.array_sort("members")
+    pairs = by_fact.filter("k = 2").groupBy("fold", members.alias("members")).agg(F.count(F.lit(1)).alias("twins"))
+    out = by_fact.withColumn("members", members).join(pairs, ["fold", "members"], "left")
+    # Two constants: each twin (the fact itself included) was counted once per constant.
+    n = F.when(F.col("k") == 2, F.col("d") - F.col("twins") - 1).otherwise(F.col("d") - 1)
+    return out.select("fold", "pred", "args", n.alias("n"))
+
+
 def _exploded(fb: FactBase, preds: list[str] | None) -> DataFrame:
     """One row per fact and argument: ``fold, pred, args, pos, type, const``."""
     parts = []

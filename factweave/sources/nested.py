@@ -32,11 +32,16 @@ def read_fact_json(spark: SparkSession, path) -> DataFrame:
 
 def read_score_logs(spark: SparkSession, path) -> DataFrame:
     """Gains printed by scoring runs: ``template_id, formula_id, with_constants, instance, score``."""
-    log = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.explode(F.split(F.regexp_extract("value", GAIN_SECTION, 1), "\n")).alias("line"),
+    return score_lines(
+        spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     )
-    return log.filter(F.col("line").rlike(GAIN_LINE)).select(
+
+
+def score_lines(logs: DataFrame) -> DataFrame:
+    """Gain lines of whole logs (``file, value``); a file may hold several runs."""
+    sections = logs.select("file", F.explode(F.regexp_extract_all("value", F.lit(GAIN_SECTION), 1)).alias("part"))
+    lines = sections.select("file", F.explode(F.split("part", "\n")).alias("line"))
+    return lines.filter(F.col("line").rlike(GAIN_LINE)).select(
         F.regexp_extract("file", LOG_NAME, 1).alias("template_id"),
         F.regexp_extract("file", LOG_NAME, 2).alias("formula_id"),
         (F.regexp_extract("file", LOG_NAME, 3) != "").alias("with_constants"),

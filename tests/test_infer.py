@@ -128,10 +128,14 @@ def test_match_partial_ground_exists_neighbours(spark):
     assert ex == {a[0] for f, p, a in facts if p == "P"}
     one = {r["a0"] for r in GR.exists(fb, "P", (0,), True).collect()}
     assert one == {x for x in ex if sum(1 for f, p, a in facts if p == "P" and a[0] == x) == 1}
-    nb = GR.neighbours(fb).collect()
+    every = fb.facts.select("fold", "pred", "args")
+    nb = GR.neighbours(fb, every).collect()
     fl = [(p, a) for f, p, a in facts if len(set(a)) == len(a)]
     want = {(p, a, c, q, b) for p, a in fl for q, b in fl if (p, a) != (q, b) for c in set(a) & set(b)}
     assert {(r["pred"], tuple(r["args"]), r["const"], r["other_pred"], tuple(r["other_args"])) for r in nb} == want
+    counts = {(r["pred"], tuple(r["args"])): r["n"] for r in GR.neighbour_counts(fb).collect()}
+    for p, a in fl:
+        assert counts[(p, a)] == sum(1 for q, b in fl if (q, b) != (p, a) and set(a) & set(b))
     paths = GR.paths2(fb, "S", 1).collect()
     want = set()
     for p0, a0 in fl:
