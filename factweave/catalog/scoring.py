@@ -74,7 +74,7 @@ FROM f WHERE with_constants""",
 )
 def q_ranked(spark, sf):
     out = RK.ranked_formulas(ranking(spark, sf), "constants")
-    return out.select("template_id", "with_constants", "formula_id", F.col("rank").cast("bigint").alias("rank"))
+    return out.select("template_id", "with_constants", "formula_id", "rank")
 
 
 @query(

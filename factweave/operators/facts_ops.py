@@ -36,7 +36,7 @@ def clean_facts(facts: DataFrame, rules: DataFrame, max_arity: int = 2) -> DataF
     ``last_two`` (keep the last two of three arguments), ``prefix`` (prepend to arguments 0 and 1) or
     ``quote`` (second argument lower-cased, whatever else is done).  Longer facts are removed.
     """
-    r = F.broadcast(rules.select(F.lower("pred").alias("@p"), "action", "new_pred", "prefix0", "prefix1"))
+    r = rules.select(F.lower("pred").alias("@p"), "action", "new_pred", "prefix0", "prefix1")
     rows = facts.join(r, F.lower("pred") == F.col("@p"), "left").filter(
         F.col("action").isNull() | (F.col("action") != "drop")
     )

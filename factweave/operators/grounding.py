@@ -95,7 +95,7 @@ def partial_ground(rules: DataFrame, atoms: DataFrame) -> DataFrame:
     pairs = F.transform(
         "l.args", lambda t, i: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), F.get("atom_args", i).alias("value"))
     )
-    rows = a.join(F.broadcast(lit), F.col("atom_pred") == F.col("l.pred")).withColumn("p", pairs)
+    rows = a.join(lit, F.col("atom_pred") == F.col("l.pred")).withColumn("p", pairs)
     var_pairs = F.array_distinct(F.filter("p", lambda s: s["kind"] != "const"))
     rows = rows.filter(F.forall("p", lambda s: (s["kind"] != "const") | (s["name"] == s["value"]))).withColumn("vp", var_pairs)
     rows = rows.filter(F.size("vp") == F.size(F.array_distinct(F.transform("vp", lambda s: s["name"]))))
@@ -198,7 +198,7 @@ def tie_weights(counts: DataFrame, clause_formula: DataFrame) -> DataFrame:
     ``clause_formula`` holds ``fold, clause_id, formula_id, divisor``.
     """
     return (
-        counts.join(F.broadcast(clause_formula), ["fold", "clause_id"])
+        counts.join(clause_formula, ["fold", "clause_id"])
         .groupBy("formula_id").agg(F.sum(F.col("value") / F.col("divisor")).alias("value"))
     )
 

@@ -272,7 +272,7 @@ def count_cov_vector(per_sample: DataFrame, v: DataFrame) -> DataFrame:
 
     E[n_i (v.n)] - E[n_i] E[v.n], so the matrix itself is never formed.
     """
-    dots = per_sample.join(F.broadcast(v), "clause_id").groupBy("chain", "step").agg(
+    dots = per_sample.join(v, "clause_id").groupBy("chain", "step").agg(
         F.sum(F.col("n_true") * F.col("v")).alias("dot")
     )
     return per_sample.join(dots, ["chain", "step"]).groupBy("clause_id").agg(

@@ -6,9 +6,10 @@ are grouping keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..facts import union_all
+from ..plans.ordering import ordered_positions
 
 TEMPLATE_KEY = ["template_id", "with_constants"]
 FORMULA_KEY = TEMPLATE_KEY + ["formula_id"]
@@ -58,7 +59,7 @@ def filter_kind(r: DataFrame, kind: str = "all") -> DataFrame:
 
 def rank(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rank of scored rules, best first, equal scores in key order."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), *keys)))
+    return ordered_positions(df, [F.col("score").desc(), *[F.col(k) for k in keys]], "rank")
 
 
 def ranked_formulas(r: DataFrame, kind: str = "all") -> DataFrame:

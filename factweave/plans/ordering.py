@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HASH_BUCKETS = 1024
+from .storage import cut
+
+HASH_BUCKETS = 1 << 14
 
 
 def hashed_positions(df: DataFrame, strata: list[str], key: list[str], seed: int, name: str = "pos") -> DataFrame:
@@ -32,6 +34,24 @@ def hashed_positions(df: DataFrame, strata: list[str], key: list[str], seed: int
     )
 
 
+def ordered_positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """1-based position in a total order over the whole table.
+
+    Rows are range-partitioned and sorted on all order columns together (so ties on the first column
+    still spread), numbered inside partitions, and stored; partition totals, one row per partition,
+    give the offsets.
+    """
+    numbered = cut(df.orderBy(*order).withColumn("@id", F.monotonically_increasing_id()))
+    part = F.shiftright("@id", 33)
+    totals = numbered.groupBy(part.alias("@part")).agg(F.count(F.lit(1)).alias("@n"))
+    offsets = totals.withColumn("@o", F.sum("@n").over(W.orderBy("@part")) - F.col("@n")).drop("@n")
+    inside = F.col("@id") - F.shiftleft(part, 33)
+    return (
+        numbered.withColumn("@part", part).join(F.broadcast(offsets), "@part")
+        .withColumn(name, (F.col("@o") + inside + 1).cast("bigint")).drop("@id", "@part", "@o")
+    )
+
+
 def bucket_of(value: Column, bounds: list[float]) -> Column:
     """Number of bounds below the value, as a balanced tree of comparisons."""
     if not bounds:
@@ -47,7 +67,7 @@ def bucket_of(value: Column, bounds: list[float]) -> Column:
 
 
 def running_totals(
-    df: DataFrame, by: list[str], order: str, values: list[str], descending: bool = True, buckets: int = 64
+    df: DataFrame, by: list[str], order: str, values: list[str], descending: bool = True, buckets: int = 128
 ) -> DataFrame:
     """Cumulative sums of ``values`` over distinct ``order`` values within ``by``: adds ``cum_<value>``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..facts import FactBase, union_all
 from ..rules import Clause
-from .atom_counts import AtomCounts, atom_counts
+from .atom_counts import AtomCounts, atom_counts, counts_for_atoms
 from .counting import EXACT
 
 SIG = "array<struct<clause_id:string,n:double>>"
@@ -264,3 +264,40 @@ def _absent(pred, fb, ac, owners, owner_df, busy, true_total) -> DataFrame:
         union_all(out).groupBy("problem", "fold", "sig").agg(F.sum("c").cast("double").alias("mult"))
         .select("problem", "fold", F.lit(False).alias("truth"), F.col("sig").cast(SIG).alias("sig"), "mult")
     )
+
+
+def sampled_signatures(
+    problems: dict[str, list[Clause]], fb: FactBase, fraction: float, low: int, high: int, seed: int,
+    preds: list[str] | None = None,
+) -> DataFrame:
+    """Signature table from stratified atom samples: each stratum is scaled by total / sampled.
+
+    For theories whose exact table would be too large; sample size is clamp(fraction * N, low, high)
+    for the listed and the absent atoms of every predicate.
+    """
+    from ..operators.facts_ops import sample_atoms
+
+    parts = []
+    for pred in preds or [p.name for p in fb.schema]:
+        cols = [f"a{i}" for i in range(fb.schema[pred].arity)]
+        key = ["fold"] + cols
+        sample = sample_atoms(fb, pred, fraction, low, high, seed)
+        rules = {c.clause_id: c for cs in problems.values() for c in cs if any(l.pred == pred for l in c.literals)}
+        everyone = sample.withColumn("problem", F.explode(F.array(*[F.lit(p) for p in sorted(problems)])))
+        owners = [(c.clause_id, name) for name, cs in problems.items() for c in cs if c.clause_id in rules]
+        if not rules:
+            sig = everyone.withColumn("sig", F.array().cast(SIG))
+        else:
+            counts = counts_for_atoms(atom_counts(list(rules.values()), pred, fb), sample)
+            owner_df = F.broadcast(_local(fb, owners, "clause_id string, problem string"))
+            entry = F.struct(F.col("clause_id"), F.col("n").cast("double").alias("n"))
+            per_atom = counts.join(owner_df, "clause_id").groupBy("problem", *key).agg(
+                F.array_sort(F.collect_list(entry)).cast(SIG).alias("sig")
+            )
+            sig = everyone.join(per_atom, ["problem"] + key, "left").withColumn(
+                "sig", F.coalesce("sig", F.array().cast(SIG))
+            )
+        parts.append(
+            sig.groupBy("problem", "fold", F.lit(pred).alias("pred"), "truth", "sig").agg(F.sum("scale").alias("mult"))
+        )
+    return union_all(parts)

@@ -95,3 +95,29 @@ def test_computed_predicates(spark):
     nums = set(ages)
     want = sum((m + 1) in nums for m in ages)
     assert int(clause_counts([c], fb).first()["n_false"]) == want
+
+
+def test_cycles_with_hub_values_split_off(spark, monkeypatch):
+    from factweave.plans import counting
+
+    monkeypatch.setattr(counting, "DIRECT_PAIRS", 0.0)
+    facts = tiny_facts(9, folds=2, density=0.6)
+    fb = fact_base(spark, facts, folds=2)
+    rules = [clause(c) for c in ["!Q(x,y) v !Q(y,z) v !Q(x,z)", "!Q(x,y) v !Q(y,z) v Q(x,z)", "!P(x,y) v !R(y,z) v !P(x,z)"]]
+    got = {(r["fold"], r["clause_id"]): int(r["n_false"]) for r in clause_counts(rules, fb).collect()}
+    for c in rules:
+        for f in (0, 1):
+            assert got[(f, c.clause_id)] == n_false(c, facts, f)
+
+
+def test_registered_predicate(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.functions.computed import register_predicate
+
+    register_predicate("sameEnding", lambda a, b: F.substring(a, -1, 1) == F.substring(b, -1, 1))
+    facts = tiny_facts(10)
+    fb = fact_base(spark, facts)
+    c = clause("!P(x,y) v sameEnding(x,y)")
+    want = sum(p == "P" and a[0][-1] != a[1][-1] for _, p, a in facts)
+    assert int(clause_counts([c], fb).first()["n_false"]) == want

@@ -93,3 +93,15 @@ def test_atom_scores_and_reports(spark):
         assert r["log_lik"] == pytest.approx(t * math.log(sig) + (n - t) * math.log(1 - sig), abs=1e-9)
         if 0 < t < n:
             assert lo[c.clause_id] == pytest.approx(math.log(t / (n - t)) - math.log(2 ** len(c.literals) - 1), abs=1e-9)
+
+
+def test_full_sample_equals_exact_signatures(spark):
+    from factweave.plans.signatures import sampled_signatures
+
+    facts = mixed_facts(55)
+    fb = fact_base(spark, facts)
+    w = {"t": {c.clause_id: c.weight for c in THEORY}}
+    s = sampled_signatures({"t": THEORY}, fb, 1.0, -1, -1, 3)
+    assert pll(s, w).first()["pll"] == pytest.approx(brute_pll(THEORY, facts, 1), abs=1e-9)
+    few = sampled_signatures({"t": THEORY[:1]}, fb, 0.0, 1, 2, 3).groupBy("pred").agg({"mult": "sum"}).toDF("pred", "m")
+    assert {r["pred"]: r["m"] for r in few.collect()} == {p.name: float(len(atoms(p.name))) for p in TINY}
