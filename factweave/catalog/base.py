@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.local import small_table
 from . import dbl, n, query, views
 from ..facts import FactBase, union_all
 from ..operators import facts_ops as FO, grounding as GR
@@ -245,7 +246,7 @@ def q_clean(spark, sf):
         T.facts_from_table(customers, "segment", ["c_custkey"], ("C",))
         .unionByName(view_fact_base(spark, sf, ["Did", "DocSource", "Priority"]).facts)
     )
-    rules = spark.createDataFrame(
+    rules = small_table(spark,
         [("segment", "rename_value", "Isa", None, None), ("Priority", "drop", None, None, None),
          ("Did", "prefix", None, "Word", None), ("DocSource", "quote", None, None, None)],
         "pred string, action string, new_pred string, prefix0 string, prefix1 string",

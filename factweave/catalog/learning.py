@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.local import small_table
 from . import dbl, n, query, r6, views
 from .base import GOOD_SQL, MAIN, MAIN_RULES, good_docs
 from ..facts import FactBase, union_all
@@ -111,7 +112,7 @@ UNION ALL SELECT 'Supplies(x0,x1)', round(ln(count(*) / ({n('supplier')} * {n('p
 def q_fit_units(spark, sf):
     fb = view_fact_base(spark, sf, list(MAIN))
     fit = L.fit_weights(L.unit_theory(fb), fb, prior_std=None, tol=1e-12)
-    return spark.createDataFrame(list(fit.weights.items()), "clause_id string, weight double").select("clause_id", r6("weight", 4))
+    return small_table(spark, list(fit.weights.items()), "clause_id string, weight double").select("clause_id", r6("weight", 4))
 
 
 @query("candidate_gains")
@@ -331,7 +332,7 @@ def q_moments(spark, sf):
 SELECT clause_id, round(avg(n_true * dot) - avg(n_true) * avg(dot), 2) AS value FROM p JOIN d USING (chain, step) GROUP BY clause_id""",
 )
 def q_cov(spark, sf):
-    v = spark.createDataFrame([("R", 0.5), ("A", 1.5), ("N", 1.5)], "clause_id string, v double")
+    v = small_table(spark, [("R", 0.5), ("A", 1.5), ("N", 1.5)], "clause_id string, v double")
     return I.count_cov_vector(quantity_samples(spark, sf), v).select("clause_id", r6("value", 2))
 
 

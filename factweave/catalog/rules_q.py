@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.local import small_table
 from . import dbl, n, query, r6, views
 from .learning import DOC_QUERY_SQL, DOC_RULES, NATIONS, SAME, doc_network
 from .base import good_docs
@@ -227,7 +228,7 @@ def q_cliques(spark, sf):
 def q_greedy(spark, sf):
     fb = view_fact_base(spark, sf, list(NATIONS))
     t = SE.greedy_by_gain([clause(SAME)], fb, penalty=0.0, min_weight=0.0, prior_std=2.0)
-    return spark.createDataFrame([(c.clause_id, c.weight) for c in t.clauses], "clause_id string, weight double")
+    return small_table(spark, [(c.clause_id, c.weight) for c in t.clauses], "clause_id string, weight double")
 
 
 @query("pruned_theory")
@@ -236,7 +237,7 @@ def q_prune(spark, sf):
     from ..operators.learn import unit_theory
 
     t = SE.prune(unit_theory(fb) + [clause(SAME)], fb, penalty=10.0, prior_std=2.0)
-    return spark.createDataFrame([(c.clause_id,) for c in t.clauses], "clause_id string")
+    return small_table(spark, [(c.clause_id,) for c in t.clauses], "clause_id string")
 
 
 @query("conditional_weights")
@@ -245,7 +246,7 @@ def q_conditional(spark, sf):
     docs = fb.constants_of("doc").select("fold", F.lit("Good").alias("pred"), F.array("const").alias("args"))
     w = CO.fit_conditional(DOC_RULES[2:], FactBase(fb.schema, fb.facts), docs, iterations=2, eta=1.0,
                            scale_by_counts=True, chains=4, burn=1, steps=2, prior_std=None)
-    return spark.createDataFrame(list(w.items()), "clause_id string, weight double")
+    return small_table(spark, list(w.items()), "clause_id string, weight double")
 
 
 @query(

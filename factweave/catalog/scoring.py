@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.local import small_table
 from . import dbl, n, query, r6, views
 from ..facts import union_all
 from ..operators import cliques as CL, evaluate as EV, features as FE, grounding as GR, ranking as RK
@@ -333,7 +334,7 @@ def q_chi2(spark, sf):
 def q_blankets(spark, sf):
     t = doc_features(spark, sf).persist()
     mb = FE.markov_blanket(t, ["english", "long", "good", "toxic"])
-    return spark.createDataFrame([(f, sorted(b)) for f, b in mb.items()], "feature string, blanket array<string>")
+    return small_table(spark, [(f, sorted(b)) for f, b in mb.items()], "feature string, blanket array<string>")
 
 
 # ---- evaluation: document length as a score for label quality ----

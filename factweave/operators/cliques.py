@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.counting import EXACT, Atom, clause_counts, count_bindings, pairwise_equalities, subsets
 from ..plans.patterns import bit, part_clause, pattern_classes, pattern_counts, split_id, split_pattern_counts, splits
@@ -23,7 +24,7 @@ def _class_table(clauses: list[Clause], fb: FactBase) -> DataFrame:
         for m, (rep, size) in pattern_classes(c.literals).items():
             if m == rep:
                 rows.append((c.clause_id, m, size))
-    return fb.spark.createDataFrame(rows, "clause_id string, mask int, mult int")
+    return small_table(fb.spark, rows, "clause_id string, mask int, mult int")
 
 
 def _normalise(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,13 +59,13 @@ def decomposition_parts(clauses: list[Clause], fb: FactBase, start: float = 1.0,
                 }
                 link.append((c.clause_id, sid, m, classes[1][sub[1]][0], classes[2][sub[2]][0]))
     spark = fb.spark
-    reps = spark.createDataFrame(part_rows, "clause_id string, split int, part int, mask int, m int")
+    reps = small_table(spark, part_rows, "clause_id string, split int, part int, mask int, m int")
     part = _normalise(
         _pool(split_pattern_counts(clauses, fb, distinct), ["clause_id", "split", "part", "mask"], start)
         .join(F.broadcast(reps), ["clause_id", "split", "part", "mask"]),
         ["clause_id", "split", "part"],
     )
-    links = spark.createDataFrame(link, "clause_id string, split int, mask int, s1 int, s2 int")
+    links = small_table(spark, link, "clause_id string, split int, mask int, s1 int, s2 int")
 
     def side(k: int) -> DataFrame:
         return part.filter(F.col("part") == k).select(
@@ -111,7 +112,7 @@ def literal_rates(clauses: list[Clause], fb: FactBase) -> DataFrame:
         for c in clauses
         for i, l in enumerate(c.literals)
     ]
-    lits = fb.spark.createDataFrame(rows, "clause_id string, idx int, pred string, possible double")
+    lits = small_table(fb.spark, rows, "clause_id string, idx int, pred string, possible double")
     return lits.join(true, "pred").select("clause_id", "idx", (F.col("t") / F.col("possible")).alias("rate"))
 
 
@@ -121,7 +122,7 @@ def independence_features(clauses: list[Clause], fb: FactBase) -> DataFrame:
     n has the pseudo-count mult / 2^k added; p is its share, q the normalised product of literal
     rates; the contribution is (n log p - n log q) / sum n.
     """
-    k = fb.spark.createDataFrame([(c.clause_id, len(c.literals)) for c in clauses], "clause_id string, k int")
+    k = small_table(fb.spark, [(c.clause_id, len(c.literals)) for c in clauses], "clause_id string, k int")
     cells = (
         _pool(pattern_counts(clauses, fb, distinct=True), ["clause_id", "mask"], 0.0)
         .join(F.broadcast(_class_table(clauses, fb)), ["clause_id", "mask"]).join(F.broadcast(k), "clause_id")
@@ -206,7 +207,7 @@ def split_significance(clauses: list[Clause], fb: FactBase) -> DataFrame:
         F.sum("n_true").cast("double").alias("t"), F.sum("n_total").cast("double").alias("n")
     )
     rate = counts.select("clause_id", (F.col("t") / F.col("n")).alias("rate"))
-    s = fb.spark.createDataFrame(rows, "clause_id string, split int, one string, other string")
+    s = small_table(fb.spark, rows, "clause_id string, split int, one string, other string")
     s = s.join(counts, "clause_id")
     for side in ("one", "other"):
         s = s.join(rate.select(F.col("clause_id").alias(side), F.col("rate").alias(f"r_{side}")), side)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.local import small_table
 from ..facts import FactBase
 from ..plans.storage import cut
 from ..rules import Clause
@@ -13,7 +14,7 @@ from .grounding import ground_network, merge_ground
 
 
 def _reweighted(network: DataFrame, weights: dict[str, float]) -> DataFrame:
-    w = network.sparkSession.createDataFrame(list(weights.items()), "clause_id string, w double")
+    w = small_table(network.sparkSession, list(weights.items()), "clause_id string, w double")
     return network.join(F.broadcast(w), "clause_id").withColumn("weight", F.col("w")).drop("w")
 
 
@@ -66,7 +67,7 @@ def fit_conditional(
             else:
                 beta = max(0.0, float(pre @ (g - previous)) / max(float(previous @ (previous / np.maximum(var, 1e-9))), 1e-12))
                 direction = pre + beta * direction
-            v = fb.spark.createDataFrame([(i, float(d)) for i, d in zip(ids, direction)], "clause_id string, v double")
+            v = small_table(fb.spark, [(i, float(d)) for i, d in zip(ids, direction)], "clause_id string, v double")
             hd = {r["clause_id"]: r["value"] for r in I.count_cov_vector(per, v).collect()}
             curve = float(direction @ np.array([hd.get(i, 0.0) for i in ids]))
             if prior_std is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.counting import EXACT
 from ..plans.ordering import hashed_positions
@@ -98,7 +99,7 @@ def world(fb: FactBase, open_preds=(), closed=(), query=()) -> DataFrame:
     rows = [
         (p.name, (p.name in set(open_preds) | set(query)) and p.name not in set(closed)) for p in fb.schema
     ]
-    return fb.spark.createDataFrame(rows, "pred string, open boolean")
+    return small_table(fb.spark, rows, "pred string, open boolean")
 
 
 def domains(fb: FactBase) -> DataFrame:
@@ -109,7 +110,7 @@ def domains(fb: FactBase) -> DataFrame:
 def predicate_groundings(fb: FactBase) -> DataFrame:
     """``fold, pred, n_possible``: product of the argument domains, computed from the constant table."""
     sizes = domains(fb)
-    args = fb.spark.createDataFrame(
+    args = small_table(fb.spark,
         [(p.name, i, t) for p in fb.schema for i, t in enumerate(p.types)], "pred string, arg_pos int, type string"
     )
     per_arg = sizes.join(F.broadcast(args), "type").groupBy("fold", "pred").agg(

@@ -6,6 +6,7 @@ from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.counting import Atom, count_bindings, pairwise_equalities, subsets
 from ..rules import EQUALS, Clause, Literal, Term
@@ -171,7 +172,7 @@ def chi2_alpha(
     reliable = F.least("n11", "n10", "n01", "n00") > min_cell if min_cell > 0 else F.lit(True)
     per = c.filter(reliable).withColumn("chi2", chi).withColumn("alpha", alpha)
     best = per.groupBy("test").agg(F.max("chi2").alias("chi2"), F.min("alpha").alias("alpha"))
-    ids = t.sparkSession.createDataFrame([(i, x, y) for i, (x, y, _) in enumerate(tests)], "test int, x string, y string")
+    ids = small_table(t.sparkSession, [(i, x, y) for i, (x, y, _) in enumerate(tests)], "test int, x string, y string")
     return ids.join(best, "test", "left").select("test", "x", "y", "chi2", F.coalesce("alpha", F.lit(1.0)).alias("alpha"))
 
 

@@ -15,6 +15,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.counting import EXACT, Atom, signed_terms, subsets, term_counts
 from ..plans.patterns import bit, pattern_counts
@@ -46,7 +47,7 @@ class FieldFeature:
 
 def _value_table(features: list[FieldFeature], fb: FactBase) -> DataFrame:
     rows = [(f.name, m, f.weight * v) for f in features for m, v in f.pattern_values().items()]
-    return fb.spark.createDataFrame(rows, "clause_id string, mask int, value double")
+    return small_table(fb.spark, rows, "clause_id string, mask int, value double")
 
 
 def field_value(features: list[FieldFeature], fb: FactBase) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.local import small_table
 from ..plans.storage import cut
 
 ATOM = ["fold", "atom"]
 
 
 def ground_literals(g: DataFrame) -> DataFrame:
-    """``fold, gid, atom, positive``: one row per ground literal."""
-    return g.select("fold", "gid", F.explode("lits").alias("l")).select("fold", "gid", "l.atom", "l.positive")
+    """``fold, gid, atom, positive, k``: one row per ground literal of a clause with k literals."""
+    return g.select("fold", "gid", F.size("lits").alias("k"), F.explode("lits").alias("l")).select(
+        "fold", "gid", "l.atom", "l.positive", "k"
+    )
 
 
 def atoms_of(g: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def propagate_units(g: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, Dat
         g = cut(nxt.select("fold", "gid", F.col("left").cast("array<struct<atom:string,positive:boolean>>").alias("lits"),
                            "weight", "hard", "frequency"))
     if fixed is None:
-        fixed = g.sparkSession.createDataFrame([], "fold int, atom string, value boolean")
+        fixed = small_table(g.sparkSession, [], "fold int, atom string, value boolean")
     return g, fixed
 
 
@@ -61,27 +64,34 @@ def components(g: DataFrame, max_rounds: int = 60) -> DataFrame:
     Labels move atom -> clause -> atom, so a clause or atom of any size costs one row per literal;
     each round also jumps to the label's own label, which shortens long chains.
     """
-    lits = ground_literals(g).select("fold", "gid", "atom").persist(StorageLevel.MEMORY_AND_DISK)
-    labels = cut(lits.select(*ATOM).distinct().withColumn("component", F.col("atom")))
+    every = cut(ground_literals(g).select("fold", "gid", "atom", F.col("k")).distinct())
+    # Only clauses with several atoms connect anything.
+    lits = every.filter("k > 1").select("fold", "gid", "atom").persist(StorageLevel.MEMORY_AND_DISK)
+    alone = every.select(*ATOM).distinct().join(lits.select(*ATOM).distinct(), ATOM, "left_anti").withColumn(
+        "component", F.col("atom")
+    )
+    if lits.isEmpty():
+        return alone
+    clause_min = lits.groupBy("fold", "gid").agg(F.min("atom").alias("m"))
+    labels = cut(lits.join(clause_min, ["fold", "gid"]).groupBy(*ATOM).agg(F.min("m").alias("component")))
     for _ in range(max_rounds):
-        clause_min = lits.join(labels, ATOM).groupBy("fold", "gid").agg(F.min("component").alias("m"))
-        near = lits.join(clause_min, ["fold", "gid"]).groupBy(*ATOM).agg(F.min("m").alias("m"))
-        stepped = labels.join(near, ATOM).select(
-            *ATOM, F.col("component").alias("old"), F.least("component", "m").alias("component")
+        jump = labels.select("fold", F.col("atom").alias("component"), F.col("component").alias("j"))
+        labels = labels.join(jump, ["fold", "component"]).select(*ATOM, F.col("j").alias("component"))
+        clause_min = lits.join(labels, ATOM).groupBy("fold", "gid").agg(
+            F.min("component").alias("m"), F.max("component").alias("top")
         )
-        jump = stepped.select("fold", F.col("atom").alias("component"), F.col("component").alias("j"))
-        new = cut(
-            stepped.join(jump, ["fold", "component"], "left")
-            .select(*ATOM, "old", F.least("component", F.coalesce("j", "component")).alias("component"))
+        near = lits.join(clause_min, ["fold", "gid"]).groupBy(*ATOM).agg(
+            F.min("m").alias("component"), F.max(F.col("m") != F.col("top")).alias("mixed")
         )
-        changed = new.filter("old <> component").limit(1).count()
-        labels = new.select(*ATOM, "component")
-        if not changed:
+        labels = cut(near)
+        settled = labels.filter("mixed").isEmpty()
+        labels = labels.select(*ATOM, "component")
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     lits.unpersist()
-    return labels
+    return labels.unionByName(alone)
 
 
 def colour(g: DataFrame, seed: int = 0, max_rounds: int = 1000) -> DataFrame:

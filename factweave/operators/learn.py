@@ -10,6 +10,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.atom_counts import atom_counts, counts_for_atoms
 from ..plans.counting import EXACT, clause_counts
@@ -22,7 +23,7 @@ Weights = dict[str, dict[str, float]]  # problem -> clause_id -> weight
 
 def weights_df(spark, weights: Weights) -> DataFrame:
     rows = [(p, {c: float(w) for c, w in ws.items()}) for p, ws in weights.items()]
-    return spark.createDataFrame(rows, "problem string, w map<string,double>")
+    return small_table(spark, rows, "problem string, w map<string,double>")
 
 
 def softplus(x: Column) -> Column:
@@ -41,7 +42,7 @@ def with_log_prob(s: DataFrame, weights: Weights) -> DataFrame:
 def scale_by_predicate(s: DataFrame, fb: FactBase) -> DataFrame:
     """Equal predicate weighting: multiplicities divided by the predicate's possible atoms."""
     rows = [(f, p.name, float(fb.possible(f, p.name))) for f in fb.folds() for p in fb.schema]
-    n = fb.spark.createDataFrame(rows, "fold int, pred string, possible double")
+    n = small_table(fb.spark, rows, "fold int, pred string, possible double")
     return (
         s.join(F.broadcast(n), ["fold", "pred"])
         .withColumn("mult", F.col("mult") / F.col("possible"))
@@ -76,28 +77,14 @@ def pll_moments(s: DataFrame, weights: Weights) -> DataFrame:
 
     ``ci = cj = null`` is the value, ``cj = null`` a gradient entry, otherwise a Hessian entry.
     """
-    none = F.lit(None).cast("string")
-    row = with_log_prob(s, weights)
-    g = F.col("mult") * (F.exp("logp") - 1)
-    h = -F.col("mult") * F.exp("logp") * (1 - F.exp("logp"))
-
-    def entry(ci, cj, v):
-        return F.struct(ci.alias("ci"), cj.alias("cj"), v.alias("v"))
-
-    pairs = F.flatten(
-        F.transform(
-            "sig",
-            lambda a: F.transform(
-                F.filter("sig", lambda b: b["clause_id"] >= a["clause_id"]),
-                lambda b: entry(a["clause_id"], b["clause_id"], F.col("h") * a["n"] * b["n"]),
-            ),
-        )
+    entries = (
+        "concat(array(named_struct('ci', cast(null as string), 'cj', cast(null as string), 'v', mult * logp)),"
+        " transform(sig, a -> named_struct('ci', a.clause_id, 'cj', cast(null as string), 'v', mult * (exp(logp) - 1) * a.n)),"
+        " flatten(transform(sig, a -> transform(filter(sig, b -> b.clause_id >= a.clause_id), b -> named_struct("
+        "'ci', a.clause_id, 'cj', b.clause_id, 'v', -mult * exp(logp) * (1 - exp(logp)) * a.n * b.n)))))"
     )
-    singles = F.transform("sig", lambda a: entry(a["clause_id"], none, F.col("g") * a["n"]))
-    value = F.array(entry(none, none, F.col("mult") * F.col("logp")))
     return (
-        row.withColumns({"g": g, "h": h})
-        .select("problem", F.explode(F.concat(value, singles, pairs)).alias("e"))
+        with_log_prob(s, weights).select("problem", F.explode(F.expr(entries)).alias("e"))
         .groupBy("problem", "e.ci", "e.cj").agg(F.sum("e.v").alias("v"))
     )
 
@@ -177,7 +164,7 @@ def fit_signatures(
                 owner[key] = p
         if not points:
             break
-        copies = s.sparkSession.createDataFrame([(owner[k], k) for k in points], "owner string, trial string")
+        copies = small_table(s.sparkSession, [(owner[k], k) for k in points], "owner string, trial string")
         trials = s.join(F.broadcast(copies), F.col("problem") == F.col("owner")).select("trial", "sig", "mult")
         rows = pll_moments(
             trials.withColumnRenamed("trial", "problem"), {k: dict(zip(ids[owner[k]], x)) for k, x in points.items()}
@@ -230,7 +217,7 @@ def fit_weights(
     if equal_predicates:
         s = scale_by_predicate(s, fb)
     with stored(s) as table:
-        return fit_signatures(table, {"theory": {c.clause_id: c.weight for c in clauses}}, prior_std, 0.0, max_iter, tol)["theory"]
+        return fit_signatures(table, {"theory": start_weights(clauses, fb)}, prior_std, 0.0, max_iter, tol)["theory"]
 
 
 def score_candidates(
@@ -254,9 +241,10 @@ def score_candidates(
     if equal_predicates:
         s = scale_by_predicate(s, fb)
     with stored(s) as table:
-        base_fit = fit_signatures(table, {"@base": {c.clause_id: c.weight for c in base}}, prior_std, 0.0, max_iter, tol)["@base"]
-        start = {c.clause_id: {**base_fit.weights, c.clause_id: c.weight} for c in candidates}
+        begin = start_weights(base, fb)
+        start = {"@base": begin, **{c.clause_id: {**begin, c.clause_id: c.weight} for c in candidates}}
         fits = fit_signatures(table, start, prior_std, 0.0, max_iter, tol)
+    base_fit = fits["@base"]
     rows = [
         (
             c.clause_id,
@@ -267,11 +255,25 @@ def score_candidates(
         )
         for c in candidates
     ]
-    return fb.spark.createDataFrame(
+    return small_table(fb.spark,
         rows, "clause_id string, weight double, base_score double, new_score double, gain double"
     )
 
 
+def start_weights(clauses: list[Clause], fb: FactBase) -> dict[str, float]:
+    """Given weights; unit clauses without one start at their closed form, from per-predicate totals."""
+    out = {}
+    for c in clauses:
+        w = c.weight
+        if w == 0.0 and c.is_unit():
+            pred = c.literals[0].pred
+            t = sum(fb.true_totals().get((f, pred), 0) for f in fb.folds())
+            rest = sum(fb.possible(f, pred) for f in fb.folds()) - t
+            w = math.log((t + 0.5) / (rest + 0.5)) * (1 if c.literals[0].positive else -1)
+        out[c.clause_id] = w
+    return out
+
+
 def unit_theory(fb: FactBase) -> list[Clause]:
     return [unit(p.name, fb.schema) for p in fb.schema]
 
@@ -283,7 +285,7 @@ def unit_weights(fb: FactBase) -> DataFrame:
          for p in fb.schema]
     )
     rows = [(p.name, float(sum(fb.possible(f, p.name) for f in fb.folds()))) for p in fb.schema]
-    n = fb.spark.createDataFrame(rows, "pred string, possible double")
+    n = small_table(fb.spark, rows, "pred string, possible double")
     t, rest = F.col("n_true"), F.col("possible") - F.col("n_true")
     weight = (
         F.when(t == 0, F.lit(float("-inf"))).when(rest == 0, F.lit(float("inf"))).otherwise(F.log(F.try_divide(t, rest)))
@@ -293,7 +295,7 @@ def unit_weights(fb: FactBase) -> DataFrame:
 
 def log_odds_weights(clauses: list[Clause], fb: FactBase) -> DataFrame:
     """Start weights log(true/false) - log(2^k - 1), zero counts replaced by 1e-5, pooled over folds."""
-    k = fb.spark.createDataFrame([(c.clause_id, len(c.literals)) for c in clauses], "clause_id string, k int")
+    k = small_table(fb.spark, [(c.clause_id, len(c.literals)) for c in clauses], "clause_id string, k int")
     sums = clause_counts(clauses, fb).groupBy("clause_id").agg(
         F.sum("n_true").cast("double").alias("t"), F.sum("n_false").cast("double").alias("f")
     )
@@ -320,8 +322,8 @@ def atom_scores(clauses: list[Clause], fb: FactBase, pred: str, atoms: DataFrame
     touching = [c for c in rest if any(l.pred == pred for l in c.literals)]
     if touching:
         counts = counts_for_atoms(atom_counts(touching, pred, fb), atoms)
-        w = F.broadcast(fb.spark.createDataFrame(
-            [(c, float(weights[c])) for c in {c.clause_id for c in touching}], "clause_id string, w double"))
+        w = F.broadcast(small_table(fb.spark,
+        [(c, float(weights[c])) for c in {c.clause_id for c in touching}], "clause_id string, w double"))
         z = counts.join(w, "clause_id").groupBy(*key).agg(F.sum(F.col("n").cast("double") * F.col("w")).alias("z"))
         rows = rows.join(z, key, "left")
     else:
@@ -336,7 +338,7 @@ def atom_scores(clauses: list[Clause], fb: FactBase, pred: str, atoms: DataFrame
 
 def theory_report(clauses: list[Clause], fb: FactBase) -> DataFrame:
     """Per clause: counts, weight * true count, and t*log s(w) + f*log(1 - s(w)), pooled over folds."""
-    w = fb.spark.createDataFrame([(c.clause_id, float(c.weight)) for c in clauses], "clause_id string, weight double")
+    w = small_table(fb.spark, [(c.clause_id, float(c.weight)) for c in clauses], "clause_id string, weight double")
     sums = clause_counts(clauses, fb).groupBy("clause_id").agg(
         F.sum("n_true").cast(EXACT).alias("n_true"), F.sum("n_total").cast(EXACT).alias("n_total")
     )

@@ -20,6 +20,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .local import small_table
 from ..facts import FactBase, union_all
 from ..rules import EQUALS, Clause, Literal, Term
 from .counting import (
@@ -180,7 +181,7 @@ def atom_counts(clauses: list[Clause], pred: str, fb: FactBase) -> AtomCounts:
             for i, tm in enumerate(kept):
                 if not tm.is_var:  # argument fixed to a constant by the rule
                     rows = [(f, tm.name, 1) for f in folds]
-                    df = fb.spark.createDataFrame(rows, "fold int, const string, n bigint")
+                    df = small_table(fb.spark, rows, "fold int, const string, n bigint")
                     single.append(_single(df, tid, c.clause_id, i))
                     info["args"].append(i)
                     done.add(i)

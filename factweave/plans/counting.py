@@ -17,6 +17,7 @@ from itertools import chain, combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .local import small_table
 from ..facts import FactBase, union_all
 from ..functions.computed import computed_column, is_computed
 from ..rules import EQUALS, Clause, Literal, Term
@@ -275,7 +276,7 @@ def term_counts(fb: FactBase, term_: CountTerm, var_types: dict[str, str]) -> Da
     else:
         if carriers:
             raise ValueError("kept variables must be bound by a stored fact")
-        df = fb.spark.createDataFrame([(f, 1) for f in fb.folds()], "fold int, n bigint")
+        df = small_table(fb.spark, [(f, 1) for f in fb.folds()], "fold int, n bigint")
     n = F.col("n").cast(EXACT) * F.lit(str(term_.coef)).cast(EXACT)
     if term_.free:
         n = (n * fb.size_product(list(term_.free))).cast(EXACT)
@@ -297,7 +298,7 @@ def count_bindings(
     terms = signed_terms(ins, outs, var_types, keep, guards)
     if not terms:
         cols = ", ".join(["fold int"] + [f"k_{v} string" for v in keep] + [f"n {EXACT}"])
-        return fb.spark.createDataFrame([], cols)
+        return small_table(fb.spark, [], cols)
     parts = [term_counts(fb, t, var_types) for t in terms]
     if len(parts) == 1 and terms[0].coef == 1:
         return parts[0]
@@ -365,7 +366,7 @@ def clause_counts(clauses: list[Clause], fb: FactBase) -> DataFrame:
                         "fold", F.lit(c.clause_id).alias("clause_id"), F.lit(tag).alias("tag"), "n"
                     )
                 )
-    total_df = fb.spark.createDataFrame(totals, "fold int, clause_id string, t string")
+    total_df = small_table(fb.spark, totals, "fold int, clause_id string, t string")
     zero = F.lit(0).cast(EXACT)
     if parts:
         sums = (
@@ -407,7 +408,7 @@ def conjunction_counts(clauses: list[Clause], fb: FactBase, distinct: bool = Fal
         for t in signed_terms(ins, outs, vt, (), guards):
             parts.append(term_counts(fb, t, vt).select("fold", F.lit(c.clause_id).alias("clause_id"), "n"))
     sums = union_all(parts).groupBy("fold", "clause_id").agg(F.sum("n").cast(EXACT).alias("n"))
-    rows = fb.spark.createDataFrame(base, "fold int, clause_id string")
+    rows = small_table(fb.spark, base, "fold int, clause_id string")
     return rows.join(sums, ["fold", "clause_id"], "left").select(
         "fold", "clause_id", F.coalesce("n", F.lit(0).cast(EXACT)).alias("n")
     )

@@ -11,6 +11,7 @@ from itertools import permutations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .local import small_table
 from ..facts import FactBase, union_all
 from ..rules import Clause, Literal
 from .counting import EXACT, Atom, pairwise_equalities, signed_terms, subsets, term_counts
@@ -49,7 +50,7 @@ def pattern_counts(clauses: list[Clause], fb: FactBase, distinct: bool = True, s
                     .select("fold", "clause_id", "b.mask", (F.col("n") * F.col("b.sign")).cast(EXACT).alias("n"))
                 )
     sums = union_all(parts).groupBy("fold", "clause_id", "mask").agg(F.sum("n").cast(EXACT).alias("n"))
-    cells = fb.spark.createDataFrame(base, "fold int, clause_id string, mask int")
+    cells = small_table(fb.spark, base, "fold int, clause_id string, mask int")
     zero = F.lit(0).cast(EXACT)
     return cells.join(sums, ["fold", "clause_id", "mask"], "left").select(
         "fold", "clause_id", "mask", (F.coalesce("n", zero) + F.lit(start)).cast(EXACT).alias("n")
@@ -88,7 +89,7 @@ def split_pattern_counts(clauses: list[Clause], fb: FactBase, distinct: bool = T
                 parts[pc.clause_id] = pc
                 rows.append((pc.clause_id, c.clause_id, split_id(first, len(c.literals)), k))
     counts = pattern_counts(list(parts.values()), fb, distinct, start).withColumnRenamed("clause_id", "part_id")
-    owners = fb.spark.createDataFrame(rows, "part_id string, clause_id string, split int, part int")
+    owners = small_table(fb.spark, rows, "part_id string, clause_id string, split int, part int")
     return counts.join(F.broadcast(owners), "part_id").select("fold", "clause_id", "split", "part", "mask", "n")
 
 

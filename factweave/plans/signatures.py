@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .local import small_table
 from ..facts import FactBase, union_all
 from ..rules import Clause
 from .atom_counts import AtomCounts, atom_counts, counts_for_atoms
@@ -24,23 +25,16 @@ FACTOR = "array<struct<term_id:int,n:double>>"
 SALTS = 16
 
 
-def merge_entries(entries: Column) -> Column:
-    """Sum ``struct(clause_id, n)`` entries per clause, dropping zeros, in clause order."""
-    ids = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["clause_id"])))
-    summed = F.transform(
-        ids,
-        lambda c: F.struct(
-            c.alias("clause_id"),
-            F.aggregate(
-                F.filter(entries, lambda e: e["clause_id"] == c), F.lit(0.0), lambda acc, e: acc + e["n"]
-            ).alias("n"),
-        ),
+def merge_entries(entries: str) -> Column:
+    """Sum ``struct(clause_id, n)`` entries (an SQL array expression) per clause: zeros dropped, in clause order."""
+    return F.expr(
+        f"filter(transform(array_sort(array_distinct(transform({entries}, e -> e.clause_id))), c -> named_struct("
+        f"'clause_id', c, 'n', aggregate(filter({entries}, e -> e.clause_id = c), 0D, (acc, e) -> acc + e.n))), e -> e.n <> 0)"
     )
-    return F.filter(summed, lambda e: e["n"] != 0)
 
 
 def _local(fb: FactBase, rows: list, ddl: str) -> DataFrame:
-    return fb.spark.createDataFrame(rows, ddl)
+    return small_table(fb.spark, rows, ddl)
 
 
 def signatures(problems: dict[str, list[Clause]], fb: FactBase, preds: list[str] | None = None) -> DataFrame:
@@ -151,21 +145,11 @@ def _absent(pred, fb, ac, owners, owner_df, busy, true_total) -> DataFrame:
         )
     )
 
-    def vector() -> Column:
-        """Count vector of an atom whose argument classes are in f0, f1, ..."""
-
-        def value(t: Column) -> Column:
-            v = t["coef"]
-            for i in range(arity):
-                hit = F.filter(F.col(fx[i]), lambda e: e["term_id"] == t["term_id"])
-                v = v * F.when(
-                    t["uses"][i], F.when(F.size(hit) > 0, F.element_at(hit, 1)["n"]).otherwise(0.0)
-                ).otherwise(1.0)
-            return v
-
-        return F.transform(
-            F.col("terms"), lambda t: F.struct(t["clause_id"].alias("clause_id"), value(t).alias("n"))
-        )
+    # Count vector of an atom whose argument classes are in f0, f1, ...
+    factors = " * ".join(
+        f"if(t.uses[{i}], coalesce(get(filter({fx[i]}, e -> e.term_id = t.term_id), 0).n, 0D), 1D)" for i in range(arity)
+    )
+    vector = f"transform(terms, t -> named_struct('clause_id', t.clause_id, 'n', t.coef * {factors}))"
 
     # Factor values per constant, one column per argument position.
     by_pos: list[DataFrame | None] = [None] * arity
@@ -222,7 +206,7 @@ def _absent(pred, fb, ac, owners, owner_df, busy, true_total) -> DataFrame:
         if explicit is not None:
             out.append(
                 classed.filter("absent").join(terms, ["problem", "fold"])
-                .select("problem", "fold", merge_entries(F.concat(vector(), F.col("jsig"))).alias("sig"), "c")
+                .select("problem", "fold", merge_entries(f"concat({vector}, jsig)").alias("sig"), "c")
             )
 
     # Class sizes per argument, with the class of constants that have no factor rows.
@@ -257,7 +241,7 @@ def _absent(pred, fb, ac, owners, owner_df, busy, true_total) -> DataFrame:
         .withColumn("c", (F.col("mult") - F.coalesce("gone", F.lit(0).cast(EXACT))).cast(EXACT))
         .filter("c > 0")
         .join(terms, ["problem", "fold"])
-        .select("problem", "fold", merge_entries(vector()).alias("sig"), "c")
+        .select("problem", "fold", merge_entries(vector).alias("sig"), "c")
     )
     out.append(remaining)
     return (

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.local import small_table
 from .schema import Schema
 
 LITERALS_TYPE = (
@@ -143,7 +144,7 @@ def rules_to_df(spark: SparkSession, rules: list[Clause]) -> DataFrame:
         )
         for c in rules
     ]
-    return spark.createDataFrame(rows, CLAUSES_DDL)
+    return small_table(spark, rows, CLAUSES_DDL)
 
 
 def collect_rules(df: DataFrame) -> list[Clause]:

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .plans.local import small_table
+
 SCHEMA_DDL = "pred string, arg_pos int, type string, as_constant boolean, exclusive boolean"
 
 
@@ -55,7 +57,7 @@ class Schema:
             for p in self
             for i, t in enumerate(p.types)
         ]
-        return spark.createDataFrame(rows, SCHEMA_DDL)
+        return small_table(spark, rows, SCHEMA_DDL)
 
     @staticmethod
     def from_df(df: DataFrame) -> "Schema":
