@@ -206,7 +206,8 @@ def _absent(pred, fb, ac, owners, owner_df, busy, true_total) -> DataFrame:
         if explicit is not None:
             out.append(
                 classed.filter("absent").join(terms, ["problem", "fold"])
-                .select("problem", "fold", merge_entries(f"concat({vector}, jsig)").alias("sig"), "c")
+                .withColumn("entries", F.expr(f"concat({vector}, jsig)"))
+                .select("problem", "fold", merge_entries("entries").alias("sig"), "c")
             )
 
     # Class sizes per argument, with the class of constants that have no factor rows.
@@ -241,7 +242,8 @@ def _absent(pred, fb, ac, owners, owner_df, busy, true_total) -> DataFrame:
         .withColumn("c", (F.col("mult") - F.coalesce("gone", F.lit(0).cast(EXACT))).cast(EXACT))
         .filter("c > 0")
         .join(terms, ["problem", "fold"])
-        .select("problem", "fold", merge_entries(vector).alias("sig"), "c")
+        .withColumn("entries", F.expr(vector))
+        .select("problem", "fold", merge_entries("entries").alias("sig"), "c")
     )
     out.append(remaining)
     return (
