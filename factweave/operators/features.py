@@ -144,16 +144,16 @@ def contingency(t: DataFrame, tests: list[tuple[str, str, tuple[str, ...]]]) ->
 
 
 def chi2_alpha(
-    t: DataFrame, tests: list[tuple[str, str, tuple[str, ...]]], min_cell: int = 0, mode: str = "reference"
+    t: DataFrame, tests: list[tuple[str, str, tuple[str, ...]]], min_cell: int = 0, mode: str = "smoothed"
 ) -> DataFrame:
     """``test, chi2, alpha``: smallest significance level over the strata of each test.
 
-    ``reference`` expects (X Y + p m) / (N + m) per cell with m = 3, p = 0.5, or no smoothing when a
+    ``smoothed`` expects (X Y + p m) / (N + m) per cell with m = 3, p = 0.5, or no smoothing when a
     minimum cell count is set (strata with a smaller cell are skipped); ``standard`` expects X Y / N.
     A test without a usable stratum has alpha 1.
     """
     c = contingency(t, tests)
-    m, p = (3.0, 0.5) if mode == "reference" and min_cell == 0 else (0.0, 0.0)
+    m, p = (3.0, 0.5) if mode == "smoothed" and min_cell == 0 else (0.0, 0.0)
     n11, n10, n01, n00 = (F.col(x).cast("double") for x in ("n11", "n10", "n01", "n00"))
     total = n11 + n10 + n01 + n00
 
