@@ -6,6 +6,7 @@ Texts are hashed a chunk at a time with numpy: a chunk is a run of whole texts o
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,17 @@ _BASE = 0x5851F42D4C957F2D
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers of this session find the library where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +59,7 @@ def whole_text(col: str = "text") -> Column:
 
 def rows_of(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the two columns an operator works on, under names that no other column can clash with."""
+    importable(df.sparkSession)
     return df.select(F.col(key).cast("bigint").alias("key"), whole_text(text).alias("text"))
 
 
