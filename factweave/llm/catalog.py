@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, minhash, sharding, simhash
+from . import bpe, decontaminate, minhash, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_next(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query("op6_bpe_round_trip")
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text decoded from them."""
+    done = bpe.round_trip(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", (F.octet_length("packed") / 4).cast("bigint").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

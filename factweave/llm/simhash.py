@@ -20,7 +20,7 @@ from . import common as C, graph
 
 WIDTH = 3
 SEED = 42
-SUBTREE = 1 << 15  # leading bits are added until subtrees hold about so many fingerprints
+SUBTREE = 1 << 13  # leading bits are added until subtrees hold about so many fingerprints
 FRONTIER = 1 << 17  # node pairs followed at a time
 _LOWER = bytes(C.LOWER)
 
