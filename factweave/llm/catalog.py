@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, minhash, sharding, simhash
+from . import bpe, bwt, decontaminate, minhash, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,14 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("packed") / 4).cast("bigint").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_repeated_strings")
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 400 bytes found elsewhere does not cover."""
+    done = bwt.repeated_strings(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
+    return done.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -229,3 +229,27 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
 def per_text(doc: np.ndarray, n: int) -> np.ndarray:
     """Bounds of each text's entries in an array ordered by text."""
     return np.searchsorted(doc, np.arange(n + 1))
+
+
+# ---------------------------------------------------------------- texts and what is known about them
+
+
+def named_texts(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, text and a name of the row by content: rows of equal key and text share it, and all results."""
+    return rows_of(df, text=text, key=key).withColumn("name", F.xxhash64("key", "text", F.col("key").isNull()))
+
+
+def inside(df: DataFrame, filter_, member: bool) -> DataFrame:
+    """Rows whose ``name`` is in a broadcast bit filter (or not): a filter before a shuffle of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = in_filter(filter_.value, b.column("name").to_numpy())
+            yield b.filter(pa.array(got if member else ~got))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def lists(values: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """One list per row from values in order of their row number."""
+    return pa.ListArray.from_arrays(pa.array(per_text(row, n), pa.int32()), pa.array(values, kind))
