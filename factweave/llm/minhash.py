@@ -103,8 +103,12 @@ def _packed(texts: list[bytes]) -> np.ndarray:
     return pack(sketch(np.frombuffer(b"".join(texts), np.uint8), offs))
 
 
-def _hex(rows: np.ndarray) -> list[str]:
-    return [r.tobytes().hex() for r in rows]
+def _raw(rows: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in rows]
+
+
+def _hex(col: str):
+    return F.lower(F.hex(col)).alias(col)
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,21 +116,21 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[str] = []
+            parts: list[bytes] = []
             for _, _, buf, offs in C.text_chunks(b.column("text")):
-                parts += _hex(pack(sketch(buf, offs)))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(parts, pa.string())], names=["key", "fp"])
+                parts += _raw(pack(sketch(buf, offs)))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(parts, pa.binary())], names=["key", "fingerprint"])
 
-    return C.rows_of(docs, key=key, text=text).mapInArrow(run, "key long, fp string").select(
-        F.col("key").alias(key), F.col("fp").alias("fingerprint")
+    return C.rows_of(docs, key=key, text=text).mapInArrow(run, "key long, fingerprint binary").select(
+        F.col("key").alias(key), _hex("fingerprint")
     )
 
 
 # ---------------------------------------------------------------- comparison with edited and following texts
 
 _PAIR = (
-    "part int, first boolean, last boolean, key long, n_chars long, edited_sha256 string, fingerprint string,"
-    " edited_fingerprint string, near_edited double, near_next double, text string"
+    "part int, first boolean, last boolean, key long, n_chars long, edited_sha256 binary, fingerprint binary,"
+    " edited_fingerprint binary, near_edited double, near_next double, text string"
 )
 
 
@@ -142,7 +146,7 @@ def _pairs(texts: list[str], nexts: list[str]) -> tuple:
     a, b = _packed(own), _packed(edited)
     # texts follow one another, so only following texts that are not in the list are fingerprinted again
     c = np.concatenate([a[1:], _packed([nexts[-1].encode()])])
-    return [hashlib.sha256(x).hexdigest() for x in edited], _hex(a), _hex(b), likeness(a, b), likeness(a, c)
+    return [hashlib.sha256(x).digest() for x in edited], _raw(a), _raw(b), likeness(a, b), likeness(a, c)
 
 
 def _run_ordered(batches: Iterator[pa.RecordBatch], limit: int = C.CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -167,8 +171,8 @@ def _run_ordered(batches: Iterator[pa.RecordBatch], limit: int = C.CHUNK_BYTES)
         texts_out = [x if (f or z) else None for x, f, z in zip(t, heads, lasts)]
         return pa.RecordBatch.from_arrays(
             [pa.array([part] * n, pa.int32()), pa.array(heads), pa.array(lasts), pa.array(k, pa.int64()),
-             pa.array([len(x) for x in t[:n]], pa.int64()), pa.array(sha, pa.string()), pa.array(fp, pa.string()),
-             pa.array(efp, pa.string()), pa.array(ne, pa.float64()), pa.array(nn, pa.float64()), pa.array(texts_out, pa.string())],
+             pa.array([len(x) for x in t[:n]], pa.int64()), pa.array(sha, pa.binary()), pa.array(fp, pa.binary()),
+             pa.array(efp, pa.binary()), pa.array(ne, pa.float64()), pa.array(nn, pa.float64()), pa.array(texts_out, pa.string())],
             names=["part", "first", "last", "key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                    "near_edited", "near_next", "text"],
         )
@@ -219,12 +223,15 @@ def with_next(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
                     for c, v in zip(out, _pairs([t], [f])):
                         c.append(v[0])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("key"), b.column("n_chars"), *(pa.array(c, pa.string()) for c in out[:3]),
+                    [b.column("key"), b.column("n_chars"), *(pa.array(c, pa.binary()) for c in out[:3]),
                      *(pa.array(c, pa.float64()) for c in out[3:])],
                     names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
         done = done.unionByName(ends.select("key", "n_chars", "text", "next_text").mapInArrow(
-            close, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
+            close, "key long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary,"
             " near_edited double, near_next double"))
-    return done.withColumnRenamed("key", key)
+    return done.select(
+        F.col("key").alias(key), "n_chars", _hex("edited_sha256"), _hex("fingerprint"), _hex("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
