@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bwt, decontaminate, minhash, sharding, simhash
+from . import bpe, bwt, decontaminate, minhash, passages, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,11 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op9_near_passages")
+def op9_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words of every document that have a near-duplicate in another one."""
+    return passages.near_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("first").alias("first_doc_id")
+    )

@@ -253,3 +253,10 @@ def inside(df: DataFrame, filter_, member: bool) -> DataFrame:
 def lists(values: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
     """One list per row from values in order of their row number."""
     return pa.ListArray.from_arrays(pa.array(per_text(row, n), pa.int32()), pa.array(values, kind))
+
+
+def ragged_ranges(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of an array end to end, and their lengths."""
+    size = end - start
+    at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    return flat[at], size
