@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bwt, decontaminate, minhash, passages, sharding, simhash
+from . import bpe, bwt, decontaminate, minhash, passages, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,11 @@ def op9_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("first").alias("first_doc_id")
     )
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, and whether it is rejected."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", *(F.round(c, 6).alias(c) for c in ("junk", "toxic", "quality")), "rejected"
+    )
