@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bwt, decontaminate, minhash, passages, quality, sharding, simhash
+from . import bpe, bwt, decontaminate, licences, minhash, passages, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", *(F.round(c, 6).alias(c) for c in ("junk", "toxic", "quality")), "rejected"
     )
+
+
+@query("op10_licences")
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every document."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["family"])))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(families, ",").alias("families"),
+        F.array_join(F.transform("notices", lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"),
+    )
