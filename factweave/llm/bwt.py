@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common as C
 
@@ -160,18 +160,41 @@ def _transform(rows: pd.DataFrame) -> pd.DataFrame:
     back = np.maximum(order - 1, 0)
     has = joined[order]
     return pd.DataFrame({
-        "shard": rows["shard"].to_numpy()[order], "r": np.arange(n), "sym": sym[order], "before": np.where(has, sym[back], 0),
-        "lf": np.where(has, row[back], -1), "name": rows["name"].to_numpy()[order], "idx": idx[order],
-        "need": rows["need"].to_numpy()[order],
+        "shard": rows["shard"].to_numpy()[order], "r": np.arange(n, dtype=np.int32), "part": sym[order],
+        "before": np.where(has, sym[back], 0), "lf": np.where(has, row[back], -1).astype(np.int32),
+        "need": rows["need"].to_numpy()[order].astype(np.int16), "name": rows["name"].to_numpy()[order], "idx": idx[order],
     })
 
 
+def _row() -> Column:
+    """One number for each suffix of any shard."""
+    return F.shiftleft(F.col("shard").cast("bigint"), 32) + F.col("r")
+
+
+def _longer(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """One step in a shard: every suffix hands its interval, with the symbol before it, to the row of the longer one."""
+    r, lf = rows["r"].to_numpy(), rows["lf"].to_numpy()
+    place = np.full(int(max(r.max(), lf.max())) + 1, -1, np.int64)
+    place[r] = np.arange(len(r))
+    x = np.flatnonzero(lf >= 0)
+    y = place[lf[x]]
+    ok = y >= 0
+    ok &= rows["need"].to_numpy()[y] > depth
+    x, y = x[ok], y[ok]
+    part = rows["part"].to_numpy()[x].view(np.uint64) * C.U64(0xD6E8FEB86659FD93)
+    part = C.mix(part + C.mix(rows["before"].to_numpy()[x].view(np.uint64)))
+    out = rows.iloc[y][["shard", "r", "before", "lf", "need"]]
+    return out.assign(part=part.view(np.int64), n_was=rows["n"].to_numpy()[y], own_was=rows["own"].to_numpy()[y])
+
+
+def _step(depth: int):
+    return lambda rows: _longer(rows, depth)
+
+
 def _counted(state: DataFrame) -> DataFrame:
     """Adds n, the suffixes in the interval over all shards, and own: whether this one speaks for it."""
-    counts = state.groupBy("part").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.min(F.struct("shard", "r")).alias("speaker")
-    )
-    return state.join(counts, "part").withColumn("own", F.struct("shard", "r") == F.col("speaker")).drop("speaker")
+    counts = state.groupBy("part").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(_row()).alias("speaker"))
+    return state.join(counts, "part").withColumn("own", _row() == F.col("speaker")).drop("speaker")
 
 
 def intervals(phrases: DataFrame) -> DataFrame:
@@ -185,26 +208,31 @@ def intervals(phrases: DataFrame) -> DataFrame:
     bwt = C.materialise(
         phrases.withColumn("shard", F.pmod(F.xxhash64("copy"), F.lit(shards)).cast("int"))
         .groupBy("shard").applyInPandas(
-            _transform, "shard int, r long, sym long, before long, lf long, name long, idx int, need int"),
+            _transform, "shard int, r int, part long, before long, lf int, need short, name long, idx int"),
         "transforms",
     )
-    now = C.materialise(_counted(bwt.withColumnRenamed("sym", "part")).withColumn("changed", F.lit(True)), "interleave")
-    every = now.select("name", "idx", F.lit(1).alias("depth"), "n", "own")
+    now = C.materialise(_counted(bwt.drop("name", "idx")), "interleave")
+    listed = [now.select(_row().alias("row"), F.lit(1).alias("depth"), "n", "own")]
     depth = 1
     while True:
-        live = now.filter("n > 1")
-        longer = live.filter("lf >= 0").select("shard", F.col("lf").alias("r"), F.xxhash64("before", "part").alias("part")).join(
-            live.filter(F.col("need") > depth).select(
-                "shard", "r", "before", "lf", "name", "idx", "need", F.col("n").alias("n_was"), F.col("own").alias("own_was")),
-            ["shard", "r"],
+        longer = now.filter("n > 1").groupBy("shard").applyInPandas(
+            _step(depth),
+            "shard int, r int, before long, lf int, need short, part long, n_was int, own_was boolean",
         )
         changed = (F.col("n") != F.col("n_was")) | (F.col("own") != F.col("own_was"))
-        now = C.materialise(_counted(longer).withColumn("changed", changed).drop("n_was", "own_was"), "interleave")
+        new = C.materialise(_counted(longer).withColumn("changed", changed).drop("n_was", "own_was"), "interleave")
         depth += 1
+        if depth > 2:
+            C.drop_table(now)
+        now = new
         if not now.limit(1).count():
             break
-        every = every.unionByName(now.filter("changed").select("name", "idx", F.lit(depth).alias("depth"), "n", "own"))
-    return every
+        listed.append(C.materialise(
+            now.filter("changed").select(_row().alias("row"), F.lit(depth).alias("depth"), "n", "own"), "interval_sizes"))
+    every = listed[0]
+    for more in listed[1:]:
+        every = every.unionByName(more)
+    return every.join(bwt.select(_row().alias("row"), "name", "idx"), "row").drop("row")
 
 
 def _sizes(first: np.ndarray, idx: np.ndarray, depth: np.ndarray, value: np.ndarray, n: int, deepest: int) -> np.ndarray:
@@ -274,6 +302,18 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             )
 
 
+def _likely(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per string that passes the filter of repeated ones."""
+    for b in batches:
+        place = pa.concat_arrays([b.column("place")])
+        h = pa.concat_arrays([b.column("hash")]).values
+        got = pa.array(C.in_filter(bits, h.to_numpy()))
+        row = pa.array(np.repeat(np.arange(len(b)), np.diff(place.offsets.to_numpy()))).filter(got)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("name").take(row), place.values.filter(got), h.filter(got)], names=["name", "place", "hash"]
+        )
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, kept, spans = [], [], []
@@ -329,8 +369,12 @@ def repeated_strings(docs: DataFrame, *, length: int = 400, key: str = "doc_id",
         "judged",
     )
     open_ = judged.select("name", "copy", F.explode(F.arrays_zip("place", "hash")).alias("o")).select("name", "o.place", "o.hash")
-    twice = open_.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    more = open_.join(twice, "hash").select("name", "place")
+    twice = C.materialise(open_.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "open_repeats")
+    twice_bits = spark.sparkContext.broadcast(C.bit_filter(twice, "hash", PHRASE_BITS))
+    likely = judged.select("name", "place", "hash").mapInArrow(
+        lambda it: _likely(it, twice_bits.value), "name long, place int, hash long"
+    )
+    more = likely.join(twice, "hash").select("name", "place")
     places = (
         judged.select("name", F.explode(F.arrays_zip("first", "until")).alias("r")).select("name", "r.first", "r.until")
         .unionByName(more.select("name", F.col("place").alias("first"), (F.col("place") + 1).alias("until")))
