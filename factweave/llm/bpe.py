@@ -24,6 +24,7 @@ from . import common as C
 
 LEXICON_WORDS = 1 << 18  # most frequent words kept in the automaton
 LONGEST = 48  # bytes of a lexicon word
+HIGHEST = 1 << 14  # counts above are not told apart
 CACHE = 1 << 17  # other words remembered by a worker
 
 
@@ -347,12 +348,29 @@ def word_counts(docs: DataFrame, special: list[str], *, text: str = "text") -> D
 
 
 def build_lexicon(docs: DataFrame, vocab: Vocabulary, *, size: int = LEXICON_WORDS, text: str = "text") -> dict[str, np.ndarray]:
-    """The automaton of the ``size`` most frequent words (ties by the word) and their ids."""
-    frequent = (
+    """The automaton of the words that occur most often, at most ``size``, and their ids.
+
+    Words of equal counts are taken together or not at all, so no task has to sort them; counts from HIGHEST on are
+    taken as equal first and told apart by a hash if they alone are too many.
+    """
+    counted = C.materialise(
         word_counts(docs, list(vocab.special), text=text)
-        .filter((F.octet_length("word") <= LONGEST) & (F.length("word") > 0) & ~F.col("word").isin(list(vocab.special)))
-        .orderBy(F.desc("n"), "word").limit(size).select("word")
+        .filter((F.octet_length("word") <= LONGEST) & (F.length("word") > 0) & ~F.col("word").isin(list(vocab.special)) & (F.col("n") > 1))
+        .select("word", F.least("n", F.lit(HIGHEST)).alias("n")),
+        "words",
     )
+    by_count = sorted(((r["n"], r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True)
+    least, held = HIGHEST + 1, 0
+    for n, words in by_count:
+        if held + words > size:
+            break
+        least, held = n, held + words
+    frequent = counted.filter(F.col("n") >= least)
+    if not held and by_count:
+        share = size / by_count[0][1]
+        frequent = counted.filter(
+            (F.col("n") == HIGHEST) & (F.shiftrightunsigned(F.xxhash64("word"), 11) / F.lit(float(1 << 53)) < F.lit(0.9 * share)))
+    frequent = frequent.select("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = Merger(vocab)
