@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bwt, decontaminate, licences, minhash, passages, quality, sharding, simhash
+from . import bpe, bwt, decontaminate, licences, minhash, passages, quality, sharding, simhash, templates
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_paragraphs", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(families, ",").alias("families"),
         F.array_join(F.transform("notices", lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"),
     )
+
+
+@query("op4_main_text")
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )

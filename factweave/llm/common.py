@@ -236,7 +236,12 @@ def per_text(doc: np.ndarray, n: int) -> np.ndarray:
 
 def named_texts(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, text and a name of the row by content: rows of equal key and text share it, and all results."""
-    return rows_of(df, text=text, key=key).withColumn("name", F.xxhash64("key", "text", F.col("key").isNull()))
+    return rows_of(df, text=text, key=key).withColumn("name", name_of())
+
+
+def name_of(key: str = "key", text: str = "text") -> Column:
+    k = F.col(key).cast("bigint")
+    return F.xxhash64(k, whole_text(text), k.isNull())
 
 
 def inside(df: DataFrame, filter_, member: bool) -> DataFrame:
