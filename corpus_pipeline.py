@@ -1,23 +1,56 @@
-"""The corpus pipeline: stages from raw documents to token ids."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next. All but the last return the columns of documents. An empty table passes through all stages; rows with
+null texts or ids are treated as the operators state.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from factweave.llm import bpe, decontaminate, passages, quality, simhash
+from factweave.llm.common import materialise, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Junk and toxic documents go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
 
-from factweave.llm.common import table
-from factweave.llm.decontaminate import clean_documents
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link up, the one with the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words stay in the first document that has them."""
+    return passages.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which a twentieth or more stands in benchmark items go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left; (doc_id, n_tokens, ids)."""
+    encoded = bpe.encode(docs)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+ORACLE_SQL = None  # learned scores, SimHash and BPE have no SQL; tests compare with a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
