@@ -244,12 +244,12 @@ def name_of(key: str = "key", text: str = "text") -> Column:
     return F.xxhash64(k, whole_text(text), k.isNull())
 
 
-def inside(df: DataFrame, filter_, member: bool) -> DataFrame:
-    """Rows whose ``name`` is in a broadcast bit filter (or not): a filter before a shuffle of texts."""
+def inside(df: DataFrame, filter_, member: bool, name: str = "name") -> DataFrame:
+    """Rows whose name is in a broadcast bit filter (or not): a filter before a shuffle of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = in_filter(filter_.value, b.column("name").to_numpy())
+            got = in_filter(filter_.value, b.column(name).to_numpy())
             yield b.filter(pa.array(got if member else ~got))
 
     return df.mapInArrow(run, df.schema)

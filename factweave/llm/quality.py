@@ -21,7 +21,7 @@ from . import common as C
 
 FEATURE_BITS = 20
 TRAINING_ROWS = 16_384  # documents, drawn by a hash of their text, on which the scorer is fitted
-EPOCHS = 4
+EPOCHS, LEAST_STEPS = 4, 2_000  # passes over the training rows; more of them if they are few
 STEP, SHRINK = 0.05, 1e-5
 VOTE_WEIGHT = 4.0  # of a vote feature; a word counts 1
 LABELLED_ROWS = 20_000  # labelled documents from which bad words are learned, drawn by a hash of their id
@@ -55,7 +55,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
 _LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True  # and digits
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ class LabelModel:
             weight = np.stack([(1 - p) * n, p * n])
             rates = np.einsum("cp,plv->lcv", weight, onehot) + 1.0
             rates /= rates.sum(axis=2, keepdims=True)
-            bad = (weight[1].sum() + 1) / (n.sum() + 2)
+            bad = min(0.5, (weight[1].sum() + 1) / (n.sum() + 2))  # bad documents are the fewer, which tells the classes apart
             settled = np.abs(rates - self.rates).max() < 1e-7
             self.rates, self.bad = rates, bad
             if settled:
@@ -258,12 +258,12 @@ def fit_label_models(docs: DataFrame, learned: tuple) -> dict[str, LabelModel]:
 # ---------------------------------------------------------------- the scorer
 
 
-def train(labels: np.ndarray, features: list[np.ndarray], epochs: int = EPOCHS) -> np.ndarray:
+def train(labels: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
     """Weights of a logistic scorer for soft labels: adaptive gradient steps over small batches, in a fixed order."""
     size = 1 << FEATURE_BITS
     w, seen, bias, bias_seen = np.zeros(size), np.full(size, 1e-8), 0.0, 1e-8
     order = np.argsort(C.seeded(len(labels), 37), kind="stable")
-    for _ in range(epochs):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * 32 // max(len(order), 1)))):
         for lo in range(0, len(order), 32):
             rows = order[lo : lo + 32]
             lengths = [len(features[r]) for r in rows]
