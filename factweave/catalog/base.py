@@ -236,12 +236,12 @@ def q_duplicates(spark, sf):
 
 @query(
     "clean_facts",
-    """SELECT 'Isa' AS pred, 'C' || c_custkey AS a0, 'Segment' AS a1 FROM customer WHERE c_mktsegment = 'BUILDING'
+    """SELECT 'Isa' AS pred, 'C' || c_custkey AS a0, 'Segment' AS a1 FROM customer
 UNION ALL SELECT 'Did', 'WordU' || user_id, upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) FROM (SELECT DISTINCT user_id, event_type FROM events)
 UNION ALL SELECT 'Docsource', 'D' || doc_id, lower(source) FROM documents""",
 )
 def q_clean(spark, sf):
-    customers = spark.read.parquet(f"{sf}/customer.parquet").filter("c_mktsegment = 'BUILDING'")
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
     facts = (
         T.facts_from_table(customers, "segment", ["c_custkey"], ("C",))
         .unionByName(view_fact_base(spark, sf, ["Did", "DocSource", "Priority"]).facts)

@@ -114,13 +114,57 @@ count(*) AS n_definite FROM r""",
 def q_rule_files(spark, sf):
     path = fresh_path(spark, "rules")
     TX.write_rules(brand_rules(spark, sf), path)
-    back = TX.read_rules(spark, path)
+    back, _ = TX.read_rules(spark, path)
     return back.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("hard").cast("bigint")).alias("n_hard"), F.round(F.sum("weight"), 3).alias("weight"),
         F.sum(LT.is_definite(F.col("literals")).cast("bigint")).alias("n_definite"),
     )
 
 
+@query(
+    "rule_terms_round_trip",
+    """WITH d AS (SELECT DISTINCT lang, source FROM documents)
+SELECT 'DocLang' AS pred, false AS positive, 'const' AS kind, lang AS name, source AS of, (length(lang) + length(source)) / 7.0 AS weight FROM d
+UNION ALL SELECT 'DocSource', true, 'const', source, lang, (length(lang) + length(source)) / 7.0 FROM d
+UNION ALL SELECT 'DocLang', false, 'var', 'd', lang || source, (length(lang) + length(source)) / 7.0 FROM d
+UNION ALL SELECT 'DocSource', true, 'var', 'd', lang || source, (length(lang) + length(source)) / 7.0 FROM d""",
+)
+def q_rule_terms(spark, sf):
+    """Lower-case constants stay constants, and weights keep all digits, through a rule file."""
+    pairs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "source").distinct()
+    text = F.format_string('!DocLang(d,"%s") v DocSource(d,"%s")', "lang", "source")
+    rules = pairs.select(
+        text.alias("clause_id"), text.alias("formula_id"), ((F.length("lang") + F.length("source")) / F.lit(7.0)).alias("weight"),
+        F.lit(False).alias("hard"), TX.rule_literals(text).alias("literals"),
+    )
+    path = fresh_path(spark, "rules")
+    TX.write_rules(rules, path)
+    back, _ = TX.read_rules(spark, path)
+    lits = back.select("literals", "weight", F.col("literals")[0]["args"][1]["name"].alias("lang"), F.col("literals")[1]["args"][1]["name"].alias("source"))
+    terms = lits.select("weight", "lang", "source", F.explode("literals").alias("l")).select("weight", "lang", "source", "l.pred", "l.positive", F.explode("l.args").alias("a"))
+    other = F.when(F.col("a.kind") == "var", F.concat("lang", "source")).when(F.col("pred") == "DocLang", F.col("source")).otherwise(F.col("lang"))
+    return terms.select("pred", "positive", "a.kind", "a.name", other.alias("of"), "weight")
+
+
+@query(
+    "rejected_rule_lines",
+    """SELECT reason, count(*) AS n FROM (SELECT CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 1 THEN 'neither a weight nor a full stop' ELSE 'not a rule' END AS reason
+FROM orders WHERE o_orderkey % 4 IN (1, 2, 3)) GROUP BY 1""",
+)
+def q_rejected_rules(spark, sf):
+    """A line for every order: well formed, without a weight, with an open bracket, or with an empty literal."""
+    path = fresh_path(spark, "rules")
+    k, kind = F.col("o_orderkey"), F.pmod("o_orderkey", F.lit(4))
+    line = (
+        F.when(kind == 0, F.format_string("1.5  Placed(C%d,O%d) v !Late(O%d)", k, k, k))
+        .when(kind == 1, F.format_string("Placed(C%d,O%d) v Late(x)", k, k))
+        .when(kind == 2, F.format_string("1.5  Placed(C%d,O%d v Late(x)", k, k))
+        .otherwise(F.format_string("0.5  Placed(C%d,O%d) v ", k, k))
+    )
+    spark.read.parquet(f"{sf}/orders.parquet").select(line.alias("value")).write.text(path)
+    return TX.read_rules(spark, path)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("listing_round_trip", "SELECT 'P' || p_partkey AS id, p_name AS text FROM part")
 def q_listing(spark, sf):
     path = fresh_path(spark, "listing")

@@ -52,14 +52,14 @@ def q_normalised(spark, sf):
 @query(
     "merged_ranking",
     RANKING_SQL + """, sf AS (SELECT string_split(p_type, ' ')[1] AS template_id, p_size > 25 AS with_constants, p_brand AS formula_id, avg(p_size / 50.0) AS score FROM part
-WHERE p_size <= 40 GROUP BY 1, 2, 3), st AS (SELECT template_id, with_constants, avg(score) AS s FROM sf GROUP BY 1, 2)
+WHERE NOT starts_with(p_type, 'SMALL') GROUP BY 1, 2, 3), st AS (SELECT template_id, with_constants, avg(score) AS s FROM sf GROUP BY 1, 2)
 SELECT r.instance AS instance, round(CASE WHEN s IS NULL THEN score ELSE score * s END, 6) AS multiplied, round(CASE WHEN s IS NULL THEN score ELSE greatest(score, s) END, 6) AS maximum,
 round(CASE WHEN s IS NULL THEN score ELSE (score + s) / 2 END, 6) AS averaged FROM r LEFT JOIN st USING (template_id, with_constants)""",
 )
 def q_merged(spark, sf):
     target = ranking(spark, sf)
     source = ranking(spark, sf, "p_size / 50.0").join(
-        spark.read.parquet(f"{sf}/part.parquet").filter("p_size <= 40").select(
+        spark.read.parquet(f"{sf}/part.parquet").filter(~F.startswith("p_type", F.lit("SMALL"))).select(
             F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("instance")), "instance", "left_semi")
     out = None
     for op, name in (("multiply", "multiplied"), ("maximum", "maximum"), ("average", "averaged")):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from ..rules import LITERALS_TYPE
+from ..rules import LITERALS_TYPE, PLAIN_CONSTANT
 
-MAX_LITERALS = 5
+MAX_LITERALS = 5  # up to so many literals all orders are written as an expression; longer rules are searched
+
+
+_PLAIN = re.compile(PLAIN_CONSTANT)
 
 
 def variables(literals: Column) -> Column:
@@ -28,7 +33,7 @@ def is_definite(literals: Column) -> Column:
     return n_positive(literals) == 1
 
 
-def is_connected(literals: Column, max_literals: int = MAX_LITERALS) -> Column:
+def is_connected(literals: Column) -> Column:
     """All literals reachable from the first through shared variables."""
 
     def names(l: Column) -> Column:
@@ -38,16 +43,20 @@ def is_connected(literals: Column, max_literals: int = MAX_LITERALS) -> Column:
         touching = F.filter(literals, lambda l: F.arrays_overlap(names(l), seen))
         return F.array_distinct(F.concat(seen, F.flatten(F.transform(touching, names))))
 
-    reached = names(F.element_at(literals, 1))
-    for _ in range(max_literals - 1):
-        reached = grow(reached)
+    # as many steps as there are literals reach all that can be reached
+    reached = F.aggregate(literals, names(F.element_at(literals, 1)), lambda seen, _: grow(seen))
     return F.forall(literals, lambda l: F.arrays_overlap(names(l), reached))
 
 
+def term_text(a: Column) -> Column:
+    """A constant that could be read as a variable, or has unusual characters, is written in quotes."""
+    quoted = (a["kind"] == "const") & ~a["name"].rlike(PLAIN_CONSTANT)
+    return F.when(quoted, F.concat(F.lit('"'), a["name"], F.lit('"'))).otherwise(
+        F.concat(F.when(a["kind"] == "plus", "+").otherwise(""), a["name"]))
+
+
 def literal_text(l: Column) -> Column:
-    args = F.array_join(
-        F.transform(l["args"], lambda a: F.concat(F.when(a["kind"] == "plus", "+").otherwise(""), a["name"])), ","
-    )
+    args = F.array_join(F.transform(l["args"], term_text), ",")
     return F.concat(F.when(l["positive"], "").otherwise("!"), l["pred"], F.lit("("), args, F.lit(")"))
 
 
@@ -74,13 +83,60 @@ def renumber(literals: Column, var: str = "x", pred: str | None = None) -> Colum
     return F.transform(literals, lit).cast(LITERALS_TYPE)
 
 
+def _least_order(literals, var: str, pred: str | None) -> list[int]:
+    """Positions of the literals of a long rule in its least written form.
+
+    Literals are placed one by one; of all ways to go on, those with the least next literal are kept. No literal
+    text is the beginning of another, so the least beginning belongs to the least whole.
+    """
+
+    def written(l, names: dict, preds: dict) -> tuple[str, dict, dict]:
+        names, preds = dict(names), dict(preds)
+        head = l["pred"] if pred is None else f"{pred}{preds.setdefault(l['pred'], len(preds) + 1)}"
+        args = []
+        for a in l["args"]:
+            if a["kind"] == "const":
+                args.append(a["name"] if _PLAIN.search(a["name"]) else f'"{a["name"]}"')
+            else:
+                args.append(("+" if a["kind"] == "plus" else "") + f"{var}{names.setdefault(a['name'], len(names) + 1)}")
+        return f"{'' if l['positive'] else '!'}{head}({','.join(args)})", names, preds
+
+    states = {((), ()): ((), {}, {})}
+    for _ in range(len(literals)):
+        grown: dict = {}
+        least = None
+        for order, names, preds in states.values():
+            for i, l in enumerate(literals):
+                if i in order:
+                    continue
+                text, n, p = written(l, names, preds)
+                if least is None or text < least:
+                    least, grown = text, {}
+                if text == least:
+                    # states that have used equal literals under equal names go on alike
+                    key = (tuple(sorted(order + (i,))), tuple(sorted(n.items())))
+                    grown.setdefault(key, (order + (i,), n, p))
+        states = grown
+    return [i + 1 for i in next(iter(states.values()))[0]] if literals else []
+
+
 def canonical(literals: Column, var: str = "x", pred: str | None = None, max_literals: int = MAX_LITERALS) -> Column:
-    """``struct<text, literals>``: the least written form over all literal orders, after renaming."""
+    """``struct<text, literals>``: the least written form over all literal orders, after renaming.
+
+    Rules of up to ``max_literals`` literals are compared in all orders; for longer ones the order is searched row by
+    row in Python.
+    """
     orders = None
+
+    @F.pandas_udf("array<int>")
+    def searched(rules: pd.Series) -> pd.Series:
+        return rules.map(lambda r: None if r is None else _least_order([dict(l) for l in r], var, pred))
     for n in range(1, max_literals + 1):
         perms = F.array(*[F.array(*[F.lit(i + 1) for i in p]) for p in permutations(range(n))])
         case = F.size(literals) == n
         orders = F.when(case, perms) if orders is None else orders.when(case, perms)
+    if max_literals >= MAX_LITERALS:
+        orders = orders.otherwise(F.array(searched(F.when(F.size(literals) > max_literals, literals))))
 
     def form(order: Column) -> Column:
         lits = renumber(F.transform(order, lambda i: F.element_at(literals, i)), var, pred)
@@ -92,7 +148,7 @@ def canonical(literals: Column, var: str = "x", pred: str | None = None, max_lit
 def is_valid(literals: Column) -> Column:
     """No literal twice and no atom with both signs."""
     atoms = F.transform(
-        literals, lambda l: F.concat_ws("|", l["pred"], F.array_join(F.transform(l["args"], lambda a: a["name"]), ","))
+        literals, lambda l: F.concat_ws("|", l["pred"], F.array_join(F.transform(l["args"], term_text), ","))
     )
     return F.size(F.array_distinct(atoms)) == F.size(literals)
 

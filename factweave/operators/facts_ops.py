@@ -8,6 +8,7 @@ from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.counting import EXACT
 from ..plans.ordering import hashed_positions
+from ..plans.storage import cut
 
 FACT_KEY = ["fold", "pred", "args"]
 
@@ -20,7 +21,7 @@ def dedupe_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def capitalise(c: Column) -> Column:
     """First letter up, rest down."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def normalise_constants(facts: DataFrame) -> DataFrame:
@@ -261,9 +262,10 @@ def sample_atoms(fb: FactBase, pred: str, fraction: float, low: int, high: int,
     """Stratified atom sample: ``fold, a0.., truth, scale`` with scale = stratum total / sampled.
 
     Listed atoms are taken in hash order.  Absent atoms are drawn by index arithmetic over numbered
-    argument domains: when the sample is a sizeable share of the domain product every index is
-    visited, otherwise about three times the wanted number of indices is drawn and listed or
-    repeated ones are dropped, so the work follows the sample size and not the domain product.
+    argument domains: when the sample is a sizeable share of the absent atoms or of the domain product every
+    index is visited, otherwise about three times the wanted number of indices is drawn and listed or
+    repeated ones are dropped, so the work follows the sample size and not the domain product. The scale
+    is the stratum total by the number that was really drawn.
     """
     decl = fb.schema[pred]
     cols = [f"a{i}" for i in range(decl.arity)]
@@ -291,7 +293,7 @@ def sample_atoms(fb: FactBase, pred: str, fraction: float, low: int, high: int,
         want = sample_size(absent, fraction, low, high)
         if want <= 0:
             continue
-        every = possible <= 8 * want + 1000
+        every = possible <= 8 * want + 1000 or 4 * want >= absent
         n = possible if every else -(-(3 * want + 64) * possible // absent)
         cand = spark.range(n).select(F.lit(f).alias("fold"), F.col("id").alias("i"))
         stride = 1
@@ -303,8 +305,6 @@ def sample_atoms(fb: FactBase, pred: str, fraction: float, low: int, high: int,
         for j in range(decl.arity):
             cand = cand.join(numbered[j], ["fold", f"p{j}"])
         drawn = cand.select(*key).distinct().join(rel, key, "left_anti")
-        out.append(
-            hashed_positions(drawn, ["fold"], cols, seed + 7, "pos").filter(F.col("pos") <= want)
-            .select(*key, F.lit(False).alias("truth"), F.lit(absent / want).alias("scale"))
-        )
+        taken = cut(hashed_positions(drawn, ["fold"], cols, seed + 7, "pos").filter(F.col("pos") <= want).select(*key))
+        out.append(taken.select(*key, F.lit(False).alias("truth"), F.lit(absent / max(taken.count(), 1)).alias("scale")))
     return union_all(out)

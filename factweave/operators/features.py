@@ -176,7 +176,7 @@ def chi2_alpha(
     return ids.join(best, "test", "left").select("test", "x", "y", "chi2", F.coalesce("alpha", F.lit(1.0)).alias("alpha"))
 
 
-def markov_blanket(t: DataFrame, features: list[str], threshold: float = 0.05, min_cell: int = 0, max_rounds: int = 20) -> dict[str, set[str]]:
+def markov_blanket(t: DataFrame, features: list[str], threshold: float = 0.05, min_cell: int = 0) -> dict[str, set[str]]:
     """Grow-shrink blanket of every feature, made symmetric.
 
     Each round tests, for all features at once, every remaining candidate given the current blanket
@@ -185,7 +185,7 @@ def markov_blanket(t: DataFrame, features: list[str], threshold: float = 0.05, m
     """
     blankets: dict[str, list[str]] = {f: [] for f in features}
     growing = set(features)
-    for _ in range(max_rounds):
+    while True:
         tests = [
             (x, y, tuple(blankets[x])) for x in sorted(growing) for y in features if y != x and y not in blankets[x]
         ]
@@ -199,7 +199,7 @@ def markov_blanket(t: DataFrame, features: list[str], threshold: float = 0.05, m
         growing = set(best)
         for x, (_, _, y) in best.items():
             blankets[x].append(y)
-    for _ in range(max_rounds):
+    while True:
         tests = [(x, y, tuple(z for z in blankets[x] if z != y)) for x in features for y in blankets[x]]
         if not tests:
             break

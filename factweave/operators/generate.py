@@ -61,7 +61,7 @@ def templates(spark: SparkSession, min_literals: int = 2, max_literals: int = 3,
             ids.select(digits.alias("d"))
             .filter(F.forall(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("d", i - 1) < F.get("d", i)) if n > 1 else F.lit(True))
             .select(F.transform("d", atom).cast(LITERALS_TYPE).alias("literals"))
-            .filter(L.is_connected(F.col("literals"), n))
+            .filter(L.is_connected(F.col("literals")))
         )
         shapes = _distinct(combos, var="T", pred="R", max_literals=n)
         signed = shapes.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2**n - 1)))).select(
@@ -229,7 +229,7 @@ def expand_constants(formulas: DataFrame, fb: FactBase) -> DataFrame:
         grown = (
             pending.withColumn("type", head["t"]).join(consts, "type")
             .withColumn("literals", L.substitute(F.col("literals"), head["v"], F.col("@const")))
-            .withColumn("@todo", F.slice("@todo", 2, 100)).drop("type", "@const")
+            .withColumn("@todo", F.slice("@todo", F.lit(2), F.size("@todo") - 1)).drop("type", "@const")
         )
         df = done.unionByName(grown)
     return df.drop("@todo").withColumn("instance", L.text(F.col("literals")))

@@ -176,18 +176,24 @@ def _atom_text(l: Literal) -> Column:
 def merge_ground(g: DataFrame) -> DataFrame:
     """Identical ground clauses become one with summed weight: ``fold, gid, lits, weight, hard, frequency``.
 
-    A single negative soft literal becomes positive with negated weight before merging.
+    A single negative soft literal becomes positive with negated weight before merging. Hard clauses are
+    merged among themselves only and have weight 0, or -1 if their weight was negative, which demands that all
+    literals are false.
     """
     lone = (F.size("lits") == 1) & ~F.get("lits", F.lit(0))["positive"] & ~F.col("hard")
     lits = F.when(
         lone, F.transform("lits", lambda l: F.struct(l["atom"].alias("atom"), F.lit(True).alias("positive")))
     ).otherwise(F.col("lits"))
-    w = F.when(F.col("hard"), 0.0).otherwise(F.col("weight") * F.col("frequency"))
+    w = F.col("weight") * F.col("frequency")
+    soft = F.when(F.col("hard"), 0.0).when(lone, -w).otherwise(w)
+    demand = F.when(F.col("hard"), F.when(F.col("weight") < 0, -1.0).otherwise(0.0))  # null for soft clauses
+    kind = F.when(F.col("hard"), F.concat(F.lit("hard"), F.col("demand").cast("string"))).otherwise("soft")
     return (
-        g.select("fold", lits.cast(GROUND_LITERALS).alias("lits"), F.when(lone, -w).otherwise(w).alias("weight"), "hard", "frequency")
-        .groupBy("fold", "lits")
-        .agg(F.sum("weight").alias("weight"), F.max("hard").alias("hard"), F.sum("frequency").alias("frequency"))
-        .withColumn("gid", F.sha2(F.concat_ws("|", F.col("fold").cast("string"), F.transform("lits", lambda l: F.concat(F.when(l["positive"], "").otherwise("!"), l["atom"]))), 256))
+        g.select("fold", lits.cast(GROUND_LITERALS).alias("lits"), soft.alias("soft"), demand.alias("demand"), "hard", "frequency")
+        .groupBy("fold", "lits", "hard", "demand")
+        .agg(F.sum("soft").alias("soft"), F.sum("frequency").alias("frequency"))
+        .withColumn("weight", F.coalesce("demand", "soft"))
+        .withColumn("gid", F.sha2(F.concat_ws("|", F.col("fold").cast("string"), kind, F.transform("lits", lambda l: F.concat(F.when(l["positive"], "").otherwise("!"), l["atom"]))), 256))
         .select("fold", "gid", "lits", "weight", "hard", "frequency")
     )
 

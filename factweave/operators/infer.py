@@ -22,16 +22,17 @@ def atoms_of(g: DataFrame) -> DataFrame:
     return ground_literals(g).select(*ATOM).distinct()
 
 
-def propagate_units(g: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def propagate_units(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fix atoms forced by hard clauses, simplify, repeat: (remaining clauses, ``fold, atom, value``).
 
     A hard clause with one literal fixes its atom; a hard clause whose weight is negative demands
     that all its literals are false.  Satisfied clauses go, false literals are removed from the rest.
-    An atom forced both ways is an error.
+    Repeats until nothing more is forced. An atom forced both ways is an error, and so is a hard clause
+    that its fixed atoms contradict.
     """
-    fixed = None
+    fixed, rounds = None, 0
     g = cut(g)
-    for _ in range(max_rounds):
+    while True:
         forced_false = F.col("hard") & (F.col("weight") < 0)
         units = g.filter(F.col("hard") & ((F.size("lits") == 1) | (F.col("weight") < 0))).select(
             "fold", F.explode("lits").alias("l"), forced_false.alias("neg")
@@ -43,6 +44,9 @@ def propagate_units(g: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, Dat
         if units.isEmpty():
             break
         fixed = units if fixed is None else fixed.unionByName(units)
+        rounds += 1
+        if rounds % 16 == 0:  # keeps the plan short on long chains
+            fixed = cut(fixed)
         lits = ground_literals(g).join(units, ATOM, "left")
         state = lits.groupBy("fold", "gid").agg(
             F.max(F.coalesce(F.col("value") == F.col("positive"), F.lit(False))).alias("sat"),
@@ -50,7 +54,12 @@ def propagate_units(g: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, Dat
                 F.collect_list(F.when(F.col("value").isNull(), F.struct("atom", "positive")))
             ).alias("left"),
         )
-        nxt = g.join(state, ["fold", "gid"]).filter(~F.col("sat") & (F.size("left") > 0))
+        joined = cut(g.join(state, ["fold", "gid"]))
+        demand = F.when(F.col("weight") < 0, F.col("sat")).otherwise(~F.col("sat") & (F.size("left") == 0))
+        broken = joined.filter(F.col("hard") & demand).limit(1).collect()
+        if broken:
+            raise ValueError(f"hard clauses contradict each other on {[l['atom'] for l in broken[0]['lits']]}")
+        nxt = joined.filter(~F.col("sat") & (F.size("left") > 0))
         g = cut(nxt.select("fold", "gid", F.col("left").cast("array<struct<atom:string,positive:boolean>>").alias("lits"),
                            "weight", "hard", "frequency"))
     if fixed is None:
@@ -58,7 +67,7 @@ def propagate_units(g: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, Dat
     return g, fixed
 
 
-def components(g: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(g: DataFrame) -> DataFrame:
     """``fold, atom, component``: least atom name reachable through shared clauses.
 
     Labels move atom -> clause -> atom, so a clause or atom of any size costs one row per literal;
@@ -74,7 +83,7 @@ def components(g: DataFrame, max_rounds: int = 60) -> DataFrame:
         return alone
     clause_min = lits.groupBy("fold", "gid").agg(F.min("atom").alias("m"))
     labels = cut(lits.join(clause_min, ["fold", "gid"]).groupBy(*ATOM).agg(F.min("m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         jump = labels.select("fold", F.col("atom").alias("component"), F.col("component").alias("j"))
         labels = labels.join(jump, ["fold", "component"]).select(*ATOM, F.col("j").alias("component"))
         clause_min = lits.join(labels, ATOM).groupBy("fold", "gid").agg(
@@ -88,13 +97,11 @@ def components(g: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = labels.select(*ATOM, "component")
         if settled:
             break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     lits.unpersist()
     return labels.unionByName(alone)
 
 
-def colour(g: DataFrame, seed: int = 0, max_rounds: int = 1000) -> DataFrame:
+def colour(g: DataFrame, seed: int = 0) -> DataFrame:
     """``fold, atom, colour``: atoms of one colour share no clause.
 
     Each round colours the atoms whose hashed priority is highest among the uncoloured atoms of
@@ -103,10 +110,8 @@ def colour(g: DataFrame, seed: int = 0, max_rounds: int = 1000) -> DataFrame:
     lits = ground_literals(g).select("fold", "gid", "atom").distinct()
     prio = F.struct(F.xxhash64(F.lit(seed), "atom").alias("h"), F.col("atom").alias("a"))
     open_lits = cut(lits.withColumn("prio", prio))
-    done = None
-    for c in range(max_rounds):
-        if open_lits.isEmpty():
-            break
+    done, c = None, 0
+    while c == 0 or not open_lits.isEmpty():
         best = open_lits.groupBy("fold", "gid").agg(F.max("prio").alias("best"))
         chosen = (
             open_lits.join(best, ["fold", "gid"]).groupBy(*ATOM)
@@ -116,8 +121,7 @@ def colour(g: DataFrame, seed: int = 0, max_rounds: int = 1000) -> DataFrame:
         chosen = cut(chosen)
         done = chosen if done is None else done.unionByName(chosen)
         open_lits = cut(open_lits.join(chosen, ATOM, "left_anti"))
-    else:
-        raise RuntimeError("colouring did not finish; raise max_rounds")
+        c += 1
     return done
 
 
@@ -160,15 +164,18 @@ def _uniform(*cols: Column) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
 
 
-def map_state(g: DataFrame, seed: int = 0, max_sweeps: int = 50) -> DataFrame:
-    """``fold, atom, value``: a state no single flip improves, by coordinate ascent colour by colour."""
+def map_state(g: DataFrame, seed: int = 0) -> DataFrame:
+    """``fold, atom, value``: a state no single flip improves, by coordinate ascent colour by colour.
+
+    Every flip raises the total weight, so the sweeps end by themselves.
+    """
     lits = cut(_weighted_literals(g))
     colours = cut(colour(g, seed))
     n = colours.agg(F.max("colour")).first()[0]
     state = cut(colours.select(*ATOM, (_uniform(F.lit(seed), F.col("fold"), F.col("atom")) < 0.5).alias("value")))
     if n is None:
         return state
-    for _ in range(max_sweeps):
+    while True:
         before = state
         for c in range(n + 1):
             f = _field(lits, state, ["fold"], colours.filter(F.col("colour") == c))

@@ -103,23 +103,24 @@ def prune(theory: list[Clause], fb: FactBase, penalty: float = 0.01, prior_std:
 
 def learn_structure(
     fb: FactBase, max_vars: int = 3, max_literals: int = 2, beam_size: int = 5, penalty: float = 0.01,
-    min_gain: float = 0.0, min_weight: float = 0.01, prior_std: float = 100.0, patience: int = 1, max_rounds: int = 3,
+    min_gain: float = 0.0, min_weight: float = 0.01, prior_std: float = 100.0, max_rounds: int | None = None,
     prune_after: bool = False,
 ) -> Theory:
     """Beam search from unit clauses.
 
     Start with fitted unit clauses, add unit clauses with repeated variables, then repeat: expand the
     beam by one edit, score all new candidates together, keep the best by gain, add the best one to
-    the theory; stop after ``patience`` rounds without gain.
+    the theory; stop when no candidate gains, or after ``max_rounds`` if it is given.
     """
     theory = unit_theory(fb)
     repeated = [c for c in unit_clauses(fb.schema, repeated=True) if not c.is_unit()]
     theory = theory + repeated
     fit = fit_weights(theory, fb, prior_std=prior_std, equal_predicates=True)
     beam: list[Clause] = list(theory)
-    trace, idle = [], 0
+    trace, rounds = [], 0
     seen = {canonical_form(c.literals) for c in theory}
-    for _ in range(max_rounds):
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         grown = expand(rules_to_df(fb.spark, beam), fb.schema, max_vars, max_literals)
         fresh = [
             Clause(c.literals, clause_id=c.text)
@@ -134,12 +135,7 @@ def learn_structure(
         top = ok.orderBy(scored.gain.desc(), "clause_id").limit(beam_size).collect()
         by_id = {c.clause_id: c for c in fresh}
         if not top:
-            idle += 1
-            beam = fresh[:beam_size]
-            if idle >= patience:
-                break
-            continue
-        idle = 0
+            break
         beam = [by_id[r["clause_id"]] for r in top]
         theory = theory + [beam[0]]
         fit = fit_weights(theory, fb, prior_std=prior_std, equal_predicates=True)

@@ -19,6 +19,7 @@ LITERALS_TYPE = (
 )
 CLAUSES_DDL = f"clause_id string, formula_id string, weight double, hard boolean, literals {LITERALS_TYPE}"
 EQUALS = "="
+PLAIN_CONSTANT = r"^[A-Z0-9_]\w*$"  # written without quotes; anything else could be read as something else
 
 
 @dataclass(frozen=True, order=True)
@@ -31,7 +32,7 @@ class Term:
         return self.kind == "var"
 
     def __str__(self) -> str:
-        return self.name
+        return self.name if self.is_var or re.search(PLAIN_CONSTANT, self.name) else f'"{self.name}"'
 
 
 def term(text: str) -> Term:
@@ -113,18 +114,30 @@ class Clause:
         return all(a.is_var for a in args) and len(set(args)) == len(args)
 
 
-_LIT = re.compile(r"(!?)\s*([\w]+)\(([^)]*)\)|(!?)\s*([\w\"]+)\s*(!=|=)\s*([\w\"]+)")
+_TERM = r'(?:"[^"]*"|[^\s"(),=!]+)'
+_LIT = re.compile(rf'(!?)\s*(\w+)\(\s*({_TERM}(?:\s*,\s*{_TERM})*)\s*\)|(!?)\s*({_TERM})\s*(!=|=)\s*({_TERM})')
 
 
 def clause(text: str, weight: float = 0.0, hard: bool = False, clause_id: str = "") -> Clause:
-    """Build a rule from its written form, e.g. ``clause("!A(x,y) v B(y,x)")``."""
-    lits = []
-    for neg, pred, args, neg2, left, op, right in _LIT.findall(text):
+    """Build a rule from its written form, e.g. ``clause("!A(x,y) v B(y,x)")``. Text that is not a rule is an error."""
+    lits, at = [], 0
+    while True:
+        m = _LIT.match(text, at + len(text[at:]) - len(text[at:].lstrip()))
+        if m is None:
+            raise ValueError(f"not a rule from {text[at:]!r} on: {text!r}")
+        neg, pred, args, neg2, left, op, right = m.groups()
         if pred:
-            lits.append(Literal(pred, not neg, tuple(term(a) for a in args.split(","))))
+            lits.append(Literal(pred, not neg, tuple(term(a) for a in re.findall(_TERM, args))))
         else:
             positive = (op == "=") != bool(neg2)
             lits.append(Literal(EQUALS, positive, (term(left), term(right))))
+        rest = text[m.end() :]
+        if not rest.strip():
+            break
+        sep = re.match(r"\s+v\s+", rest)
+        if sep is None:
+            raise ValueError(f"not a rule from {rest!r} on: {text!r}")
+        at = m.end() + sep.end()
     return Clause(tuple(lits), weight, hard, clause_id)
 
 

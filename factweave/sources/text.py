@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.literals import term_text
 from ..rules import EQUALS, LITERALS_TYPE
 
 # Fixed line formats.
@@ -12,8 +13,10 @@ FACT = r"^\s*([!?]?)\s*([A-Za-z]\w*)\s*\((.*)\)\s*$"
 COMMENT = r"\s*//.*$"
 FOLD_IN_NAME = r"fold-?(\d+)"
 RULE_WEIGHT = r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s+(.*)$"
-RULE_LITERAL = r"^(!?)\s*([A-Za-z]\w*)\s*\((.*)\)$"
-EQUALITY = r'^(!?)\s*([\w"]+)\s*(!?=)\s*([\w"]+)$'
+_TERM = r'(?:"[^"]*"|[^\s"(),=!]+)'
+RULE_LITERAL = rf"^(!?)\s*([A-Za-z]\w*)\s*\(\s*({_TERM}(?:\s*,\s*{_TERM})*)\s*\)$"
+EQUALITY = rf"^(!?)\s*({_TERM})\s*(!?=)\s*({_TERM})$"
+RULE_SPLIT = r'\s+v\s+(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
@@ -106,28 +109,33 @@ def rule_literals(body: Column) -> Column:
         )
         return F.when(t.rlike(EQUALITY), equality).otherwise(plain)
 
-    return F.transform(F.split(body, r"\s+v\s+"), literal).cast(LITERALS_TYPE)
+    return F.transform(F.split(body, RULE_SPLIT), literal).cast(LITERALS_TYPE)
 
 
-def read_rules(spark: SparkSession, path) -> DataFrame:
-    """Weighted rules ``w  A(x) v !B(x,y)`` and hard rules ending in a full stop.
+def read_rules(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Weighted rules ``w  A(x) v !B(x,y)`` and hard rules ending in a full stop, and a table of rejected lines.
 
     Weights of rules that share a formula are split by the reader of the theory; here each line is
-    its own formula.  Declarations and comments are skipped.
+    its own formula.  Declarations and comments are skipped; any other line is rejected with the reason.
     """
-    lines = _lines(spark, path)
+    lines = _lines(spark, path).filter(~F.col("line").rlike(DECLARATION) | F.col("line").rlike(RULE_WEIGHT))
     hard = F.col("line").endswith(".") & ~F.col("line").rlike(RULE_WEIGHT)
     soft = F.col("line").rlike(RULE_WEIGHT)
-    rows = lines.filter(soft | hard).select(
+    rows = lines.select(
+        "raw", (soft | hard).alias("marked"),
         F.when(soft, F.regexp_extract("line", RULE_WEIGHT, 1).try_cast("double")).otherwise(0.0).alias("weight"),
         F.when(soft, F.lit(False)).otherwise(True).alias("hard"),
         F.when(soft, F.regexp_extract("line", RULE_WEIGHT, 2))
         .otherwise(F.regexp_replace("line", r"\.\s*$", "")).alias("text"),
     )
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return rows.select(
+    written = F.forall(F.split(text, RULE_SPLIT), lambda t: F.trim(t).rlike(RULE_LITERAL) | F.trim(t).rlike(EQUALITY))
+    reason = F.when(~F.col("marked"), "neither a weight nor a full stop").when(~written, "not a rule")
+    rows = rows.withColumn("reason", reason)
+    good = rows.filter("reason is null").select(
         text.alias("clause_id"), text.alias("formula_id"), "weight", "hard", rule_literals(text).alias("literals")
     )
+    return good, rows.filter("reason is not null").select("raw", "reason")
 
 
 def split_formula_weights(clauses: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ def split_formula_weights(clauses: DataFrame) -> DataFrame:
 
 def literals_text(literals: Column) -> Column:
     def one(l: Column) -> Column:
-        args = F.transform(l["args"], lambda a: a["name"])
+        args = F.transform(l["args"], term_text)
         sign = F.when(l["positive"], "").otherwise("!")
         return F.when(
             l["pred"] == EQUALS, F.concat(sign, F.array_join(args, " = "))
@@ -150,7 +158,7 @@ def literals_text(literals: Column) -> Column:
 def write_rules(clauses: DataFrame, path: str) -> None:
     body = literals_text(F.col("literals"))
     line = F.when(F.col("hard"), F.concat(body, F.lit("."))).otherwise(
-        F.concat(F.format_string("%.6g", "weight"), F.lit("  "), body)
+        F.concat(F.col("weight").cast("string"), F.lit("  "), body)
     )
     clauses.select(line.alias("value")).write.mode("overwrite").text(path)
 
