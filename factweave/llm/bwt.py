@@ -26,11 +26,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import common as C
 
 GRAM = 16  # bytes hashed at each place
-REACH = 32  # a phrase begins where the hash is the strict minimum of so many places on either side
+REACH = 40  # a phrase begins where the hash is the strict minimum of so many places on either side
 SHARD = 1 << 17  # phrases per shard, about
 PHRASE_BITS = 27  # 16 MB prefilter of repeated phrases
 NAME_BITS = 24  # 2 MB prefilter of documents
-MAX = C.U64(0xFFFFFFFFFFFFFFFF)
+MAX = np.uint32(0xFFFFFFFF)
+CHUNK = 1 << 17  # bytes of a chunk: its arrays stay in the processor's cache
+_BYTES = (C.seeded(256, 3) >> C.U64(32)).astype(np.uint32)
+
+
+def _gram_hash(buf: np.ndarray) -> np.ndarray:
+    """32-bit hash of the GRAM bytes from every place, put together from halves."""
+    h, span = _BYTES[buf], 1
+    while span < GRAM:
+        h = h[:-span] * np.uint32(0x9E3779B1 + 2 * span) + h[span:]
+        span *= 2
+    h ^= h >> np.uint32(15)
+    return h * np.uint32(0x85EBCA6B)
 
 
 def parse(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,16 +55,16 @@ def parse(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     prefix = C.prefix_hash(buf)
     size = np.diff(offs)
     doc = np.repeat(np.arange(k), size)
-    spaced = np.full(n + (k + 1) * REACH, MAX, C.U64)
+    spaced = np.full(n + (k + 1) * REACH, MAX, np.uint32)  # a gap before, between and after the texts
     if n >= GRAM:
-        at = np.arange(n - GRAM + 1)
-        at = at[at + GRAM <= offs[1:][doc[at]]]
-        g = C.span_hash(prefix, at, at + GRAM)
-        place = at + (doc[at] + 1) * REACH
-        spaced[place] = g
+        g = _gram_hash(buf)
+        for d in np.flatnonzero(size >= GRAM):
+            a, z = offs[d], offs[d + 1] - GRAM + 1
+            spaced[a + (d + 1) * REACH : z + (d + 1) * REACH] = g[a:z]
         low = C.window_min(spaced, REACH)
-        after = np.minimum(place + 1, len(low) - 1)
-        at = at[(g < low[place - REACH]) & (g <= low[after])]
+        here = spaced[REACH : len(low) - 1]
+        place = np.flatnonzero((here < low[: len(here)]) & (here <= low[REACH + 1 :]))
+        at = place - np.searchsorted(offs[1:] + np.arange(1, k + 1) * REACH, place, side="right") * REACH
     else:
         at = np.zeros(0, np.int64)
     start = np.union1d(at, offs[:-1][size > 0])
@@ -66,7 +78,7 @@ def parse(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _symbols(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in C.text_chunks(b.column("text")):
+            for _, _, buf, offs in C.text_chunks(b.column("text"), CHUNK):
                 sym, n = np.unique(parse(buf, offs)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(sym.view(np.int64)), pa.array(n)], names=["sym", "n"])
 
@@ -88,7 +100,7 @@ def _candidates(docs: DataFrame, repeated, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in C.text_chunks(b.column("text")):
+            for lo, hi, buf, offs in C.text_chunks(b.column("text"), CHUNK):
                 start, end, doc, sym, _ = parse(buf, offs)
                 k = hi - lo
                 live = C.in_filter(repeated.value, sym)
@@ -260,7 +272,7 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     """Places where a repeated string begins, as runs, and hashes of the strings not decided by phrases."""
     for b in batches:
         known = b.column("known")
-        for lo, hi, buf, offs in C.text_chunks(b.column("text"), C.CHUNK_BYTES // 2):
+        for lo, hi, buf, offs in C.text_chunks(b.column("text"), CHUNK):
             k = hi - lo
             start, end, doc, _, prefix = parse(buf, offs)
             bounds = C.per_text(doc, k)
