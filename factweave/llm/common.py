@@ -1,6 +1,6 @@
 """Shared helpers: tables in the shared folder, fixed-size filters, hashing of many texts at once.
 
-Texts are hashed a chunk at a time with numpy: a chunk is a run of whole texts of about a megabyte
+Texts are hashed a chunk at a time with numpy: a chunk is a run of whole texts of about a quarter megabyte
 (a longer text is a chunk by itself), so the memory of a task does not depend on its partition.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.storage import fresh_path
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D

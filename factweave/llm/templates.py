@@ -140,8 +140,16 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     return tokens, blocks
 
 
+_HASHES: dict[str, int] = {}  # of the tokens a worker has met lately
+
+
 def _hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) - (1 << 63)
+    got = _HASHES.get(token)
+    if got is None:
+        if len(_HASHES) > 200_000:
+            _HASHES.clear()
+        got = _HASHES[token] = xxhash.xxh64_intdigest(token) - (1 << 63)
+    return got
 
 
 # ---------------------------------------------------------------- equivalence classes of a host
@@ -155,24 +163,21 @@ def _vectors(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[str, dict[int, list]] = {}
+            held: dict[str, dict[str, tuple[int, float]]] = {}
             count: Counter = Counter()
-            for uid, host, page in zip(*(b.column(c).to_pylist() for c in ("uid", "host", "html"))):
-                tokens = [_hash(t) for t in parse(page)[0]]
-                first: dict[int, int] = {}
-                for i, t in enumerate(tokens):
-                    first.setdefault(t, i)
+            for uid, host, page in zip(b.column("uid").to_pylist(), b.column("host").to_pylist(), b.column("html")):
+                tokens = parse(page.as_py())[0]
                 n = Counter(tokens)
-                mine = {
-                    t: [xxhash.xxh64_intdigest(f"{uid} {k}") - (1 << 63), first[t] / len(tokens)] for t, k in n.items()
-                    if host not in held or t in held[host]
-                }
-                if host in held:
-                    old = held[host]
-                    mine = {t: [v[0] ^ old[t][0], v[1] + old[t][1]] for t, v in mine.items()}
+                first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1)))
+                old = held.get(host)
+                stays = n if old is None else [t for t in old if t in n]
+                vector = {k: xxhash.xxh64_intdigest(f"{uid} {k}") - (1 << 63) for k in {n[t] for t in stays}}
+                mine = {t: (vector[n[t]], first[t] / len(tokens)) for t in stays}
+                if old is not None:
+                    mine = {t: (v ^ old[t][0], at + old[t][1]) for t, (v, at) in mine.items()}
                 held[host] = mine
                 count[host] += 1
-            rows = [(h, t, count[h], v, at) for h, own in held.items() for t, (v, at) in own.items()]
+            rows = [(h, _hash(t), count[h], v, at) for h, own in held.items() for t, (v, at) in own.items()]
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
