@@ -229,6 +229,49 @@ def q_units(spark, sf):
     return fixed.select("atom", "value")
 
 
+@query(
+    "hard_beside_soft",
+    ORDER_SQL + """SELECT 'Big(' || b || ')' AS atom, false AS hard, CAST(-0.3 AS DOUBLE) AS weight FROM (SELECT DISTINCT b FROM Placed)
+UNION ALL SELECT 'Big(' || a || ')', true, CAST(0 AS DOUBLE) FROM urgent WHERE a IN (SELECT b FROM Placed)""",
+)
+def q_hard_beside_soft(spark, sf):
+    """A hard rule and a soft rule on the same atom stay two ground clauses."""
+    base = view_fact_base(spark, sf, ["Placed", "Priority"])
+    fb = FactBase(Schema.of(*base.schema, Predicate("Big", ("order",))), base.facts)
+    q = fb.relation("Placed").select("fold", F.lit("Big").alias("pred"), F.array("a1").alias("args")).distinct()
+    rules = [
+        clause('!Priority(o,"1-URGENT") v Big(o)', 0.0, hard=True, clause_id="urgent_is_big"),
+        clause("!Big(o)", 0.3, clause_id="few_big"),
+    ]
+    merged = GR.merge_ground(GR.ground_network(rules, fb, q))
+    return merged.select(F.col("lits")[0]["atom"].alias("atom"), "hard", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "propagation_chain",
+    views("CustNation", "Placed", "Contains") + """, vip AS (SELECT a FROM CustNation WHERE b = 'N3'),
+rush AS (SELECT DISTINCT p.b AS a FROM Placed p JOIN vip v ON p.a = v.a), scarce AS (SELECT DISTINCT c.b AS a FROM Contains c JOIN rush r ON c.a = r.a)
+SELECT 'Vip(' || a || ')' AS atom, true AS value FROM vip UNION ALL SELECT 'Rush(' || a || ')', true FROM rush
+UNION ALL SELECT 'Scarce(' || a || ')', true FROM scarce""",
+)
+def q_propagation_chain(spark, sf):
+    """Hard rules carry a fixed atom from customers to their orders and on to the parts in them."""
+    base = view_fact_base(spark, sf, ["CustNation", "Placed", "Contains"])
+    schema = Schema.of(*base.schema, Predicate("Vip", ("customer",)), Predicate("Rush", ("order",)), Predicate("Scarce", ("part",)))
+    fb = FactBase(schema, base.facts)
+    q = union_all([
+        fb.relation(rel).select("fold", F.lit(pred).alias("pred"), F.array(col).alias("args")).distinct()
+        for rel, pred, col in (("CustNation", "Vip", "a0"), ("Placed", "Rush", "a1"), ("Contains", "Scarce", "a1"))
+    ])
+    rules = [
+        clause('!CustNation(c,"N3") v Vip(c)', hard=True, clause_id="nation"),
+        clause("!Placed(c,o) v !Vip(c) v Rush(o)", hard=True, clause_id="orders"),
+        clause("!Contains(o,p) v !Rush(o) v Scarce(p)", hard=True, clause_id="parts"),
+    ]
+    _, fixed = I.propagate_units(GR.merge_ground(GR.ground_network(rules, fb, q)))
+    return fixed.select("atom", "value")
+
+
 @query(
     "network_components",
     ORDER_SQL + """SELECT 'Loyal(' || a || ')' AS atom, min('Big(' || b || ')') AS component FROM Placed GROUP BY a
