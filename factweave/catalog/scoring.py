@@ -395,13 +395,15 @@ def q_pr(spark, sf):
 @query(
     "cross_validation_report",
     PREDICTIONS_SQL + """, q AS (SELECT *, CAST(doc_id % 4 AS INTEGER) AS fold FROM p), g AS (SELECT fold, p, CAST(sum(y) AS DOUBLE) AS tp, CAST(sum(1 - y) AS DOUBLE) AS fp FROM q GROUP BY fold, p),
-c AS (SELECT *, sum(tp) OVER (PARTITION BY fold ORDER BY p DESC) AS ct FROM g), r AS (SELECT fold, sum(fp * (ct - tp / 2)) / (sum(tp) * sum(fp)) AS roc FROM c GROUP BY fold),
-cl AS (SELECT fold, avg(CASE WHEN y = 1 THEN ln(CASE WHEN p = 0 THEN 1e-6 ELSE p END) ELSE ln(1 - CASE WHEN p = 1 THEN 1 - 1e-6 ELSE p END) END) AS cll FROM q GROUP BY fold)
-SELECT fold, round(cll, 6) AS cll, round(roc, 6) AS auc_roc FROM r JOIN cl USING (fold)""",
+c AS (SELECT *, sum(tp) OVER (PARTITION BY fold ORDER BY p DESC) AS ct, sum(fp) OVER (PARTITION BY fold ORDER BY p DESC) AS cf FROM g), r AS (SELECT fold, sum(fp * (ct - tp / 2)) / (sum(tp) * sum(fp)) AS roc FROM c GROUP BY fold),
+cl AS (SELECT fold, avg(CASE WHEN y = 1 THEN ln(CASE WHEN p = 0 THEN 1e-6 ELSE p END) ELSE ln(1 - CASE WHEN p = 1 THEN 1 - 1e-6 ELSE p END) END) AS cll FROM q GROUP BY fold),
+s AS (SELECT fold, tp, CASE WHEN tp > 0 THEN 1 + fp / tp END AS k, ct - tp AS t0, ct - tp + cf - fp AS n0 FROM c),
+pr AS (SELECT fold, sum(CASE WHEN tp = 0 THEN 0 WHEN n0 = 0 THEN tp / k ELSE tp / k + (t0 - n0 / k) / k * ln((n0 + k * tp) / n0) END) / sum(tp) AS pr FROM s GROUP BY fold)
+SELECT fold, round(cll, 6) AS cll, round(roc, 6) AS auc_roc, round(pr, 6) AS auc_pr FROM r JOIN cl USING (fold) JOIN pr USING (fold)""",
 )
 def q_cv(spark, sf):
     p = predictions(spark, sf).withColumn("fold", (F.regexp_extract("atom", r"(\d+)", 1).cast("bigint") % 4).cast("int"))
-    return EV.cv_report(p).select("fold", r6("cll"), r6("auc_roc"))
+    return EV.cv_report(p).select("fold", r6("cll"), r6("auc_roc"), r6("auc_pr"))
 
 
 @query(

@@ -66,27 +66,21 @@ def bucket_of(value: Column, bounds: list[float]) -> Column:
     return tree(0, len(bounds))
 
 
-def running_totals(
-    df: DataFrame, by: list[str], order: str, values: list[str], descending: bool = True, buckets: int = 128
-) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], descending: bool = True) -> DataFrame:
     """Cumulative sums of ``values`` over distinct ``order`` values within ``by``: adds ``cum_<value>``.
 
-    Equal order values are summed first, so the frame is the range frame; bucket bounds are
-    quantiles of the order values, a driver-side list of fixed length.
+    Equal order values are summed first, so the frame is the range frame. The sums are range-partitioned on
+    (by, order) and stored; totals per group and partition, a table in proportion to groups plus partitions, give
+    the offsets, and the windows stay inside partitions. A group of any size is spread like any other rows.
     """
     sums = df.groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
-    probs = [i / buckets for i in range(1, buckets)]
-    row = sums.agg(F.percentile_approx(order, probs, 10000).alias("q")).first()
-    bounds = sorted(set(row["q"] or []))
-    rows = sums.withColumn("@b", bucket_of(F.col(order), bounds))
-    if descending:
-        rows = rows.withColumn("@b", -F.col("@b"))
-    totals = rows.groupBy(*by, "@b").agg(*[F.sum(v).alias(v) for v in values])
-    before = W.partitionBy(*by).orderBy("@b") if by else W.orderBy("@b")
-    offsets = totals.select(*by, "@b", *[(F.sum(v).over(before) - F.col(v)).alias(f"@o_{v}") for v in values])
     key = F.col(order).desc() if descending else F.col(order).asc()
-    inner = W.partitionBy(*by, "@b").orderBy(key)
-    out = rows.withColumns({f"@c_{v}": F.sum(v).over(inner) for v in values}).join(offsets, by + ["@b"])
+    rows = cut(sums.orderBy(*by, key).withColumn("@part", F.spark_partition_id()))
+    totals = rows.groupBy(*by, "@part").agg(*[F.sum(v).alias(v) for v in values])
+    before = W.partitionBy(*by).orderBy("@part") if by else W.orderBy("@part")
+    offsets = totals.select(*by, "@part", *[(F.sum(v).over(before) - F.col(v)).alias(f"@o_{v}") for v in values])
+    inner = W.partitionBy(*by, "@part").orderBy(key)
+    out = rows.withColumns({f"@c_{v}": F.sum(v).over(inner) for v in values}).join(offsets, by + ["@part"])
     return out.select(
         *by, order, *values, *[(F.col(f"@c_{v}") + F.col(f"@o_{v}")).alias(f"cum_{v}") for v in values]
     )
