@@ -11,6 +11,7 @@ from .base import good_docs
 from .scoring import PAIR_SQL, ranking
 from ..facts import FactBase
 from ..functions import literals as LT
+from ..functions.computed import computed_column, register_predicate
 from ..operators import conditional as CO, fields as FI, generate as G, grounding as GR, infer as I, search as SE
 from ..plans.counting import clause_counts
 from ..plans.storage import fresh_path
@@ -265,6 +266,45 @@ def q_cliques(spark, sf):
     )
 
 
+@query(
+    "computed_relations",
+    """WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS a, CAST(p_size AS BIGINT) AS b, p_brand AS s, split_part(p_type, ' ', 1) AS k, p_type AS ty FROM part)
+SELECT 'P' || a AS part, a = b + 1 AS succ, a + b = a + 7 AS plus, a - b = a - 7 AS minus, a * b = a * 7 AS times, a // b = 3 AS divided_by, a % b = 2 AS mod,
+contains(ty, k) AS substr, contains(s, k) AS substr_other, true AS concat, s || k = k || s AS concat_other, lower(k[1]) = 's' AS registered FROM t""",
+)
+def q_computed(spark, sf):
+    """Every integer and text relation, and one that is registered here, on the columns of all parts."""
+    register_predicate("beginsWith", lambda a, b: F.lower(F.substring(a, 1, 1)) == b)
+    t = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.col("p_partkey").cast("string").alias("a"), F.col("p_size").cast("string").alias("b"), F.col("p_brand").alias("s"),
+        F.split("p_type", " ")[0].alias("k"), F.col("p_type").alias("ty"),
+    )
+    a, b, s, k, ty = (F.col(c) for c in ("a", "b", "s", "k", "ty"))
+    plus7, minus7 = (a.cast("bigint") + 7).cast("string"), (a.cast("bigint") - 7).cast("string")
+    cc = computed_column
+    return t.select(
+        F.concat(F.lit("P"), a).alias("part"), cc("succ", b, a).alias("succ"), cc("plus", a, b, plus7).alias("plus"),
+        cc("minus", a, b, minus7).alias("minus"), cc("times", a, b, (a.cast("bigint") * 7).cast("string")).alias("times"),
+        cc("dividedBy", a, b, F.lit("3")).alias("divided_by"), cc("mod", a, b, F.lit("2")).alias("mod"),
+        cc("substr", k, ty).alias("substr"), cc("substr", k, s).alias("substr_other"), cc("concat", s, k, F.concat(s, k)).alias("concat"),
+        cc("concat", s, k, F.concat(k, s)).alias("concat_other"), cc("beginsWith", k, F.lit("s")).alias("registered"),
+    )
+
+
+@query(
+    "long_rules_of_parts",
+    "SELECT count(*) AS n FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)",
+)
+def q_long_rules(spark, sf):
+    """A seven-literal rule for every brand, type and size, each written twice in different orders under different names."""
+    types = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", "p_type", F.col("p_size").cast("string").alias("size")).distinct()
+    form = '!Is%s(x,y) v !Is%s(y,z) v !Is%s(z,w) v R(x,y) v R(y,z) v R(z,w) v !R(w,x)'
+    other = '!R(d,a) v R(c,d) v R(b,c) v R(a,b) v !Is%3$s(c,d) v !Is%2$s(b,c) v !Is%1$s(a,b)'
+    words = [F.regexp_replace("p_brand", r"\W", ""), F.regexp_replace("p_type", r"\W", ""), F.col("size")]
+    texts = types.select(F.format_string(form, *words).alias("t")).unionByName(types.select(F.format_string(other, *words).alias("t")))
+    return G.distinct_rules(texts.select(TX.rule_literals(F.col("t")).alias("literals"))).agg(F.count(F.col("text")).alias("n"))
+
+
 # ---- search, conditional weights, completion ----
 
 
