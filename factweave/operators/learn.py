@@ -232,8 +232,11 @@ def score_candidates(
 ) -> DataFrame:
     """Gain of adding each candidate to the base theory, all candidates fitted by the same jobs.
 
-    ``clause_id, weight, base_score, new_score, gain`` with gain = new - base - literals * penalty.
+    ``clause_id, weight, base_score, new_score, gain, converged`` with gain = new - base - literals * penalty. A
+    candidate whose fit, or the base's, has not settled within ``max_iter`` has no gain, so no search accepts it.
     """
+    if len({c.clause_id for c in candidates} | {c.clause_id for c in base}) != len(candidates) + len(base):
+        raise ValueError("candidates and base theory share a clause id")
     problems = {"@base": list(base)}
     for c in candidates:
         problems[c.clause_id] = list(base) + [c]
@@ -251,12 +254,14 @@ def score_candidates(
             fits[c.clause_id].weights[c.clause_id],
             base_fit.value,
             fits[c.clause_id].value,
-            fits[c.clause_id].value - base_fit.value - penalty * len(c.literals),
+            fits[c.clause_id].value - base_fit.value - penalty * len(c.literals)
+            if base_fit.converged and fits[c.clause_id].converged else None,
+            base_fit.converged and fits[c.clause_id].converged,
         )
         for c in candidates
     ]
     return small_table(fb.spark,
-        rows, "clause_id string, weight double, base_score double, new_score double, gain double"
+        rows, "clause_id string, weight double, base_score double, new_score double, gain double, converged boolean"
     )
 
 
