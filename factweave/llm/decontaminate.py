@@ -19,7 +19,7 @@ from . import common as C
 GRAM = 5
 FILTER_BITS = 24  # 2 MB, whatever the benchmark's size; only a prefilter of the join
 
-_FOUND = "uid long, key long, n_words long, found array<struct<fp: long, span: int, pos: int, lead: int, words: string>>"
+_FOUND = "uid long, key long, name long, n_words long, found array<struct<fp: long, span: int, pos: int, lead: int, words: string>>"
 _ITEM = "item_id string, fp long, span int, item_pos int, item_words string"
 
 
@@ -101,11 +101,11 @@ def _document_fingerprints(docs: DataFrame, spans: list[int], window: int, filte
             kind = pa.list_(pa.struct([("fp", pa.int64()), ("span", pa.int32()), ("pos", pa.int32()),
                                        ("lead", pa.int32()), ("words", pa.string())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("uid"), b.column("key"), pa.array(n_words), pa.array(found, kind)],
-                names=["uid", "key", "n_words", "found"],
+                [b.column("uid"), b.column("key"), b.column("name"), pa.array(n_words), pa.array(found, kind)],
+                names=["uid", "key", "name", "n_words", "found"],
             )
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "key", "text").mapInArrow(run, _FOUND)
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "key", "name", "text").mapInArrow(run, _FOUND)
 
 
 def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -140,11 +140,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, ke
     without id counts under the id ''; item rows that share an id count as one item; repeated documents
     each get their row; empty tables give an empty result or zero hits; other columns are ignored.
     """
+    return _judged(docs, benchmark, window, key).select(F.col("key").alias(key), "n_words", "n_hit", "items", "spans")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, key: str) -> DataFrame:
+    """The rows of ``contamination``, with the name of each document's key and text."""
     spark = docs.sparkSession
     items = C.materialise(item_fingerprints(benchmark, window), "items")
     spans = sorted({r["span"] for r in items.select("span").distinct().collect()})  # at most ``window`` values
     filter_ = spark.sparkContext.broadcast(C.bit_filter(items, "fp", FILTER_BITS))
-    base = C.materialise(_document_fingerprints(C.rows_of(docs, key=key), spans, window, filter_), "kept_grams")
+    base = C.materialise(_document_fingerprints(C.named_texts(docs, key=key), spans, window, filter_), "kept_grams")
     found = base.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     hits = found.join(items, ["fp", "span"]).select(
         "uid", "pos", "lead", "words", "span", "item_id", "item_pos", "item_words"
@@ -164,8 +169,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, ke
         ).otherwise(F.concat(acc, F.array(x))),
     )
     per_doc = joined.select("uid", "items", F.when(F.size("runs") > 0, merged).alias("spans"))
-    return base.select("uid", "key", "n_words").join(per_doc, "uid", "left").select(
-        F.col("key").alias(key), "n_words",
+    return base.select("uid", "key", "name", "n_words").join(per_doc, "uid", "left").select(
+        "key", "name", "n_words",
         F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"),
         F.coalesce("spans", F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)")).alias("spans"),
@@ -178,6 +183,9 @@ def contaminated() -> Column:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = 13) -> DataFrame:
-    """The documents that are not contaminated, with all their columns (doc_id null: judged like any other)."""
-    bad = contamination(docs, benchmark, window=window).filter(contaminated()).select(F.col("doc_id").alias("@bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["@bad"]), "left_anti")
+    """The documents that are not contaminated, with all their columns.
+
+    Each is judged by its own text, whether its doc_id is null, repeated or neither.
+    """
+    bad = _judged(docs, benchmark, window, "doc_id").filter(contaminated()).select(F.col("name").alias("@name")).distinct()
+    return docs.withColumn("@name", C.name_of("doc_id", "text")).join(bad, "@name", "left_anti").select(docs.columns)

@@ -57,13 +57,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo in range(0, len(texts), 256):
             parts.append(fingerprint_batch(texts.slice(lo, 256).cast(pa.large_binary()).to_pylist()))
         yield pa.RecordBatch.from_arrays(
-            [b.column("key"), pa.array(np.concatenate(parts).view(np.int64))], names=["key", "fp"]
+            [b.column("key"), b.column("name"), pa.array(np.concatenate(parts).view(np.int64))], names=["key", "name", "fp"]
         )
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """(key, fp) of every document."""
-    return C.rows_of(docs, key=key).mapInArrow(_fingerprints, "key long, fp long")
+    """(key, name, fp) of every document; the name is of its key and text."""
+    return C.named_texts(docs, key=key).mapInArrow(_fingerprints, "key long, name long, fp long")
 
 
 # ---------------------------------------------------------------- the trie self-join
@@ -205,6 +205,11 @@ def near_duplicates(docs: DataFrame, *, budget: int = 2, key: str = "doc_id") ->
     smallest, so a component of null keys only has a null component; an empty table gives an empty
     result; other columns are ignored.
     """
+    return _rooted(docs, budget, key).select(F.col("key").alias(key), "fp", "component")
+
+
+def _rooted(docs: DataFrame, budget: int, key: str) -> DataFrame:
+    """(key, name, fp, root, component) of every document; roots tell components of equal smallest key apart."""
     base = C.materialise(fingerprints(docs, key=key), "fingerprints")
     distinct = C.materialise(base.groupBy("fp").agg(F.min("key").alias("low")), "distinct_fingerprints")
     found = C.materialise(links(distinct, budget), "links")
@@ -213,18 +218,22 @@ def near_duplicates(docs: DataFrame, *, budget: int = 2, key: str = "doc_id") ->
         "fp", F.coalesce("root", "fp").alias("root"), "low"
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    of_fp = rooted.join(lowest, "root").select("fp", "component")
-    return base.join(of_fp, "fp").select(F.col("key").alias(key), "fp", "component")
+    of_fp = rooted.join(lowest, "root").select("fp", "root", "component")
+    return base.join(of_fp, "fp")
 
 
 def one_of_each(docs: DataFrame, *, budget: int = 2) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest doc_id stays.
+    """The documents without near-duplicates: of each component one with the smallest doc_id stays.
 
-    Documents without id are kept only in components that have no id at all. Rows that repeat an id are
-    one document.
+    A document is its id and its text: of a component without ids one document stays, texts that share an id are judged
+    by themselves, and rows that repeat both are one document.
     """
-    found = C.materialise(near_duplicates(docs, budget=budget), "components")
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("@id"))
-    kept = docs.join(stays.distinct(), docs["doc_id"].eqNullSafe(F.col("@id")), "left_semi")
-    repeated = stays.groupBy("@id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    named = docs.withColumn("@name", C.name_of("doc_id", "text"))
+    found = C.materialise(_rooted(docs, budget, "doc_id"), "components")
+    lowest = found.filter(F.col("key").eqNullSafe(F.col("component")))
+    stays = C.materialise(lowest.groupBy("root").agg(F.min("name").alias("@name")).select("@name"), "stays")
+    kept = named.join(stays, "@name", "left_semi")
+    repeated = lowest.join(stays, lowest["name"] == stays["@name"], "left_semi").groupBy("name").count().filter("count > 1")
+    if repeated.limit(1).count():
+        kept = kept.dropDuplicates(["@name"])
+    return kept.select(docs.columns)

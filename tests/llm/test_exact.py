@@ -92,6 +92,20 @@ def test_one_of_each(frame):
     assert set(kept) == want and len(kept) == len(set(kept))
 
 
+def test_rows_stay_or_go_by_id_and_text(frame):
+    rng = random.Random(31)
+    texts = [prose(rng, 120, 4000) for _ in range(7)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " "), (1, texts[2]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (2, texts[4])]
+    kept = Counter((r.doc_id, r.text.strip()) for r in simhash.one_of_each(frame(docs)).collect())
+    assert kept == Counter([(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4])])
+    item = prose(rng, 30, 4000)
+    docs = [(None, texts[0]), (None, item), (3, texts[1]), (3, item), (4, texts[2]), (None, None)]
+    items = frame([(1, item)]).withColumnRenamed("doc_id", "item_id")
+    clean = decontaminate.clean_documents(frame(docs), items)
+    assert clean.columns == frame(docs).columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter([(None, texts[0]), (3, texts[1]), (4, texts[2]), (None, None)])
+
+
 @pytest.mark.parametrize("budget", [0, 1, 2, 3])
 def test_trie_links_over_many_subtrees(spark, monkeypatch, budget):
     monkeypatch.setattr(simhash, "SUBTREE", 16)
