@@ -218,6 +218,24 @@ def test_without_repeats(frame):
     assert all(k is None or k in left for k, _ in ODD)
 
 
+def test_every_word_stays_somewhere(frame):
+    rng = random.Random(5)
+    t, u = prose(rng, 300, 5000).split(), prose(rng, 160, 5000).split()
+    pad = lambda: prose(rng, 80, 5000).split()
+    own = {k: (pad(), pad()) for k in (1, 5, 7, 9, 20, 30)}
+    part = {1: t[120:180], 20: t, 30: t, 5: u[:100], 9: u, 7: u[60:]}
+    docs = [(k, " ".join(own[k][0] + part[k] + own[k][1])) for k in part]
+    left = {r.doc_id: r.text.split() for r in passages.without_repeats(frame(docs)).collect()}
+    inner = {k: left[k][80:-80] for k in left}
+    assert all(left[k][:70] == own[k][0][:70] and left[k][-70:] == own[k][1][-70:] for k in left)
+    # the document with the smallest key keeps what it has, and later ones what no earlier one has
+    assert inner[1] == part[1] and len(inner[30]) <= 12 and len(inner[9]) <= 12
+    assert inner[20] == t[:120] + t[180:] or abs(len(inner[20]) - 240) <= 12
+    runs = {tuple(w[i : i + 4]) for w in left.values() for i in range(len(w) - 3)}
+    for text in (t, u):
+        assert sum(tuple(text[i : i + 4]) not in runs for i in range(len(text) - 3)) <= 12
+
+
 def test_compact_windows_hold_every_passage_once():
     h = np.random.default_rng(4).permutation(60).astype(np.uint64)
     windows = passages.compact_windows(h, 7)
