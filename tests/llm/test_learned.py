@@ -236,6 +236,57 @@ def test_every_word_stays_somewhere(frame):
         assert sum(tuple(text[i : i + 4]) not in runs for i in range(len(text) - 3)) <= 12
 
 
+def test_a_family_of_edited_copies_like_brute_force(frame):
+    rng = random.Random(17)
+    base = prose(rng, 62, 5000).split()
+    docs = []
+    for k in range(90):
+        w = base.copy()
+        for i in rng.sample(range(62), k % 4):
+            w[i] = f"new{rng.randrange(3)}"
+        docs.append((k, " ".join(prose(rng, 20, 9000).split() + w + prose(rng, 20, 9000).split())))
+    names: dict[tuple, int] = {}
+    grams = []
+    for _, t in docs:
+        w = t.split()
+        grams.append(np.array([names.setdefault(tuple(w[i : i + 5]), len(names)) for i in range(len(w) - 4)]))
+    up = list(range(len(docs)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    linked = set()
+    for x in range(len(docs)):
+        for y in range(x + 1, len(docs)):
+            where = {int(g): d for d, g in enumerate(grams[y])}
+            meet = [(c, where[g]) for c, g in enumerate(grams[x].tolist()) if g in where]
+            if passages.verify(grams[x], grams[y], meet, 46, 0.8):
+                linked |= {x, y}
+                up[max(find(x), find(y))] = min(find(x), find(y))
+    got = {r.doc_id: r["first"] for r in passages.near_passages(frame(docs)).collect()}
+    assert len(linked) > 60 and got == {k: find(k) for k in linked}
+
+
+def test_two_halves_of_a_class_are_joined(frame):
+    # variants of one passage with a changed word each, of which any two are near-duplicates only by one function or another
+    rng = random.Random(23)
+    docs, want = [], {}
+    for group in range(60):
+        base = prose(rng, 50, 5000).split()
+        for v in range(2):
+            w = base.copy()
+            if v:
+                w[25] = "changed"
+            k = 2 * group + v
+            docs.append((k, " ".join(prose(rng, 20, 9000).split() + w + prose(rng, 20, 9000).split())))
+            want[k] = 2 * group
+    got = {r.doc_id: r["first"] for r in passages.near_passages(frame(docs)).collect()}
+    assert got == want
+    assert passages.shared_run(46, 0.8) == 21
+
+
 def test_compact_windows_hold_every_passage_once():
     h = np.random.default_rng(4).permutation(60).astype(np.uint64)
     windows = passages.compact_windows(h, 7)
