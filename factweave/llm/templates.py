@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tags and words of a page are tokens, told apart by the elements around them. Tokens of a host that occur equally
-often on every one of its pages have the same occurrence vector and form an equivalence class; the vector is
+often on each of its pages have the same occurrence vector and form an equivalence class, if enough pages hold them; the vector is
 kept as a hash that adds up over pages in any order, so a host of any size is summed in many tasks. On a page a class
 is valid if its tokens come in one fixed order as often as they occur, and each round of them lies in one slot of
 the class that holds it. Valid classes make the template; the text between them is in its slots. The main text
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 
 MIN_PAGES = 5  # hosts with fewer pages have no template of their own
+LAYOUT = 10  # a layout is on one of so many pages of its host at least
 
 # fixed names of elements and of words in class, id and role attributes
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,45 +157,65 @@ def _hash(token: str) -> int:
 
 
 def _vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, vector, at) summed over the pages of each batch.
-
-    A token of the template stands on every page, so one that is missing from a page of the batch is left out.
-    """
+    """(host, token, n_pages, vector, at) summed over runs of pages; a null token counts the pages that hold any."""
+
+    def flush(hosts: list[str], parts: list[tuple]) -> pa.RecordBatch:
+        own, token, vector, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((token, own))
+        own, token = own[order], token[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (token[1:] != token[:-1])
+        start = np.flatnonzero(new)
+        pages = np.bincount([p[0][0] for p in parts], minlength=len(hosts))
+        n = np.concatenate((np.diff(np.append(start, len(own))), pages))
+        none, zero = [None] * len(hosts), np.zeros(len(hosts))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([hosts[i] for i in own[start].tolist()] + hosts, pa.string()),
+                pa.array(token[start].tolist() + none, pa.int64()), pa.array(n, pa.int64()),
+                pa.array(np.concatenate((np.bitwise_xor.reduceat(vector[order], start), zero.astype(np.int64)))),
+                pa.array(np.concatenate((np.add.reduceat(at[order], start), zero))),
+            ],
+            names=["host", "token", "n_pages", "vector", "at"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
+        parts: list[tuple] = []
+        held = 0
         for b in batches:
-            held: dict[str, dict[str, tuple[int, float]]] = {}
-            count: Counter = Counter()
             for uid, host, page in zip(b.column("uid").to_pylist(), b.column("host").to_pylist(), b.column("html")):
                 tokens = parse(page.as_py())[0]
-                n = Counter(tokens)
-                first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1)))
-                old = held.get(host)
-                stays = n if old is None else [t for t in old if t in n]
-                vector = {k: xxhash.xxh64_intdigest(f"{uid} {k}") - (1 << 63) for k in {n[t] for t in stays}}
-                mine = {t: (vector[n[t]], first[t] / len(tokens)) for t in stays}
-                if old is not None:
-                    mine = {t: (v ^ old[t][0], at + old[t][1]) for t, (v, at) in mine.items()}
-                held[host] = mine
-                count[host] += 1
-            rows = [(h, _hash(t), count[h], v, at) for h, own in held.items() for t, (v, at) in own.items()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "token", "n_pages", "vector", "at"]
-            )
+                if not tokens:
+                    continue
+                t, first, n = np.unique(np.array([_hash(x) for x in tokens], np.int64), return_index=True, return_counts=True)
+                v = C.mix(C.mix(np.full(1, uid, C.U64)) + n.astype(C.U64)).view(np.int64)
+                parts.append((np.full(len(t), number.setdefault(host, len(number)), np.int32), t, v, first / len(tokens)))
+                held += len(t)
+                if held > 1_000_000:
+                    yield flush(list(number), parts)
+                    number, parts, held = {}, [], 0
+        if parts:
+            yield flush(list(number), parts)
 
     return pages.select("uid", "host", "html").mapInArrow(run, "host string, token long, n_pages long, vector long, at double")
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, classes): per host the tokens of every page, in classes of equal occurrence vectors and mean order."""
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    tokens = _vectors(pages).groupBy("host", "token").agg(
-        F.sum("n_pages").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("at").alias("at")
+    """(host, classes): per host its tokens in classes of equal occurrence vectors and mean order.
+
+    Pages without tokens are no pages of a host. A class stands on at least MIN_PAGES pages and a tenth of its host's: pages
+    that are cut off or laid out in another way have classes of their own and leave those of the others alone.
+    """
+    tokens = C.materialise(
+        _vectors(pages).groupBy("host", "token").agg(
+            F.sum("n_pages").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("at").alias("at")
+        ).filter(F.col("n") >= MIN_PAGES), "host_tokens",
     )
-    everywhere = tokens.join(sizes, "host").filter((F.col("n") == F.col("size")) & (F.col("size") >= MIN_PAGES))
-    classes = everywhere.groupBy("host", "vector").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("members"))
+    sizes = tokens.filter(F.col("token").isNull()).select("host", F.col("n").alias("size"))
+    frequent = tokens.filter(F.col("token").isNotNull()).join(sizes, "host").filter(F.col("n") * LAYOUT >= F.col("size"))
+    classes = frequent.groupBy("host", "vector").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("at") / F.col("n")).alias("at"), "token"))).alias("members"))
     return classes.filter(F.size("members") > 1).groupBy("host").agg(
         F.collect_list(F.transform("members", lambda x: x["token"])).alias("classes")
     )

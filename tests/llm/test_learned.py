@@ -156,6 +156,24 @@ def test_a_host_of_copies_keeps_its_article(spark):
     assert {r.text for r in templates.extract(frame).collect()} == {"the same words on every page"}
 
 
+def test_odd_pages_leave_the_template_of_a_host(spark):
+    rng = random.Random(13)
+    text = {k: prose(rng, 30, 2000) for k in range(30)}
+    full = {
+        k: page(f"<article><h1>{k} {text[k][:20]}</h1><p>{text[k]}</p><div class=q7><p>Our desk moved to the second floor</p></div><p>{text[k][::-1]}</p></article>")
+        for k in range(20)
+    }
+    full |= {k: f"<main><div class=k2>Opening hours are unchanged</div><p>{text[k]}</p></main>" for k in range(20, 30)}
+    rows = [(k, "http://a.example/", h) for k, h in full.items()]
+    rows += [(50, "http://a.example/", None), (51, "http://a.example/", ""), (52, "http://a.example/", full[0][: full[0].index("<p>") + 9])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(frame).collect()}
+    for k in range(20):
+        assert got[k].split("\n") == [f"{k} {text[k][:20]}".strip(), text[k], text[k][::-1]]
+    assert all(got[k] == text[k] for k in range(20, 30))
+    assert got[50] == got[51] == ""
+
+
 def test_classes_out_of_order_are_not_template():
     a, b, c = 1, 2, 3
     assert templates.template_places([a, 9, b, 8, c], [[a, b, c]]).tolist() == [True, False, True, False, True]
