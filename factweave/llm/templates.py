@@ -47,38 +47,42 @@ CLOSES = {  # an opening tag ends these open elements
 }
 
 _PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Block(NamedTuple):
     main: bool  # inside an article or main element
-    aside: bool  # inside an element of another role
+    hard: bool  # inside an element of another role by its tag
+    soft: bool  # inside an element of another role by its class, id or role
+    doubt: bool  # inside an element whose names only hint at another role, or in an article inside a soft one
     tokens: list[int]  # numbers of its words among the page's tokens
     words: list[str]
 
 
-def _aside(name: str, attributes: str) -> bool:
-    if name in ASIDE:
-        return True
+def _names(attributes: str) -> int:
+    """2 if a class, id or role is made of words of other roles, 1 if only a part of one is, else 0."""
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if any(w.lower() in ASIDE_WORDS for w in _NAME_WORD.findall(value)):
-            return True
-    return False
+        for token in (m[2] or m[3] or m[4] or "").split():
+            known = [w.lower() in ASIDE_WORDS for w in _NAME_WORD.findall(token)]
+            if token.lower() in ASIDE_WORDS or known and all(known):
+                return 2
+            found |= any(known)
+    return int(found)
 
 
 def parse(page: str) -> tuple[list[str], list[Block]]:
     """All tokens of a page in order, and its blocks of text. Malformed and cut off pages are read as far as they go."""
     tokens: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, main, aside
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, main, hard, soft, doubt
     words: list[str] = []
     places: list[int] = []
     pending: list[str] = []
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def state() -> tuple[bool, bool, bool, bool]:
+        return stack[-1][1:] if stack else (False, False, False, False)
 
     def path() -> str:
         return "/".join(s[0] for s in stack[-3:])
@@ -98,7 +102,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             places.clear()
 
     def pop_to(depth: int) -> None:
-        for name, _, _ in reversed(stack[depth:]):
+        for name, *_ in reversed(stack[depth:]):
             tokens.append(f"{path()} </{name}>")
         del stack[depth:]
 
@@ -129,14 +133,19 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             stop = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        main, aside = state()
         if name not in VOID:
             while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(name, ())):
                 pop_to(len(stack) - 1)
-            main, aside = state()
         tokens.append(f"{path()} <{name}>")
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, main or name in ("article", "main"), aside or _aside(name, attributes)))
+            main, hard, soft, doubt = state()
+            if name in ("article", "main"):
+                if not main:  # what the elements around an article are called does not decide about it
+                    main, soft, doubt = True, False, soft or doubt
+            elif name not in ("html", "body"):
+                sure = _names(attributes)
+                soft, doubt = soft or sure == 2, doubt or sure == 1
+            stack.append((name, main, hard or name in ASIDE, soft, doubt))
     text_ends()
     return tokens, blocks
 
@@ -244,12 +253,28 @@ def template_places(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
     return taken
 
 
+def _chosen(blocks: list[Block]) -> list[Block]:
+    """Blocks of the article, or of the page if there is none. Doubtful ones count if three quarters of the text are in them."""
+
+    def size(some: list[Block]) -> int:
+        return sum(len(b.words) for b in some)
+
+    open_ = [b for b in blocks if not b.hard and not b.soft]
+    every = [b for b in open_ if b.main]
+    clear = [b for b in every if not b.doubt]
+    if not clear:
+        outside = [b for b in open_ if not b.main and not b.doubt]
+        if size(outside) >= size(every):
+            every, clear = open_ if not every else outside, outside
+    own = clear if 4 * size(clear) >= size(every) else every
+    # a page that is all inside elements of such names still has its text
+    return own or [b for b in blocks if not b.hard]
+
+
 def main_text(page: str, classes: list[list[int]] | None) -> list[str]:
     """Blocks of the main text of one page."""
     tokens, blocks = parse(page)
-    own = [b for b in blocks if b.main and not b.aside]
-    if not own:
-        own = [b for b in blocks if not b.aside]
+    own = _chosen(blocks)
     if classes:
         taken = template_places([_hash(t) for t in tokens], classes)
         slots = [b for b in own if not taken[b.tokens].all()]

@@ -174,6 +174,18 @@ def test_odd_pages_leave_the_template_of_a_host(spark):
     assert got[50] == got[51] == ""
 
 
+@pytest.mark.parametrize("around", [
+    "<body class='right-sidebar'><article>{}</article>", "<div id='content-with-sidebar'><article>{}</article></div>",
+    "<article class='post comments-open'>{}</article>", "<article data-id='share-7'>{}</article>", "<body class=sidebar><main id=header>{}</main>",
+    "<div class=sidebar><article>{}</article></div>", "<div class='post has-related'><div data-role=banner>{}</div></div>",
+    "<div class=comments>{}</div>", "<nav>menu</nav><article><div class='share'>x y</div>{}<div class=related-posts>see more</div></article>",
+    "<article>{}<div id=comments><article>a reply</article></div></article><div class=sidebar><article>teaser</article></div>",
+])
+def test_names_of_elements_do_not_empty_a_page(around):
+    text = "the words of this article stay whatever the page calls the elements around them"
+    assert templates.main_text(page(around.format(f"<p>{text}</p>")), None) == [text]
+
+
 def test_classes_out_of_order_are_not_template():
     a, b, c = 1, 2, 3
     assert templates.template_places([a, 9, b, 8, c], [[a, b, c]]).tolist() == [True, False, True, False, True]
