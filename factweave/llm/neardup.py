@@ -2,13 +2,17 @@
 
 A document's set is its distinct five-word shingles. Documents of one set are one node. Every node's set is hashed once into bins
 (``minhash.sketch``: one permutation, optimal densification); six bins make a band, and nodes that agree in a band share
-a bucket. In a round every bucket elects hubs, and the other members are linked to them by candidate edges: a star, never all pairs.
-Hubs have then met the whole bucket and leave it; a bucket whose members are of one component is done. The number of hubs
-a bucket elects doubles with every round, and rounds go on until no bucket holds two components, so nothing is
-capped. A candidate edge first compares stored low bits of the bins; edges that are left are confirmed on full sets.
+a bucket. A bucket elects as hub the member that shares most buckets with others, and candidate edges lead from the hub to
+the other members: a star, never all pairs. Each edge is compared on full sets.
 
-Chance of missing a pair at the similarity of 0.85: no common band (1 - 0.85^6)^42 = 2e-9; low bits below the
-floor of 0.68 at 252 bins: under 1e-9. A pair of one component need not be met.
+A star alone would lose links between two members of which one isn't linked to the hub. Such a pair is found by what
+its sets differ in from the hub's: with D for the elements in only one of a member's and the hub's sets, the sets x and y differ in
+|Dx| + |Dy| - 2 |Dx and Dy| elements. A link allows k (|x| + |y|) of them, k = (1 - s) / (1 + s), and a member that isn't linked
+to the hub has more than k (|x| + |hub|), so both must hold elements of D in common, and enough of them that these show in
+prefixes of Dx and Dy (additions first, as few members share them). Members are joined on prefix elements, and
+what meets is compared on full differences. Nothing is capped.
+
+Chance of missing a pair at the similarity of 0.85: no common band, (1 - 0.85^6)^42 = 2e-9.
 """
 
 from __future__ import annotations
@@ -24,8 +28,6 @@ from . import common as C, graph, minhash
 SHINGLE = 5
 BAND = 6  # bins of a band
 BANDS = 42
-BITS = 4  # low bits kept of each bin
-FLOOR = 0.17  # estimated similarities this far below the threshold are not confirmed
 SEEN_BITS = 24  # two megabytes
 PARTNERS = 1 << 10  # edges of a hub that one task joins
 
@@ -64,7 +66,7 @@ def node_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text its set's size and hash, band hashes and packed low bits of the bins."""
+    """Of each text its set's size and hash, and its band hashes."""
     salt, number = C.seeded(BAND, 23) | C.U64(1), C.seeded(BANDS, 29)
     for b in batches:
         for lo, hi, buf, offs in C.text_chunks(b.column("text")):
@@ -74,9 +76,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(0, banded.size + 1, BANDS)
             yield pa.RecordBatch.from_arrays(
                 [b.column("key").slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(node_of(h, bounds)),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(banded.reshape(-1).view(np.int64))),
-                 pa.array([r.tobytes() for r in minhash.pack(full, BITS)], pa.binary())],
-                names=["key", "n_shingles", "node", "bands", "low"],
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(banded.reshape(-1).view(np.int64)))],
+                names=["key", "n_shingles", "node", "bands"],
             )
 
 
@@ -97,37 +98,69 @@ def _sets(met):
     return run
 
 
-def _near(percent: int):
-    """Edges whose low bits do not rule the similarity out."""
-    least = percent / 100 - FLOOR
+def _differences(percent: int):
+    """Of each star edge its sizes, whether it is a link, and the difference: additions to the hub's set, then what is missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = len(b)
-            if n:
-                width = BAND * BANDS * BITS // 8
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(n, width) for c in ("a_low", "b_low"))
-                ok = minhash.likeness(x, y, BITS) >= least
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            out: list[list] = [[], [], [], []]
+            for x, y in zip(b.column("a_hashes"), b.column("b_hashes")):
+                hub, own = np.frombuffer(x.as_py(), C.U64), np.frombuffer(y.as_py(), C.U64)
+                added, missing = (np.setdiff1d(*v, assume_unique=True) for v in ((own, hub), (hub, own)))
+                common = len(own) - len(added)
+                linked = 100 * common >= percent * (len(hub) + len(own) - common)
+                for o, v in zip(out, (len(hub), len(own), linked, np.concatenate([added, missing]).view(np.int64))):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("a"), b.column("b"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()),
+                 pa.array(out[3], pa.list_(pa.int64()))],
+                names=["a", "b", "a_size", "b_size", "linked", "elements"],
+            )
 
     return run
 
 
 def _confirm(percent: int):
-    """Edges whose full sets are similar enough."""
+    """Pairs whose sets are similar enough, by their differences from one hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column("a_hashes"), b.column("b_hashes")):
-                x, y = np.frombuffer(x.as_py(), C.U64), np.frombuffer(y.as_py(), C.U64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for x, y, m, n in zip(b.column("x_elements"), b.column("y_elements"), b.column("x_size").to_pylist(), b.column("y_size").to_pylist()):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                ok.append((100 + percent) * apart <= (100 - percent) * (m + n))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: hub, x, y) of different components whose difference prefixes meet; at least one is not linked to the hub.
+
+    Elements two members must share: more than half of |Dy| + k (|hub| - |y|) for y beside an unlinked x, and
+    |Dx| - |x| (1 - s) / s for an unlinked x beside a linked y, since y has no more than it shares.
+    """
+    p, q = 100 - percent, 100 + percent
+    entries = apart.withColumns({
+        "short": F.expr(f"size(elements) - ({q} * size(elements) + {p} * (a_size - b_size)) div {2 * q}"),
+        "long": F.expr(f"size(elements) + 1 - greatest(1, size(elements) - b_size * {p} div {percent})"),
+    }).select(
+        "a", "b", "root", "linked", F.col("b_size").alias("size"), "short",
+        F.posexplode(F.expr("slice(elements, 1, int(if(linked, short, greatest(short, long))))")).alias("pos", "element"),
+    )
+    x = entries.filter(~F.col("linked")).select(
+        "a", "element", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), (F.col("pos") < F.col("short")).alias("x_short")
+    )
+    y = entries.filter("pos < short").select(
+        "a", "element", F.col("b").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), "linked"
+    )
+    return x.join(y, ["a", "element"]).filter(
+        (F.col("linked") | (F.col("x_short") & (F.col("x") < F.col("y")))) & (F.col("x_root") != F.col("y_root"))
+        & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+    ).groupBy("x", "y").agg(F.min("a").alias("a"))
+
+
 def _with(edges: DataFrame, of_node: DataFrame, value: str) -> DataFrame:
     """Edges (a: hub, b) with the value of both ends. A hub's edges are dealt over tasks, PARTNERS at a time."""
     hubs = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
@@ -138,29 +171,6 @@ def _with(edges: DataFrame, of_node: DataFrame, value: str) -> DataFrame:
     return placed.join(other, "b").join(dealt.drop("parts"), ["a", "part"]).drop("part")
 
 
-def _candidates(members: DataFrame, label: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node, size, rank) of unsettled buckets without this round's hubs, and the star edges to these.
-
-    A bucket's members are dealt to ``hubs`` parts by hash and each part elects the member that shares most buckets
-    with others; rank is the same in all buckets, so the same hubs are elected in all bands and edges coincide.
-    """
-    here = members.join(label, "node", "left").select("bucket", "node", "size", "rank", F.coalesce("root", "node").alias("root"))
-    open_ = here.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    here = C.materialise(here.join(open_, "bucket"), "members")
-    part = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(hubs))
-    elected = C.materialise(
-        here.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("rank", "node", "size", "root")).alias("h"))
-        .select("bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.root").alias("hub_root")), "hubs"
-    )
-    edges = here.join(elected, "bucket").filter(
-        (F.col("root") != F.col("hub_root")) & (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size"))
-    ).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    left = here.join(
-        elected.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"
-    ).select("bucket", "node", "size", "rank")
-    return left, edges
-
-
 def near_duplicates(docs: DataFrame, *, percent: int = 85, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component, kept) of every document; links have 100 * intersection >= percent * union.
 
@@ -172,37 +182,37 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, key: str = "doc_id")
     """
     session = docs.sparkSession.sparkContext
     base = C.materialise(
-        C.rows_of(docs, key=key).mapInArrow(_sketches, "key long, n_shingles long, node long, bands array<long>, low binary"), "sketches"
+        C.rows_of(docs, key=key).mapInArrow(_sketches, "key long, n_shingles long, node long, bands array<long>"), "sketches"
     )
     worded = base.filter("n_shingles > 0")
     # one row per set
     lowest = C.materialise(worded.groupBy("node").agg(F.min("key").alias("low")), "distinct_sets")
-    held = C.materialise(
-        worded.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("low").alias("low")), "held"
-    )
-    banded = held.select("node", "size", F.explode("bands").alias("bucket"))
+    held = C.materialise(worded.groupBy("node").agg(F.first("bands").alias("bands")), "held")
+    banded = held.select("node", F.explode("bands").alias("bucket"))
     counts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     seen = session.broadcast(C.bit_filter(counts, "bucket", SEEN_BITS))
     rows = C.materialise(C.inside(banded, seen, True, "bucket"), "banded")
     seen.destroy()
+    C.drop_table(held)
     placed = C.materialise(rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket"), "buckets")
     C.drop_table(rows)
-    rank = placed.groupBy("node").agg(F.sum("n").alias("rank"))
-    members = C.materialise(placed.drop("n").join(rank, "node"), "members")
-    low = C.materialise(held.join(rank.select("node"), "node", "left_semi").select("node", "low"), "low_bits")
-    C.drop_table(held)
-    sets, label, hubs = None, docs.sparkSession.createDataFrame([], "node long, root long"), 1
-    while members.limit(1).count():
-        left, edges = _candidates(members, label, hubs, percent)
-        near = C.materialise(_with(C.materialise(edges, "edges"), low, "low").mapInArrow(_near(percent), "a long, b long"), "near")
-        if near.limit(1).count():
-            if sets is None:
-                sets = _sets_of(docs, key, low)
-            new = C.materialise(_with(near, sets, "hashes").mapInArrow(_confirm(percent), "a long, b long"), "links")
-            joined = label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
-            label = C.materialise(graph.components(joined), "labels")
-        members = C.materialise(left, "members")
-        hubs *= 2
+    rank = C.materialise(placed.groupBy("node").agg(F.sum("n").alias("rank")), "ranks")
+    hubs = placed.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
+    edges = C.materialise(
+        placed.select("bucket", F.col("node").alias("b")).join(hubs, "bucket").filter("a <> b").select("a", "b").distinct(), "edges"
+    )
+    sets = _sets_of(docs, key, rank)
+    apart = C.materialise(_with(edges, sets, "hashes").mapInArrow(
+        _differences(percent), "a long, b long, a_size long, b_size long, linked boolean, elements array<long>"), "differences")
+    C.drop_table(sets)
+    label = C.materialise(graph.components(apart.filter("linked").select("a", "b")), "labels")
+    loose = apart.filter("not linked").select("a").distinct()
+    open_ = apart.join(loose, "a", "left_semi").join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    pairs = C.materialise(_pairs(open_, percent), "pairs")
+    ends = [apart.select("a", F.col("b").alias(v), F.col("b_size").alias(f"{v}_size"), F.col("elements").alias(f"{v}_elements")) for v in "xy"]
+    found = pairs.join(ends[0], ["a", "x"]).join(ends[1], ["a", "y"]).mapInArrow(_confirm(percent), "a long, b long")
+    joined = label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(C.materialise(found, "links"))
+    label = C.materialise(graph.components(joined), "labels")
     rooted = lowest.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     first = rooted.groupBy("root").agg(F.min("low").alias("component"))
     of_node = rooted.join(first, "root").select("node", "component")
@@ -213,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, key: str = "doc_id")
 
 
 def _sets_of(docs: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
-    """(node, hashes) of all nodes that share a bucket, from one text each."""
+    """(node, hashes) of the nodes of a table, from one text each."""
     met = docs.sparkSession.sparkContext.broadcast(C.bit_filter(nodes, "node", SEEN_BITS))
     found = C.rows_of(docs, key=key).mapInArrow(_sets(met), "node long, hashes binary")
     found = found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
