@@ -146,18 +146,22 @@ def _pairs(apart: DataFrame, percent: int) -> DataFrame:
         "short": F.expr(f"size(elements) - ({q} * size(elements) + {p} * (a_size - b_size)) div {2 * q}"),
         "long": F.expr(f"size(elements) + 1 - greatest(1, size(elements) - b_size * {p} div {percent})"),
     }).select(
-        "a", "b", "root", "linked", F.col("b_size").alias("size"), "short",
+        "a", "b", "root", "linked", F.col("b_size").alias("size"), "short", F.size("elements").alias("m"),
         F.posexplode(F.expr("slice(elements, 1, int(if(linked, short, greatest(short, long))))")).alias("pos", "element"),
     )
     x = entries.filter(~F.col("linked")).select(
-        "a", "element", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), (F.col("pos") < F.col("short")).alias("x_short")
+        "a", "element", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), (F.col("pos") < F.col("short")).alias("x_short"),
+        F.col("m").alias("x_m"), (F.col("m") - F.col("pos")).alias("x_rest"),
     )
     y = entries.filter("pos < short").select(
-        "a", "element", F.col("b").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), "linked"
+        "a", "element", F.col("b").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), "linked",
+        F.col("m").alias("y_m"), (F.col("m") - F.col("pos")).alias("y_rest"),
     )
+    # where the first element in common stands, what follows it on either side must hold all that is to be shared
+    enough = F.expr(f"{2 * q} * least(x_rest, y_rest) >= {q} * (x_m + y_m) - {p} * (x_size + y_size)")
     return x.join(y, ["a", "element"]).filter(
         (F.col("linked") | (F.col("x_short") & (F.col("x") < F.col("y")))) & (F.col("x_root") != F.col("y_root"))
-        & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+        & enough & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
     ).groupBy("x", "y").agg(F.min("a").alias("a"))
 
 
