@@ -9,6 +9,7 @@ from . import dbl, n, query, r6, views
 from .base import GOOD_SQL, MAIN, MAIN_RULES, good_docs
 from ..facts import FactBase, union_all
 from ..operators import grounding as GR, infer as I, learn as L
+from ..plans.blocks import block_signatures
 from ..plans.signatures import signatures
 from ..rules import Clause, clause
 from ..schema import Predicate, Schema
@@ -79,6 +80,60 @@ def q_equal_pll(spark, sf):
     return L.pll(s, {"t": WEIGHTS}).select(r6("pll"))
 
 
+# Nations of customers as blocks: one nation holds per customer, and a nation with k suppliers scores -0.01 k.
+# Segments as blocks: a customer with k orders scores 0.05 k for one of the segments.
+BLOCK_SQL = (
+    views("CustNation", "SuppNation", "Placed", "Segment")
+    + """
+, k AS (SELECT d.c AS b, CAST(coalesce(s.m, 0) AS DOUBLE) AS k FROM d_nation d LEFT JOIN (SELECT b, count(*) AS m FROM SuppNation GROUP BY b) s ON s.b = d.c),
+z AS (SELECT ln(sum(exp(-0.01 * k))) AS z, sum(k * exp(-0.01 * k)) / sum(exp(-0.01 * k)) AS e FROM k),
+nat AS (SELECT -0.01 * k.k - z.z AS logp, z.e - k.k AS g FROM CustNation c JOIN k USING (b), z),
+o AS (SELECT c.a, c.b = 'BUILDING' AS hit, CAST(coalesce(p.m, 0) AS DOUBLE) AS k, n FROM Segment c LEFT JOIN (SELECT a, count(*) AS m FROM Placed GROUP BY a) p ON p.a = c.a,
+  (SELECT count(*) AS n FROM d_segment)),
+seg AS (SELECT CASE WHEN hit THEN 0.05 * k ELSE 0 END - ln(exp(0.05 * k) + n - 1) AS logp,
+  k * (CASE WHEN hit THEN 1 ELSE 0 END - exp(0.05 * k) / (exp(0.05 * k) + n - 1)) AS g FROM o)
+"""
+)
+BLOCK_WEIGHTS = {"same_nation": 0.01, "ordering": 0.05}
+
+
+def _blocks(spark, sf):
+    fb = view_fact_base(spark, sf, ["CustNation", "SuppNation", "Placed", "Segment"])
+    theory = {"t": [clause(SAME, clause_id="same_nation"), clause('!Placed(c,o) v Segment(c,"BUILDING")', clause_id="ordering")]}
+    return union_all([block_signatures(theory, fb, p) for p in ("CustNation", "Segment")])
+
+
+@query(
+    "block_pseudo_log_likelihood",
+    BLOCK_SQL + """SELECT 'CustNation' AS pred, round(sum(logp), 4) AS pll FROM nat UNION ALL SELECT 'Segment', round(sum(logp), 4) FROM seg""",
+)
+def q_block_pll(spark, sf):
+    b = _blocks(spark, sf)
+    by_pred = b.withColumn("problem", F.col("pred"))  # the theory at equal weights, one value per predicate
+    return L.block_pll(by_pred, {p: BLOCK_WEIGHTS for p in ("CustNation", "Segment")}).select(F.col("problem").alias("pred"), r6("pll", 4))
+
+
+@query(
+    "block_pll_gradient",
+    BLOCK_SQL + """SELECT 'same_nation' AS clause_id, round(sum(g), 3) AS gradient FROM nat UNION ALL SELECT 'ordering', round(sum(g), 3) FROM seg""",
+)
+def q_block_gradient(spark, sf):
+    return L.block_gradient(_blocks(spark, sf), {"t": BLOCK_WEIGHTS}).select("clause_id", r6("gradient", 3))
+
+
+@query(
+    "block_kinds",
+    BLOCK_SQL + """SELECT 'CustNation' AS pred, CAST(count(*) AS DOUBLE) AS blocks, CAST(count(*) * (SELECT count(*) FROM d_nation) AS DOUBLE) AS alternatives FROM nat
+UNION ALL SELECT 'Segment', count(*), count(*) * (SELECT count(*) FROM d_segment) FROM seg""",
+)
+def q_block_kinds(spark, sf):
+    """Blocks and alternatives that the kinds of blocks stand for."""
+    b = _blocks(spark, sf)
+    return b.groupBy("pred").agg(
+        F.sum(F.when(F.col("chosen"), F.col("mult")).otherwise(0.0)).alias("blocks"), F.sum(F.col("mult") * F.col("size")).alias("alternatives")
+    )
+
+
 @query(
     "atom_probabilities",
     views(*NATIONS)
@@ -188,6 +243,41 @@ def q_exact(spark, sf):
     return p.select("atom", r6("p"))
 
 
+# The language of documents drawn as blocks: a document of two rules' worth of weight for one language, none for the others.
+LANG_SQL = """WITH d AS (SELECT DISTINCT doc_id, lang, source FROM documents WHERE lang IS NOT NULL), l AS (SELECT DISTINCT lang FROM d),
+w AS (SELECT 'DocTongue(D' || d.doc_id || ',' || l.lang || ')' AS atom, d.doc_id, sum(CASE WHEN d.lang = l.lang THEN 1.0 ELSE 0 END) AS w FROM d, l GROUP BY 1, 2)"""
+
+
+def tongue_sample(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null").select("doc_id", "lang").distinct()
+    known = T.facts_from_table(docs, "DocLang", ["doc_id", "lang"], ("D", ""))
+    fb = FactBase(Schema.of(Predicate("DocLang", ("doc", "lang")), Predicate("DocTongue", ("doc", "lang"), (), (1,))), known)
+    pairs = fb.constants_of("doc").withColumnRenamed("const", "a0").join(
+        F.broadcast(fb.constants_of("lang").withColumnRenamed("const", "a1")), "fold")  # four languages
+    query_atoms = pairs.select("fold", F.lit("DocTongue").alias("pred"), F.array("a0", "a1").alias("args"))
+    g = GR.merge_ground(GR.ground_network([clause("!DocLang(d,l) v DocTongue(d,l)", 1.0, clause_id="same")], fb, query_atoms))
+    block = pairs.select(
+        "fold", F.concat(F.lit("DocTongue("), "a0", F.lit(","), "a1", F.lit(")")).alias("atom"), F.col("a0").alias("block"))
+    return g, block
+
+
+@query(
+    "block_marginals",
+    LANG_SQL + """, z AS (SELECT doc_id, sum(exp(w)) AS z FROM w GROUP BY doc_id)
+SELECT CASE WHEN w.w > 0 THEN 'own' ELSE 'other' END AS side, count(*) AS atoms, CAST(round(avg(exp(w.w) / z.z), 1) AS DOUBLE) AS p, 0 AS odd_blocks
+FROM w JOIN z USING (doc_id) GROUP BY 1""",
+)
+def q_block_marginals(spark, sf):
+    """Joint draws: every block sums to one, and the mean marginals are those of the softmax."""
+    g, block = tongue_sample(spark, sf)
+    p = I.gibbs_blocks(g, block, chains=4, burn=1, steps=4, seed=1)
+    own = g.select("fold", F.get("lits", F.lit(0))["atom"].alias("atom"), F.lit("own").alias("side"))
+    rows = p.join(own, ["fold", "atom"], "left").fillna("other", ["side"]).join(block, ["fold", "atom"])
+    odd = rows.groupBy("fold", "block").agg(F.sum("p").alias("s")).filter("abs(s - 1) > 1e-9").agg(F.count(F.lit(1)).cast("int").alias("odd_blocks"))
+    means = rows.groupBy("side").agg(F.count(F.lit(1)).alias("atoms"), F.round(F.avg("p"), 1).alias("p"))
+    return means.join(F.broadcast(odd), F.lit(True))
+
+
 @query("gibbs_marginals")
 def q_gibbs(spark, sf):
     g = GR.merge_ground(doc_network(spark, sf))

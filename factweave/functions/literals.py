@@ -83,11 +83,43 @@ def renumber(literals: Column, var: str = "x", pred: str | None = None) -> Colum
     return F.transform(literals, lit).cast(LITERALS_TYPE)
 
 
+def _rest(literals, used: tuple, names: dict, preds: dict, pred: str | None) -> tuple:
+    """What literals not yet placed look like, up to the names of variables that have no number yet.
+
+    They fall into parts linked by such variables; a part of up to MAX_LITERALS literals is described by its least form over
+    all orders, a larger one by its own variables. States of equal description go on alike.
+    """
+    parts: list[tuple[set, list]] = []
+    for i, l in enumerate(literals):
+        if i not in used:
+            own = {a["name"] for a in l["args"] if a["kind"] != "const" and a["name"] not in names}
+            linked = [p for p in parts if p[0] & own]
+            parts = [p for p in parts if not p[0] & own]
+            parts.append((own.union(*(p[0] for p in linked)), [x for p in linked for x in p[1]] + [l]))
+
+    def form(lits) -> tuple:
+        seen: dict = {}
+        return tuple(
+            (l["positive"], preds.get(l["pred"], 0) if pred else 0, l["pred"] if l["pred"] not in preds else "",
+             tuple((a["kind"], a["name"] if a["kind"] == "const" else "", 0 if a["kind"] == "const" else names.get(a["name"])
+                    or -1 - seen.setdefault(a["name"], len(seen))) for a in l["args"]))
+            for l in lits
+        )
+
+    def described(lits) -> tuple:
+        if len(lits) <= MAX_LITERALS:
+            return 0, min(form(p) for p in permutations(lits))
+        return 1, tuple(sorted(str((l["positive"], l["pred"], [(a["kind"], names.get(a["name"], a["name"])) for a in l["args"]])) for l in lits))
+
+    return tuple(sorted(described(lits) for _, lits in parts))
+
+
 def _least_order(literals, var: str, pred: str | None) -> list[int]:
     """Positions of the literals of a long rule in its least written form.
 
     Literals are placed one by one; of all ways to go on, those with the least next literal are kept. No literal
-    text is the beginning of another, so the least beginning belongs to the least whole.
+    text is the beginning of another, so the least beginning belongs to the least whole. Ways that leave the same rest
+    are one, so literals that can change places, like the rays of a star, are not tried in every order.
     """
 
     def written(l, names: dict, preds: dict) -> tuple[str, dict, dict]:
@@ -101,30 +133,30 @@ def _least_order(literals, var: str, pred: str | None) -> list[int]:
                 args.append(("+" if a["kind"] == "plus" else "") + f"{var}{names.setdefault(a['name'], len(names) + 1)}")
         return f"{'' if l['positive'] else '!'}{head}({','.join(args)})", names, preds
 
-    states = {((), ()): ((), {}, {})}
+    states = [((), {}, {})]
     for _ in range(len(literals)):
-        grown: dict = {}
+        ways: list = []
         least = None
-        for order, names, preds in states.values():
+        for order, names, preds in states:
             for i, l in enumerate(literals):
-                if i in order:
-                    continue
-                text, n, p = written(l, names, preds)
-                if least is None or text < least:
-                    least, grown = text, {}
-                if text == least:
-                    # states that have used equal literals under equal names go on alike
-                    key = (tuple(sorted(order + (i,))), tuple(sorted(n.items())))
-                    grown.setdefault(key, (order + (i,), n, p))
-        states = grown
-    return [i + 1 for i in next(iter(states.values()))[0]] if literals else []
+                if i not in order:
+                    text, n, p = written(l, names, preds)
+                    if least is None or text < least:
+                        least, ways = text, []
+                    if text == least:
+                        ways.append((order + (i,), n, p))
+        grown: dict = {}
+        for order, n, p in ways:
+            grown.setdefault((len(n), len(p), _rest(literals, order, n, p, pred)), (order, n, p))
+        states = list(grown.values())
+    return [i + 1 for i in states[0][0]] if literals else []
 
 
 def canonical(literals: Column, var: str = "x", pred: str | None = None, max_literals: int = MAX_LITERALS) -> Column:
     """``struct<text, literals>``: the least written form over all literal orders, after renaming.
 
-    Rules of up to ``max_literals`` literals are compared in all orders; for longer ones the order is searched row by
-    row in Python.
+    Rules of up to ``max_literals`` literals are compared in all orders; for longer ones the order is searched literal by
+    literal in Arrow batches, where ways that leave the same rest are followed once.
     """
     orders = None
 

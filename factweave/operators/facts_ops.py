@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.local import small_table
 from ..facts import FactBase, union_all
+from ..plans.blocks import free_args
 from ..plans.counting import EXACT
 from ..plans.ordering import hashed_positions
 from ..plans.storage import cut
@@ -226,25 +227,35 @@ def mega_example_folds(background: DataFrame, positives: DataFrame, k: int, seed
 def blocks(fb: FactBase, pred: str) -> DataFrame:
     """``fold, <free args>, n_true``: true atoms per block of an exclusive argument.
 
-    Blocks without any true atom are found against all combinations of the other arguments' observed
-    constants, which for one free argument is its constant table.
+    With one free argument blocks without any true atom are listed too, from its constant table. With several only blocks that
+    hold a fact are listed; the others are counted by ``block_totals``, never listed.
     """
-    decl = fb.schema[pred]
-    if not decl.exclusive_args:
-        raise ValueError(f"{pred} has no exclusive argument")
-    free = [i for i in range(decl.arity) if i not in decl.exclusive_args]
+    free = free_args(fb, pred)
+    cols = [f"a{i}" for i in free]
+    counts = fb.relation(pred).groupBy("fold", *cols).agg(F.count(F.lit(1)).cast("bigint").alias("n_true"))
     if len(free) != 1:
-        raise ValueError("blocks are kept per single free argument")
-    key = f"a{free[0]}"
-    owners = fb.constants_of(decl.types[free[0]]).select("fold", F.col("const").alias(key))
-    counts = fb.relation(pred).groupBy("fold", key).agg(F.count(F.lit(1)).alias("n"))
-    return owners.join(counts, ["fold", key], "left").select(
-        "fold", key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_true")
-    )
+        return counts
+    owners = fb.constants_of(fb.schema[pred].types[free[0]]).select("fold", F.col("const").alias(cols[0]))
+    return owners.join(counts, ["fold", *cols], "left").select("fold", *cols, F.coalesce("n_true", F.lit(0)).cast("bigint").alias("n_true"))
+
+
+def block_totals(fb: FactBase, pred: str) -> DataFrame:
+    """``fold, possible, one, more, none``: blocks by their number of true atoms.
+
+    Possible blocks are the product of the free arguments' domain sizes; those without a true atom are what is left
+    after the observed ones, so a product of constants is never formed.
+    """
+    free = free_args(fb, pred)
+    seen = fb.relation(pred).groupBy("fold", *[f"a{i}" for i in free]).agg(F.count(F.lit(1)).alias("n")).groupBy("fold").agg(
+        F.sum((F.col("n") == 1).cast("bigint")).alias("one"), F.sum((F.col("n") > 1).cast("bigint")).alias("more"))
+    folds = small_table(fb.spark, [(f,) for f in fb.folds()], "fold int")
+    possible = fb.size_product([fb.schema[pred].types[i] for i in free])
+    held = folds.join(seen, "fold", "left").fillna(0, ["one", "more"]).withColumn("possible", possible.cast(EXACT))
+    return held.select("fold", "possible", "one", "more", (F.col("possible") - F.col("one") - F.col("more")).cast(EXACT).alias("none"))
 
 
 def check_blocks(fb: FactBase, pred: str) -> DataFrame:
-    """Blocks that break "exactly one true": more than one, or none."""
+    """Blocks that break "exactly one true": more than one, or none; with several free arguments see ``block_totals`` for none."""
     return blocks(fb, pred).filter("n_true <> 1")
 
 

@@ -101,13 +101,25 @@ def components(g: DataFrame) -> DataFrame:
     return labels.unionByName(alone)
 
 
-def colour(g: DataFrame, seed: int = 0) -> DataFrame:
+def colour(g: DataFrame, seed: int = 0, block: DataFrame | None = None) -> DataFrame:
     """``fold, atom, colour``: atoms of one colour share no clause.
 
     Each round colours the atoms whose hashed priority is highest among the uncoloured atoms of
-    every clause they are in.
+    every clause they are in. With ``block`` (``fold, atom, block``) the atoms of a block are one node and have one colour.
     """
     lits = ground_literals(g).select("fold", "gid", "atom").distinct()
+    if block is None:
+        return _coloured(lits, seed)
+    unit = F.coalesce("block", "atom").alias("unit")
+    units = lits.join(block, ATOM, "left").select("fold", "gid", unit).withColumnRenamed("unit", "atom").distinct()
+    of_unit = _coloured(units, seed).withColumnRenamed("atom", "unit")
+    members = block.select(*ATOM, F.col("block").alias("unit")).unionByName(
+        lits.select(*ATOM).distinct().join(block, ATOM, "left_anti").select(*ATOM, F.col("atom").alias("unit"))
+    )
+    return members.join(of_unit, ["fold", "unit"], "left").select(*ATOM, F.coalesce("colour", F.lit(0)).alias("colour"))
+
+
+def _coloured(lits: DataFrame, seed: int) -> DataFrame:
     prio = F.struct(F.xxhash64(F.lit(seed), "atom").alias("h"), F.col("atom").alias("a"))
     open_lits = cut(lits.withColumn("prio", prio))
     done, c = None, 0
@@ -152,6 +164,65 @@ def _field(lits: DataFrame, state: DataFrame, keys: list[str], targets: DataFram
     )
 
 
+def _block_scores(lits: DataFrame, state: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """``keys, unit, atom, score`` of the target atoms: weight gained if the atom is the true one of its unit.
+
+    ``lits`` and ``targets`` have the unit of each atom: its block, or itself. Only clauses that no atom outside the unit satisfies
+    count: a positive literal adds its weight, and a negative one takes it away unless another atom of the unit is denied too.
+    """
+    valued = lits.join(state, ATOM)
+    valued = valued.withColumn("t", (F.col("value") == F.col("positive")).cast("int"))
+    by_unit = valued.groupBy(*keys, "gid", "unit").agg(
+        F.sum("t").alias("own"), F.sum((~F.col("positive")).cast("int")).alias("denied"))
+    sat = by_unit.groupBy(*keys, "gid").agg(F.sum("own").alias("n_true"))
+    gain = F.when(F.col("positive") & (F.col("denied") == 0), F.col("weight")).when(
+        ~F.col("positive") & (F.col("denied") == 1), -F.col("weight")).otherwise(0.0)
+    mine = valued.join(targets.select(*ATOM), ATOM, "left_semi").join(by_unit, keys + ["gid", "unit"]).join(sat, keys + ["gid"])
+    return mine.filter(F.col("n_true") == F.col("own")).groupBy(*keys, "unit", "atom").agg(F.sum(gain).alias("score"))
+
+
+def gibbs_blocks(
+    g: DataFrame, block: DataFrame, chains: int = 8, burn: int = 20, steps: int = 100, seed: int = 0
+) -> DataFrame:
+    """``fold, atom, p``: marginals where exactly one atom of every block is true.
+
+    ``block`` is ``fold, atom, block`` and lists all alternatives of each block, also those in no clause; other atoms are
+    sampled one by one. A block is drawn at once, from the softmax of its alternatives' gains (the largest of gain plus Gumbel
+    noise), so no state ever has two or none. Blocks of one colour share no clause. Random numbers are hashes of
+    (seed, chain, sweep, atom). The marginals of a block sum to one; they are not smoothed. A clause has no atom with both signs.
+    """
+    keys = ["fold", "chain"]
+    block = cut(block.select(*ATOM, "block").distinct())
+    colours = cut(colour(g, seed, block).join(block, ATOM, "left").withColumn("unit", F.coalesce("block", "atom")))
+    lits = cut(_weighted_literals(g).join(colours.select(*ATOM, "unit"), ATOM))
+    n = colours.agg(F.max("colour")).first()[0]
+    if n is None:
+        return colours.select(*ATOM, F.lit(0.0).alias("p"))
+
+    def drawn(rows: DataFrame, sweep: int) -> DataFrame:
+        """rows with ``score``: one true atom per block, single atoms by their odds."""
+        u = _uniform(F.lit(seed), F.lit(sweep), F.col("fold"), F.col("chain"), F.col("atom"))
+        noisy = rows.withColumn("u", u).withColumn("key", F.struct((F.col("score") - F.log(-F.log("u"))).alias("s"), "atom"))
+        best = noisy.filter("block is not null").groupBy(*keys, "unit").agg(F.max("key").getField("atom").alias("best"))
+        return noisy.join(best, keys + ["unit"], "left").withColumn(
+            "value", F.when(F.col("block").isNull(), F.col("u") < 1 / (1 + F.exp(-F.col("score")))).otherwise(F.col("atom") == F.col("best"))
+        )
+
+    everyone = colours.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    state = cut(drawn(everyone.withColumn("score", F.lit(0.0)), -1).select(*keys, "atom", "value", F.lit(0).alias("hits")))
+    for sweep in range(burn + steps):
+        for c in range(n + 1):
+            targets = colours.filter(F.col("colour") == c)
+            scores = _block_scores(lits, state, keys, targets)
+            rows = everyone.filter(F.col("colour") == c).join(scores, keys + ["unit", "atom"], "left").fillna(0.0, ["score"])
+            new = drawn(rows, sweep).select(*keys, "atom", F.col("value").alias("new"))
+            state = state.join(new, keys + ["atom"], "left").withColumn("value", F.coalesce("new", "value")).drop("new")
+            if sweep >= burn and c == n:
+                state = state.withColumn("hits", F.col("hits") + F.col("value").cast("int"))
+            state = cut(state)  # each colour reads the state several times
+    return state.groupBy(*ATOM).agg((F.sum("hits") / F.lit(float(chains * steps))).alias("p"))
+
+
 def _weighted_literals(g: DataFrame) -> DataFrame:
     soft = _soft_weights(g)
     return soft.select("fold", "gid", "weight", F.explode("lits").alias("l")).select(
@@ -308,13 +379,12 @@ def exact_small(g: DataFrame, max_atoms: int = 16, comp: DataFrame | None = None
     """Exact marginals and log normaliser by listing all states of each small component.
 
     Returns (``fold, atom, component, p``; ``fold, component, n_atoms, log_z``).  A component with
-    more than ``max_atoms`` atoms is an error: use ``gibbs`` for it.
+    more than ``max_atoms`` atoms is returned with null ``p`` and ``log_z``: use ``gibbs`` for it.
     """
-    comp = cut(components(g) if comp is None else comp)
-    sizes = comp.groupBy("fold", "component").agg(F.count(F.lit(1)).alias("n_atoms"))
-    big = sizes.filter(F.col("n_atoms") > max_atoms).count()
-    if big:
-        raise ValueError(f"{big} components have more than {max_atoms} atoms")
+    every = cut(components(g) if comp is None else comp)
+    sizes = every.groupBy("fold", "component").agg(F.count(F.lit(1)).cast("int").alias("n_atoms"))
+    large = sizes.filter(F.col("n_atoms") > max_atoms)
+    comp = every.join(sizes.filter(F.col("n_atoms") <= max_atoms), ["fold", "component"]).drop("n_atoms")
     atom_lists = comp.groupBy("fold", "component").agg(F.array_sort(F.collect_list("atom")).alias("atoms"))
     lits = _weighted_literals(g).join(comp, ATOM).join(atom_lists, ["fold", "component"]).withColumn(
         "bit", F.pow(F.lit(2.0), F.array_position("atoms", F.col("atom")) - 1).cast("bigint")
@@ -348,7 +418,13 @@ def exact_small(g: DataFrame, max_atoms: int = 16, comp: DataFrame | None = None
         .groupBy("fold", "component", "atom").agg(F.sum(F.when(F.col("on") == 1, F.col("e")).otherwise(0.0)).alias("on"))
     )
     p = ones.join(z, ["fold", "component"]).select(*ATOM, "component", (F.col("on") / F.col("z")).alias("p"))
-    return p, z.select("fold", "component", "n_atoms", (F.log("z") + F.col("peak")).alias("log_z"))
+    apart = every.join(large, ["fold", "component"])
+    unknown = F.lit(None).cast("double")
+    return (
+        p.unionByName(apart.select(*ATOM, "component", unknown.alias("p"))),
+        z.select("fold", "component", "n_atoms", (F.log("z") + F.col("peak")).alias("log_z"))
+        .unionByName(large.select("fold", "component", "n_atoms", unknown.alias("log_z"))),
+    )
 
 
 def exact_log_likelihood(g: DataFrame, state: DataFrame, max_atoms: int = 16) -> DataFrame:
@@ -357,7 +433,8 @@ def exact_log_likelihood(g: DataFrame, state: DataFrame, max_atoms: int = 16) ->
     s = clause_states(soft, state).groupBy("fold").agg(
         F.sum(F.when(F.col("satisfied"), F.col("weight")).otherwise(0.0)).alias("score")
     )
-    z = exact_small(g, max_atoms)[1].groupBy("fold").agg(F.sum("log_z").alias("log_z"))
+    known = F.count("log_z") == F.count(F.lit(1))  # null if a component was too large
+    z = exact_small(g, max_atoms)[1].groupBy("fold").agg(F.when(known, F.sum("log_z")).alias("log_z"))
     return s.join(z, "fold").select("fold", (F.col("score") - F.col("log_z")).alias("log_likelihood"))
 
 

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+import warnings
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.local import small_table
 from ..facts import FactBase, union_all
 from ..plans.atom_counts import atom_counts, counts_for_atoms
+from ..plans.blocks import block_signatures
 from ..plans.counting import EXACT, clause_counts
-from ..plans.signatures import signatures
+from ..plans.signatures import SIGNATURES_DDL, signatures
 from ..plans.storage import cut
 from ..rules import Clause, unit
 
@@ -89,6 +91,65 @@ def pll_moments(s: DataFrame, weights: Weights) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- exclusive blocks
+
+
+def with_block_prob(b: DataFrame, weights: Weights) -> DataFrame:
+    """Adds ``score``, and ``logz`` of the block: log of the sum over its alternatives of size * exp(score)."""
+    score = F.aggregate(
+        F.col("sig"), F.lit(0.0), lambda acc, e: acc + e["n"] * F.coalesce(F.col("w")[e["clause_id"]], F.lit(0.0))
+    )
+    scored = b.join(F.broadcast(weights_df(b.sparkSession, weights)), "problem").withColumn("score", score).drop("w")
+    block = W.partitionBy("problem", "block")  # its distinct alternatives
+    top = F.max("score").over(block)
+    return scored.withColumn("logz", top + F.log(F.sum(F.col("size") * F.exp(F.col("score") - top)).over(block)))
+
+
+def block_pll(b: DataFrame, weights: Weights) -> DataFrame:
+    """``problem, pll`` of blocks: log of the softmax over alternatives at the one that holds."""
+    return with_block_prob(b, weights).filter("chosen").groupBy("problem").agg(
+        F.sum(F.col("mult") * (F.col("score") - F.col("logz"))).alias("pll")
+    )
+
+
+def block_moments(b: DataFrame, weights: Weights) -> DataFrame:
+    """Value, gradient and second derivatives of ``block_pll``: ``problem, ci, cj, v`` as in ``pll_moments``."""
+    rows = with_block_prob(b, weights).withColumn("p", F.col("size") * F.exp(F.col("score") - F.col("logz")))
+    own = (
+        "concat(if(chosen, array(named_struct('ci', cast(null as string), 'cj', cast(null as string), 'v', mult * (score - logz))), array()),"
+        " transform(sig, a -> named_struct('ci', a.clause_id, 'cj', cast(null as string), 'v', mult * (if(chosen, 1D, 0D) - p) * a.n)),"
+        " flatten(transform(sig, a -> transform(filter(sig, b -> b.clause_id >= a.clause_id), b -> named_struct("
+        "'ci', a.clause_id, 'cj', b.clause_id, 'v', -mult * p * a.n * b.n)))))"
+    )
+    # the product of expectations, block by block
+    means = (
+        rows.select("problem", "block", "mult", "p", F.explode("sig").alias("e"))
+        .groupBy("problem", "block", F.col("e.clause_id").alias("clause_id")).agg(F.sum(F.col("p") * F.col("e.n")).alias("n"), F.first("mult").alias("mult"))
+        .groupBy("problem", "block").agg(F.first("mult").alias("mult"), F.collect_list(F.struct("clause_id", "n")).alias("sig"))
+    )
+    pairs = (
+        "flatten(transform(sig, a -> transform(filter(sig, b -> b.clause_id >= a.clause_id), b -> named_struct("
+        "'ci', a.clause_id, 'cj', b.clause_id, 'v', mult * a.n * b.n))))"
+    )
+    return (
+        rows.select("problem", F.explode(F.expr(own)).alias("e"))
+        .unionByName(means.select("problem", F.explode(F.expr(pairs)).alias("e")))
+        .groupBy("problem", "e.ci", "e.cj").agg(F.sum("e.v").alias("v"))
+    )
+
+
+def block_gradient(b: DataFrame, weights: Weights) -> DataFrame:
+    """``problem, clause_id, gradient`` of ``block_pll``: observed minus expected gain of each clause."""
+    rows = with_block_prob(b, weights).withColumn("p", F.col("size") * F.exp(F.col("score") - F.col("logz")))
+    return rows.withColumn("e", F.explode("sig")).groupBy("problem", F.col("e.clause_id").alias("clause_id")).agg(
+        F.sum(F.col("mult") * (F.col("chosen").cast("double") - F.col("p")) * F.col("e.n")).alias("gradient")
+    )
+
+
+def exclusive_preds(fb: FactBase, preds: list[str] | None = None) -> list[str]:
+    return [p.name for p in fb.schema if p.exclusive_args and (preds is None or p.name in preds)]
+
+
 @dataclass
 class Fit:
     weights: dict[str, float]
@@ -130,8 +191,9 @@ def fit_signatures(
     prior_mean: float = 0.0,
     max_iter: int = 40,
     tol: float = 1e-9,
+    blocks: DataFrame | None = None,
 ) -> dict[str, Fit]:
-    """Maximise PLL minus prior for every problem at once.
+    """Maximise PLL minus prior for every problem at once; ``blocks`` adds the terms of exclusive predicates.
 
     Each iteration is one Spark aggregation over the stored signature table.  It evaluates a few
     damped Newton steps per problem (the objective is concave); the driver keeps the best one and
@@ -165,10 +227,16 @@ def fit_signatures(
         if not points:
             break
         copies = small_table(s.sparkSession, [(owner[k], k) for k in points], "owner string, trial string")
-        trials = s.join(F.broadcast(copies), F.col("problem") == F.col("owner")).select("trial", "sig", "mult")
-        rows = pll_moments(
-            trials.withColumnRenamed("trial", "problem"), {k: dict(zip(ids[owner[k]], x)) for k, x in points.items()}
-        ).collect()
+        at_points = {k: dict(zip(ids[owner[k]], x)) for k, x in points.items()}
+
+        def tried(t: DataFrame) -> DataFrame:
+            tagged = t.join(F.broadcast(copies), F.col("problem") == F.col("owner"))
+            return tagged.drop("problem", "owner").withColumnRenamed("trial", "problem")
+
+        moments = pll_moments(tried(s).select("problem", "sig", "mult"), at_points)
+        if blocks is not None:
+            moments = moments.unionByName(block_moments(tried(blocks), at_points))
+        rows = moments.collect()
         found = _assemble(rows, {k: ids[owner[k]] for k in points}, inv_var, prior_mean, points)
         for p in dict.fromkeys(owner.values()):
             rounds[p] += 1
@@ -211,13 +279,29 @@ def fit_weights(
     prior_std: float | None = 100.0,
     equal_predicates: bool = False,
     preds: list[str] | None = None,
+    exclusive: bool = False,
 ) -> Fit:
-    """Weights of one theory maximising the pseudo-likelihood."""
-    s = signatures({"theory": clauses}, fb, preds)
+    """Weights of one theory maximising the pseudo-likelihood.
+
+    With ``exclusive``, predicates with an exclusive argument count by blocks: a softmax over the alternatives of each
+    block instead of one term per atom. Without it their atoms are ordinary ones, and a warning says so.
+    """
+    names = preds or [p.name for p in fb.schema]
+    closed = exclusive_preds(fb, names)
+    if closed and not exclusive:
+        warnings.warn(f"atoms of {', '.join(closed)} are taken as independent; exclusive=True fits blocks", stacklevel=2)
+    if exclusive and equal_predicates and closed:
+        raise ValueError("equal weighting of predicates is defined for atoms, not for blocks")
+    start = {"theory": start_weights(clauses, fb)}
+    theory, plain = {"theory": clauses}, [p for p in names if not (exclusive and p in closed)]
+    s = signatures(theory, fb, plain) if plain else small_table(fb.spark, [], SIGNATURES_DDL)
     if equal_predicates:
         s = scale_by_predicate(s, fb)
     with stored(s) as table:
-        return fit_signatures(table, {"theory": start_weights(clauses, fb)}, prior_std, 0.0, max_iter, tol)["theory"]
+        if not (exclusive and closed):
+            return fit_signatures(table, start, prior_std, 0.0, max_iter, tol)["theory"]
+        with stored(union_all([block_signatures(theory, fb, p) for p in closed])) as blocks:
+            return fit_signatures(table, start, prior_std, 0.0, max_iter, tol, blocks)["theory"]
 
 
 def score_candidates(

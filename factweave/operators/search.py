@@ -29,10 +29,15 @@ def with_weights(clauses: list[Clause], fit: Fit) -> list[Clause]:
     return [replace(c, weight=fit.weights[c.clause_id]) for c in clauses]
 
 
+def settled(fit: Fit) -> bool:
+    """Whether a fit may be judged: one that hasn't settled has a score on the way, and no theory is accepted or dropped by it."""
+    return fit.converged
+
+
 def greedy_groups(
     groups: list[tuple[str, list[Clause]]], fb: FactBase, prior_std: float = 100.0, units: bool = True
 ) -> Theory:
-    """Walk ranked groups of clauses; keep a group iff the fitted score strictly improves."""
+    """Walk ranked groups of clauses; keep a group iff its fit settles and the score strictly improves."""
     base = unit_theory(fb) if units else []
     kept: list[Clause] = []
     best, fit = float("-inf"), None
@@ -40,7 +45,7 @@ def greedy_groups(
     for name, clauses in groups:
         theory = base + kept + [c for c in clauses if c not in kept]
         candidate = fit_weights(theory, fb, prior_std=prior_std, equal_predicates=True)
-        better = candidate.value > best
+        better = settled(candidate) and candidate.value > best
         trace.append((name, candidate.value, better))
         if better:
             best, fit = candidate.value, candidate
@@ -73,7 +78,7 @@ def greedy_by_gain(
             continue
         trial = fit_weights(with_weights(theory, fit) + [c], fb, prior_std=prior_std, equal_predicates=True)
         gain = trial.value - initial - penalty * len(c.literals)
-        ok = gain > min_gain and abs(trial.weights[c.clause_id]) >= min_weight
+        ok = settled(fit) and settled(trial) and gain > min_gain and abs(trial.weights[c.clause_id]) >= min_weight
         trace.append((c.clause_id, gain, ok))
         if ok:
             theory, fit = theory + [c], trial
@@ -93,7 +98,10 @@ def prune(theory: list[Clause], fb: FactBase, penalty: float = 0.01, prior_std:
         with stored(table) as s:
             fits = fit_signatures(s, {p: {c.clause_id: c.weight for c in cs} for p, cs in problems.items()}, prior_std)
         now = fits["@all"].value
-        gains = {c.clause_id: fits[c.clause_id].value - now + penalty * len(c.literals) for c in droppable}
+        gains = {
+            c.clause_id: fits[c.clause_id].value - now + penalty * len(c.literals) for c in droppable
+            if settled(fits["@all"]) and settled(fits[c.clause_id])
+        }
         best = max(gains, key=gains.get, default=None)
         if best is None or gains[best] <= 0:
             return Theory(with_weights(current, fits["@all"]), now, trace)
