@@ -405,28 +405,28 @@ def q_sampled_atoms(spark, sf):
 
 @query(
     "wide_blocks",
-    """WITH f AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b, l_shipmode AS m FROM lineitem),
+    """WITH f AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b, l_suppkey AS m FROM lineitem),
 k AS (SELECT a, b, count(*) AS n FROM f GROUP BY a, b)
 SELECT CAST((SELECT count(DISTINCT a) FROM f) * (SELECT count(DISTINCT b) FROM f) AS DOUBLE) AS possible,
   CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS one, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS more,
   CAST((SELECT count(DISTINCT a) FROM f) * (SELECT count(DISTINCT b) FROM f) - count(*) AS DOUBLE) AS none FROM k""",
 )
 def q_wide_blocks(spark, sf):
-    """Blocks with two free arguments: the ship mode of every order and part."""
-    schema = Schema.of(Predicate("ShippedBy", ("order", "part", "mode"), (), (2,)))
+    """Blocks with two free arguments: the supplier of every order and part."""
+    schema = Schema.of(Predicate("ShippedBy", ("order", "part", "supplier"), (), (2,)))
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    facts = T.facts_from_table(lines, "ShippedBy", ["l_orderkey", "l_partkey", "l_shipmode"], ("O", "P", ""))
+    facts = T.facts_from_table(lines, "ShippedBy", ["l_orderkey", "l_partkey", "l_suppkey"], ("O", "P", "S"))
     return FO.block_totals(FactBase(schema, facts), "ShippedBy").select(*dbl("possible"), "one", "more", *dbl("none"))
 
 
 @query(
     "broken_wide_blocks",
-    """SELECT 'O' || l_orderkey AS a0, 'P' || l_partkey AS a1, count(DISTINCT l_shipmode) AS n_true FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(DISTINCT l_shipmode) > 1""",
+    """SELECT 'O' || l_orderkey AS a0, 'P' || l_partkey AS a1, count(DISTINCT l_suppkey) AS n_true FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(DISTINCT l_suppkey) > 1""",
 )
 def q_broken_wide_blocks(spark, sf):
-    schema = Schema.of(Predicate("ShippedBy", ("order", "part", "mode"), (), (2,)))
+    schema = Schema.of(Predicate("ShippedBy", ("order", "part", "supplier"), (), (2,)))
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    facts = T.facts_from_table(lines, "ShippedBy", ["l_orderkey", "l_partkey", "l_shipmode"], ("O", "P", ""))
+    facts = T.facts_from_table(lines, "ShippedBy", ["l_orderkey", "l_partkey", "l_suppkey"], ("O", "P", "S"))
     return FO.check_blocks(FactBase(schema, facts), "ShippedBy").select("a0", "a1", "n_true")
 
 
