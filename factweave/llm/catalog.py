@@ -101,6 +101,7 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),  # what is left; a cut may fall inside a character
     )
 
 
