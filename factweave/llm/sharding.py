@@ -2,7 +2,7 @@
 
 Records are ordered by a hash of their text, so equal texts are neighbours. A size-weighted sample of
 the keys gives the splitters of many ranges; a range that turns out overfull is subdivided by more
-splitters, a group of equal texts that is too large for one unit by a hash of its ids. Exact byte
+splitters, a group of equal texts that is too large for one unit by a hash of its rows' places in the stored sizes. Exact byte
 totals of the ranges and units then give every unit its place on the line of all bytes, which is cut
 into equal shards.
 """
@@ -16,7 +16,7 @@ from . import common as C
 
 OVERHEAD = 16  # bytes counted for each record beside its text
 SAMPLES_PER_RANGE = 64
-MAX_RANGES = 1024  # splitters are a driver-side list of at most this length; more data gives larger ranges
+MAX_RANGES = 1024  # splitters to begin with; overfull ranges get more until none is over its share
 
 
 def _quantiles(sample: DataFrame, n: int) -> list[int]:
@@ -26,8 +26,8 @@ def _quantiles(sample: DataFrame, n: int) -> list[int]:
 
 
 def _drawn(rows: DataFrame, total: int, samples: int) -> DataFrame:
-    """Every record is drawn with a chance in proportion to its size, by a hash of its own fields."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(17), "h", "key", "crc"), 11) / F.lit(float(1 << 53))
+    """Every record is drawn with a chance in proportion to its size, by a hash of its place and fields."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(17), "h", "at", "crc"), 11) / F.lit(float(1 << 53))
     return rows.filter(u * F.lit(float(total)) < F.col("size") * F.lit(float(samples)))
 
 
@@ -40,14 +40,14 @@ def shards(
     Returns key, size (UTF-8 bytes and 16; a null text has none), text_crc32, shard and slot (0, 1, ...
     in each shard). Records of equal text form a group; a group stays in one shard unless its bytes exceed
     1/units_per_shard of a shard, in which case it is cut into that many parts. A null text is grouped with
-    the empty one. Repeated rows each get their own slot; null ids come first in their unit; an empty table
+    the empty one. Repeated rows and rows without id each get their own slot and are cut like others; null ids come first in their unit; an empty table
     gives an empty result; other columns are ignored.
     """
     text_ = C.whole_text(text)
     rows = C.materialise(
         docs.select(
             F.col(key).cast("bigint").alias("key"), (F.octet_length(text_) + OVERHEAD).cast("bigint").alias("size"),
-            F.crc32(text_.cast("binary")).alias("crc"), F.xxhash64(text_).alias("h"),
+            F.crc32(text_.cast("binary")).alias("crc"), F.xxhash64(text_).alias("h"), F.monotonically_increasing_id().alias("at"),
         ),
         "sizes",
     )
@@ -66,7 +66,7 @@ def shards(
     ranged = C.materialise(
         rows.join(F.broadcast(large), "h", "left")
         .withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(F.lit(29), "key", "h"), F.col("parts")).cast("int")))
+            F.pmod(F.xxhash64(F.lit(29), "at", "h"), F.col("parts")).cast("int")))
         .groupBy("h", "part", F.col("parts").isNotNull().alias("cut"))
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")),
         "units",
@@ -80,12 +80,12 @@ def shards(
         ]
         inside = light.filter(bucket_of(F.col("h"), bounds).isin(over)) if over else None
         extra = set(_quantiles(inside, 2 * len(over) + 1)) - set(bounds) if over else set()
-        if not extra or len(bounds) + len(extra) > 2 * MAX_RANGES:
+        if not extra:
             break
         bounds = sorted({*bounds, *extra})
 
     placed = ranged.withColumn("g", bucket_of(F.col("h"), bounds))
-    per_range = placed.groupBy("g").agg(F.sum("bytes").alias("b"))  # at most 2 * MAX_RANGES + 1 rows
+    per_range = placed.groupBy("g").agg(F.sum("bytes").alias("b"))  # fewer than half of the ranges can be overfull at a time
     offsets = per_range.select("g", (F.sum("b").over(W.orderBy("g")) - F.col("b")).alias("before"))
     line = W.partitionBy("g").orderBy("h", "part")
     middle = F.col("before") + F.sum("bytes").over(line) - F.col("bytes") + F.col("bytes") / 2
@@ -103,9 +103,9 @@ def shards(
     )
     salted = rows.join(F.broadcast(large), "h", "left").withColumn(
         "part", F.when(F.col("parts").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(F.lit(29), "key", "h"), F.col("parts")).cast("int"))
+            F.pmod(F.xxhash64(F.lit(29), "at", "h"), F.col("parts")).cast("int"))
     )
-    numbered = salted.withColumn("@r", F.row_number().over(W.partitionBy("h", "part").orderBy("key", "size", "crc")))
+    numbered = salted.withColumn("@r", F.row_number().over(W.partitionBy("h", "part").orderBy("key", "size", "crc", "at")))
     return numbered.join(units, ["h", "part"]).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard",
         (F.col("first_slot") + F.col("@r") - 1).cast("bigint").alias("slot"),

@@ -209,6 +209,16 @@ def test_automaton_holds_its_words_only():
     assert bpe.Lexicon(bpe.compile_words([]) | {"flat": parts["flat"], "offs": parts["offs"]}).look_up(buf, starts, ends).max() == -1
 
 
+def test_shards_of_rows_without_ids(frame):
+    rng = random.Random(14)
+    docs = [(None, "no id " * 12)] * 4000 + [(7, "one id " * 12)] * 2000 + [(k, prose(rng, 60, 5000)) for k in range(500)]
+    size = Counter()
+    for r in sharding.shards(frame(docs), 40).collect():
+        size[r.shard] += r.size
+    assert sorted(size) == list(range(40))
+    assert max(size.values()) <= 1.05 * sum(size.values()) / 40
+
+
 def test_shards(frame):
     rng = random.Random(4)
     docs = [(k, prose(rng, rng.randrange(1, 200), 5000)) for k in range(600)]
