@@ -314,16 +314,23 @@ def test_two_halves_of_a_class_are_joined(frame):
             want[k] = 2 * group
     got = {r.doc_id: r["first"] for r in passages.near_passages(frame(docs)).collect()}
     assert got == want
-    assert passages.shared_run(46, 0.8) == 21
+    assert passages.most_unlike(46, 0.8) == 9
 
 
-def test_compact_windows_hold_every_passage_once():
-    h = np.random.default_rng(4).permutation(60).astype(np.uint64)
-    windows = passages.compact_windows(h, 7)
-    for i in range(60):
-        for j in range(i + 6, 60):
-            place = i + int(h[i : j + 1].argmin())
-            assert sum(a <= i <= c <= j <= z and c == place for a, c, z in windows) == 1
+@pytest.mark.parametrize("values", [10**9, 25, 3])
+def test_sketches_hold_the_lowest_shingles_of_every_stretch(values):
+    order = np.random.default_rng(values).integers(0, values, 200).astype(np.uint64)
+    want = {i + j for i in range(200 - 45) for j, v in enumerate(order[i : i + 46]) if v in np.unique(order[i : i + 46])[:10]}
+    assert passages.lowest_places(order, 46, 10).tolist() == sorted(want)
+    assert not len(passages.lowest_places(order[:45], 46, 10))
+
+
+def test_a_line_that_many_documents_share_makes_no_pairs(frame):
+    # 30 words in every document, in surroundings of their own, and two documents with a passage in common
+    rng = random.Random(29)
+    line, both = prose(rng, 30, 5000), prose(rng, 60, 5000)
+    docs = [(k, f"{prose(rng, 60, 9000)} {line} {both if k in (7, 31) else prose(rng, 60, 9000)}") for k in range(60)]
+    assert {(r.doc_id, r["first"]) for r in passages.near_passages(frame(docs)).collect()} == {(7, 7), (31, 7)}
 
 
 # ---------------------------------------------------------------- licences
