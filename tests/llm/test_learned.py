@@ -291,7 +291,7 @@ def test_a_family_of_edited_copies_like_brute_force(frame):
     for x in range(len(docs)):
         for y in range(x + 1, len(docs)):
             where = {int(g): d for d, g in enumerate(grams[y])}
-            meet = [(c, where[g]) for c, g in enumerate(grams[x].tolist()) if g in where]
+            meet = [([c], [where[g]]) for c, g in enumerate(grams[x].tolist()) if g in where]
             if passages.verify(grams[x], grams[y], meet, 46, 0.8):
                 linked |= {x, y}
                 up[max(find(x), find(y))] = min(find(x), find(y))
@@ -333,6 +333,29 @@ def test_a_line_that_many_documents_share_makes_no_pairs(frame):
     assert {(r.doc_id, r["first"]) for r in passages.near_passages(frame(docs)).collect()} == {(7, 7), (31, 7)}
 
 
+def test_repeated_shingles_are_tried_at_all_their_places():
+    # two segments that repeat a passage in unlike surroundings, one of them with a changed word, and one shingle everywhere
+    rng = np.random.default_rng(31)
+    both = rng.permutation(50).astype(np.uint64)
+    near = both.copy()
+    near[20:25] += np.uint64(1000)
+
+    def fill(n):
+        part = rng.integers(10**4, 10**6, n).astype(np.uint64)
+        part[::10] = both[3]
+        return part
+
+    a = np.concatenate((fill(70), both, fill(90), both, fill(30)))
+    b = np.concatenate((fill(40), near, fill(80), both, fill(60)))
+    meet = [(np.flatnonzero(a == v).tolist(), np.flatnonzero(b == v).tolist()) for v in np.intersect1d(a, b)]
+    got = set(passages.verify(a, b, meet, 46, 0.8))
+    single = {r for p, q in meet for c in p for d in q for r in passages.verify(a, b, [([c], [d])], 46, 0.8)}
+    assert got and got <= single
+    for x in (70, 210):
+        for y in (40, 170):
+            assert any(i <= x + 5 and x + 45 <= j and k <= y + 5 and y + 45 <= m for i, j, k, m in got)
+
+
 # ---------------------------------------------------------------- licences
 
 
