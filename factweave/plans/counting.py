@@ -17,6 +17,7 @@ from itertools import chain, combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .comparisons import COUNTABLE, weigh_by_partners
 from .local import small_table
 from ..facts import FactBase, union_all
 from ..functions.computed import computed_column, is_computed
@@ -198,6 +199,31 @@ def _cycle_join(a: _Factor, b: _Factor, c: _Factor) -> _Factor:
     return _Factor(light.vars, light.df.select(*cols).unionByName(heavy.df.select(*cols)), light.weighted, light.size)
 
 
+def _count_partners(factors: list[_Factor], guards: list[Guard], keep: set[str]) -> bool:
+    """Replace one factor that a comparison alone still needs by the number of its partners, in place."""
+    for g in guards:
+        if g.pred not in COUNTABLE or len(set(g.variables())) != 2 or not all(a.is_var for a in g.args):
+            continue
+        for at, (value, partner) in enumerate([g.variables(), g.variables()[::-1]]):
+            others = {v for o in guards if o is not g for v in o.variables()}
+            holders = [i for i, f in enumerate(factors) if partner in f.vars]
+            targets = [i for i, f in enumerate(factors) if value in f.vars]
+            if partner in keep | others or len(holders) != 1 or not targets or factors[holders[0]].vars != (partner,):
+                continue
+            b = factors[holders[0]]
+            i = min(targets, key=lambda t: (len(factors[t].vars), factors[t].size, t))
+            a = factors[i]
+            df = weigh_by_partners(
+                a.df, vcol(value), "n" if a.weighted else None, b.df, vcol(partner), "n" if b.weighted else None,
+                g.pred, at == 0, g.positive,
+            )
+            factors[i] = _Factor(a.vars, df, True, a.size)
+            del factors[holders[0]]
+            guards.remove(g)
+            return True
+    return False
+
+
 def join_count(
     fb: FactBase,
     atoms: tuple[Atom, ...],
@@ -208,7 +234,8 @@ def join_count(
     """``fold, v_<keep>..., n``: number of bindings of the other variables for each kept binding.
 
     Join order: always the pair whose result, after summing away finished variables, has the fewest
-    columns; a pair where one side only filters the other comes first; then smaller relations.
+    columns; a pair where one side only filters the other comes first; then smaller relations.  A variable
+    that only a comparison ties to the rest is counted through running totals instead of being joined.
     """
     totals = fb.true_totals() if len(atoms) > 2 else {}
     sizes = {p.name: float(sum(n for (_, q), n in totals.items() if q == p.name)) for p in fb.schema}
@@ -236,6 +263,8 @@ def join_count(
             factors[i] = f.project(others | set(keep) | guard_vars)
         if len(factors) == 1:
             break
+        if _count_partners(factors, open_guards, set(keep)):
+            continue
         best = None
         for i, j in combinations(range(len(factors)), 2):
             a, b = factors[i], factors[j]

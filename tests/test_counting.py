@@ -121,3 +121,62 @@ def test_registered_predicate(spark):
     c = clause("!P(x,y) v sameEnding(x,y)")
     want = sum(p == "P" and a[0][-1] != a[1][-1] for _, p, a in facts)
     assert int(clause_counts([c], fb).first()["n_false"]) == want
+
+
+def test_comparisons_between_unconnected_variables(spark):
+    from factweave.facts import FACTS_DDL, FactBase
+    from factweave.schema import Predicate, Schema
+
+    schema = Schema.of(Predicate("Age", ("person", "num")), Predicate("Limit", ("place", "num")))
+    ages = {(f, f"P{i}", str(i * 7 % 11 - 3)) for f in (0, 1) for i in range(12 - f)} | {(0, "P1", "old"), (0, "P2", "old")}
+    limits = {(f, f"L{i}", str(i * 3 % 8)) for f in (0, 1) for i in range(7)} | {(1, "L9", "none"), (0, "L2", "9223372036854775807")}
+    rows = [(f, "Age", [a, n], "true") for f, a, n in ages] + [(f, "Limit", [a, n], "true") for f, a, n in limits]
+    fb = FactBase(schema, spark.createDataFrame(rows, FACTS_DDL))
+
+    def whole(x):
+        return int(x) if x.lstrip("-").isdigit() else None
+
+    tests = {
+        "lessThan": lambda a, b: a < b, "lessThanEq": lambda a, b: a <= b, "greaterThan": lambda a, b: a > b,
+        "greaterThanEq": lambda a, b: a >= b, "succ": lambda a, b: b == a + 1,
+    }
+    rules, want = [], {}
+    for name, test in tests.items():
+        for sign in ("", "!"):
+            for args in ("m,n", "n,m"):
+                c = clause(f"!Age(x,m) v !Limit(y,n) v {sign}{name}({args})")
+                rules.append(c)
+                for f in (0, 1):
+                    total = 0
+                    for g, _, m in ages:
+                        for h, _, k in limits:
+                            if g == h == f:
+                                a, b = (whole(m), whole(k)) if args == "m,n" else (whole(k), whole(m))
+                                holds = a is not None and b is not None and test(a, b)
+                                total += holds == (sign == "!")
+                    want[f, c.clause_id] = total
+    counts = clause_counts(rules, fb)
+    assert {(r["fold"], r["clause_id"]): int(r["n_false"]) for r in counts.collect()} == want
+
+
+def test_comparison_partners_are_not_paired(spark):
+    """Ten thousand values against ten thousand: the plan joins on the value, never on the fold alone."""
+    from factweave.facts import FactBase
+    from factweave.schema import Predicate, Schema
+    from pyspark.sql import functions as F
+
+    n = 10_000
+    schema = Schema.of(Predicate("Age", ("person", "num")), Predicate("Limit", ("place", "num")))
+    ids = spark.range(n)
+    facts = ids.select(
+        F.lit(0).alias("fold"), F.lit("Age").alias("pred"),
+        F.array(F.concat(F.lit("P"), "id"), F.col("id").cast("string")).alias("args"), F.lit("true").alias("truth"),
+    ).unionByName(ids.select(
+        F.lit(0).alias("fold"), F.lit("Limit").alias("pred"),
+        F.array(F.concat(F.lit("L"), "id"), F.col("id").cast("string")).alias("args"), F.lit("true").alias("truth"),
+    ))
+    counts = clause_counts([clause("!Age(x,m) v !Limit(y,k) v !lessThan(m,k)")], FactBase(schema, facts))
+    assert int(counts.first()["n_false"]) == n * (n - 1) // 2
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+    assert joins and all("@v" in line or "clause_id" in line or "@part" in line for line in joins), joins
