@@ -454,6 +454,32 @@ def q_exists(spark, sf):
     return some.unionByName(one).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "existential_counts",
+    views("Placed", "Segment", "Contains", "Brand", "Did")
+    + f"""
+, few AS (SELECT a FROM Did GROUP BY a HAVING count(*) < (SELECT count(*) FROM d_event_type)), c11 AS (SELECT DISTINCT k.a FROM Contains k JOIN Brand b ON b.a = k.b WHERE b.b = 'Brand#11'),
+one AS (SELECT a FROM Placed GROUP BY a HAVING count(*) = 1), u AS (
+SELECT 'builders_order' AS clause_id, CAST((SELECT count(*) FROM Segment WHERE b = 'BUILDING' AND a NOT IN (SELECT a FROM Placed)) AS DOUBLE) AS n_false, {n('customer')} AS n_total
+UNION ALL SELECT 'orders_hold_brand_11', CAST((SELECT count(*) FROM Placed WHERE b NOT IN (SELECT a FROM c11)) AS DOUBLE), {n('customer')} * {n('orders_')}
+UNION ALL SELECT 'customers_are_builders', CAST((SELECT count(DISTINCT a) FROM Placed WHERE a NOT IN (SELECT a FROM Segment WHERE b = 'BUILDING')) AS DOUBLE), {n('customer')}
+UNION ALL SELECT 'one_order_only', CAST((SELECT count(*) FROM Segment WHERE b = 'BUILDING' AND a NOT IN (SELECT a FROM one)) AS DOUBLE), {n('customer')}
+UNION ALL SELECT 'not_every_event', {n('user')} - CAST((SELECT count(*) FROM few) AS DOUBLE), {n('user')})
+SELECT clause_id, n_total - n_false AS n_true, n_false, n_total FROM u
+""",
+)
+def q_existential(spark, sf):
+    fb = view_fact_base(spark, sf, ["Placed", "Segment", "Contains", "Brand", "Did"])
+    rules = [
+        clause("!Segment(c,BUILDING) v EXIST o Placed(c,o)", clause_id="builders_order"),
+        clause('!Placed(c,o) v EXIST p (Contains(o,p) ^ Brand(p,"Brand#11"))', clause_id="orders_hold_brand_11"),
+        clause("!EXIST o Placed(c,o) v Segment(c,BUILDING)", clause_id="customers_are_builders"),
+        clause("!Segment(c,BUILDING) v EXIST! o Placed(c,o)", clause_id="one_order_only"),
+        clause("EXIST e !Did(u,e)", clause_id="not_every_event"),
+    ]
+    return clause_counts(rules, fb).select("clause_id", *dbl("n_true", "n_false", "n_total"))
+
+
 @query(
     "atom_count_differences",
     views("Supplies", "SuppNation", "CustNation")

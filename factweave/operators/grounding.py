@@ -18,7 +18,7 @@ from ..plans.counting import (
     subsets,
     vcol,
 )
-from ..rules import EQUALS, LITERALS_TYPE, Clause, Literal
+from ..rules import EQUALS, LITERALS_TYPE, Clause, Literal, plain_only
 
 GROUND_LITERALS = "array<struct<atom:string,positive:boolean>>"
 
@@ -29,6 +29,7 @@ def match(c: Clause, fb: FactBase) -> DataFrame:
     Positive literals are joined on shared variables, smaller relations first; negated literals are
     anti-joined once bound; comparisons and equalities filter.
     """
+    plain_only([c], "a match")
     totals = fb.true_totals()
     sizes = {p.name: float(sum(n for (_, q), n in totals.items() if q == p.name)) for p in fb.schema}
     stored = [l for l in c.literals if l.pred in fb.schema]
@@ -130,6 +131,7 @@ def ground_network(clauses: list[Clause], fb: FactBase, query: DataFrame) -> Dat
     the number of groundings that leave exactly these literals, so evidence-only variables are
     counted rather than listed.
     """
+    plain_only(clauses, "a ground network")
     fb = query_canopy(fb, query)
     preds = {r["pred"] for r in query.select("pred").distinct().collect()}
     parts = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .local import small_table
 from ..facts import FactBase, union_all
-from ..rules import EQUALS, Clause, Literal, Term
+from ..rules import EQUALS, Clause, Literal, Term, plain_only
 from .counting import (
     EXACT,
     Atom,
@@ -153,6 +153,7 @@ def _components(term: CountTerm) -> list[tuple[list[Atom], list[Guard], set[str]
 
 def atom_counts(clauses: list[Clause], pred: str, fb: FactBase) -> AtomCounts:
     """Count differences of all clauses for the atoms of one predicate, listed and absent."""
+    plain_only(clauses, "a count difference")
     arity = fb.schema[pred].arity
     cols = [f"a{i}" for i in range(arity)]
     folds = fb.folds()

@@ -12,7 +12,7 @@ rest, so a constant that appears in a third of all facts costs one row, not a qu
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,7 +21,7 @@ from .comparisons import COUNTABLE, weigh_by_partners
 from .local import small_table
 from ..facts import FactBase, union_all
 from ..functions.computed import computed_column, is_computed
-from ..rules import EQUALS, Clause, Literal, Term
+from ..rules import EQUALS, EXISTS, EXISTS_ONE, Clause, Literal, Term
 
 EXACT = "decimal(38,0)"
 # Up to this many pairs a join inside a cycle is done directly; beyond it hub values are split off.
@@ -30,11 +30,16 @@ DIRECT_PAIRS = 1e8
 
 @dataclass(frozen=True, order=True)
 class Atom:
-    """Membership of ``pred(args)`` in the atom set ``which`` ("true", "false" or a named set)."""
+    """Membership of ``pred(args)`` in the atom set ``which`` ("true", "false" or a named set).
+
+    With ``inner`` it is membership of the args in a derived set: the bindings of the free variables (free0, ...) for
+    which some, exactly one or every (``which``) binding of the other variables satisfies the inner requirements.
+    """
 
     pred: str
     args: tuple[Term, ...]
     which: str = "true"
+    inner: tuple = ()  # (pred, positive, args, set)
 
     def variables(self) -> list[str]:
         return list(dict.fromkeys(a.name for a in self.args if a.is_var))
@@ -112,7 +117,7 @@ def signed_terms(
         def apply(args):
             return tuple(sub.get(t.name, t) if t.is_var else t for t in args)
 
-        body = frozenset(Atom(a.pred, apply(a.args), a.which) for a in atoms if a.pred != EQUALS)
+        body = frozenset(Atom(a.pred, apply(a.args), a.which, a.inner) for a in atoms if a.pred != EQUALS)
         grd = frozenset(Guard(g.pred, apply(g.args), g.positive) for g in guards)
         kept = tuple((v, sub.get(v, Term("var", v))) for v in keep)
         live = {sub.get(v, Term("var", v)) for v in var_types}
@@ -146,10 +151,32 @@ class _Factor:
         return _Factor(self.vars, self.df.filter(cond if guard.positive else ~cond), self.weighted, self.size)
 
 
+def _derived(fb: FactBase, atom: Atom) -> DataFrame:
+    """Bindings of an existential's free variables, ``fold, a0, ...``: one inside count each, no bindings listed."""
+    lits = [Literal(p, positive, args) for p, positive, args, _ in atom.inner]
+    vt = Clause(tuple(lits)).var_types(fb.schema)
+    keep = tuple(f"free{i}" for i in range(len(atom.args)))
+    if atom.which == "every":
+        ((pred, _, args, which),) = atom.inner
+        counts = count_bindings(fb, [Atom(pred, args, which)], [], vt, keep)
+        wanted = F.col("n") == fb.size_product([t for v, t in vt.items() if v not in keep])
+    else:
+        stored = {p: w for p, _, _, w in atom.inner if w != "true"}
+        ins, outs, guards = requirements([replace(l, positive=not l.positive) for l in lits], fb) if not stored else (
+            [Atom(p, args, w) for p, _, args, w in atom.inner], [], ()
+        )
+        bound = {v for a in ins if a.pred != EQUALS for v in a.variables()}
+        if not bound >= set(keep):
+            raise ValueError("every free variable of an existential conjunction must occur in a positive stored literal")
+        counts = count_bindings(fb, ins, outs, vt, keep, guards)
+        wanted = (F.col("n") == 1) if atom.which == "one" else (F.col("n") > 0)
+    return counts.filter(wanted).select("fold", *[F.col(f"k_{v}").alias(f"a{i}") for i, v in enumerate(keep)])
+
+
 def _factor(fb: FactBase, atom: Atom, sizes: dict[str, float]) -> _Factor:
-    df = fb.relation(atom.pred, atom.which)
+    df = _derived(fb, atom) if atom.inner else fb.relation(atom.pred, atom.which)
     first: dict[str, int] = {}
-    size = sizes.get(atom.pred, 1.0)
+    size = sizes.get(atom.inner[0][0] if atom.inner else atom.pred, 1.0)
     for i, a in enumerate(atom.args):
         if not a.is_var:
             df = df.filter(F.col(f"a{i}") == a.name)
@@ -335,6 +362,37 @@ def count_bindings(
     return union_all(parts).groupBy(*keys).agg(F.sum("n").cast(EXACT).alias("n")).filter("n != 0")
 
 
+def _is_open(literals: tuple[Literal, ...], fb: FactBase) -> bool:
+    return any(l.pred in fb.open_world or _is_open(l.inner, fb) for l in literals)
+
+
+def _existential_sets(lit: Literal, fb: FactBase) -> tuple[Atom | None, Atom | None]:
+    """Atom sets in which an existential is certainly true, and certainly false; None for a set that is not stored.
+
+    A conjunction of closed-world literals gives the first set, one negative literal of a closed world the
+    second (all its atoms are facts), one literal of an open world both.
+    """
+    names = {a.name: Term("var", f"free{i}") for i, a in enumerate(lit.args)}
+    names |= {b: Term("var", f"bound{i}") for i, b in enumerate(lit.bound)}
+
+    def inner(*sets: str) -> tuple:
+        return tuple((l.pred, l.positive, l.rename(names).args, s) for l, s in zip(lit.inner, sets))
+
+    kind = "one" if lit.pred == EXISTS_ONE else "some"
+    first = lit.inner[0]
+    single = len(lit.inner) == 1 and first.pred in fb.schema
+    if _is_open(lit.inner, fb):
+        if not single or kind == "one":
+            raise ValueError(f"an existential over an open world takes one literal: {lit}")
+        holds, fails = ("true", "false") if first.positive else ("false", "true")
+        return Atom(EXISTS, lit.args, "some", inner(holds)), Atom(EXISTS, lit.args, "every", inner(fails))
+    if single and not first.positive:
+        if kind == "one":
+            raise ValueError(f"exactly one absent atom cannot be counted: {lit}")
+        return None, Atom(EXISTS, lit.args, "every", inner("true"))
+    return Atom(EXISTS, lit.args, kind, inner(*["true"] * len(lit.inner))), None
+
+
 def requirements(
     literals: list[Literal], fb: FactBase, unsatisfied: str = "false"
 ) -> tuple[list[Atom], list[Atom], tuple[Guard, ...]]:
@@ -349,6 +407,15 @@ def requirements(
     for lit in literals:
         if lit.pred == EQUALS:
             (outs if lit.positive else ins).append(Atom(EQUALS, lit.args))
+        elif lit.inner:
+            some, none = _existential_sets(lit, fb)
+            if not _is_open(lit.inner, fb):
+                # "none" is the exact complement of "some": use the one that can be stored
+                (ins if lit.positive == (some is None) else outs).append(none if some is None else some)
+            elif unsatisfied == "false":
+                ins.append(none if lit.positive else some)
+            else:
+                outs.append(some if lit.positive else none)
         elif is_computed(lit.pred) and lit.pred not in fb.schema:
             guards.append(Guard(lit.pred, lit.args, not lit.positive))
         elif lit.pred not in fb.open_world:
@@ -385,7 +452,7 @@ def clause_counts(clauses: list[Clause], fb: FactBase) -> DataFrame:
         for f, n in num_groundings(c, fb).items():
             totals.append((f, c.clause_id, str(n)))
         modes = [("f", "false")]
-        if any(l.pred in fb.open_world for l in c.literals):
+        if _is_open(c.literals, fb):
             modes.append(("u", "not_true"))
         for tag, mode in modes:
             ins, outs, guards = requirements(list(c.literals), fb, mode)
@@ -410,7 +477,7 @@ def clause_counts(clauses: list[Clause], fb: FactBase) -> DataFrame:
         joined = total_df.join(sums, ["fold", "clause_id"], "left")
     else:
         joined = total_df.withColumns({"f": zero, "u": zero, "has_u": F.lit(False)})
-    open_ids = [c.clause_id for c in clauses if any(l.pred in fb.open_world for l in c.literals)]
+    open_ids = [c.clause_id for c in clauses if _is_open(c.literals, fb)]
     total = F.col("t").cast(EXACT)
     false = F.coalesce("f", zero)
     not_true = F.when(F.col("clause_id").isin(open_ids), F.coalesce("u", zero)).otherwise(false)
@@ -429,7 +496,7 @@ def conjunction_counts(clauses: list[Clause], fb: FactBase, distinct: bool = Fal
     parts, base = [], []
     for c in clauses:
         vt = c.var_types(fb.schema)
-        flipped = [Literal(l.pred, not l.positive, l.args) for l in c.literals]
+        flipped = [replace(l, positive=not l.positive) for l in c.literals]
         ins, outs, guards = requirements(flipped, fb)
         if distinct:
             outs = outs + pairwise_equalities(vt)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .local import small_table
 from ..facts import FactBase, union_all
-from ..rules import Clause
+from ..rules import Clause, plain_only
 from .atom_counts import AtomCounts, atom_counts, counts_for_atoms
 from .counting import EXACT
 
@@ -39,6 +39,7 @@ def _local(fb: FactBase, rows: list, ddl: str) -> DataFrame:
 
 def signatures(problems: dict[str, list[Clause]], fb: FactBase, preds: list[str] | None = None) -> DataFrame:
     """``problem, fold, pred, truth, sig, mult`` covering every possible atom of every predicate."""
+    plain_only([c for cs in problems.values() for c in cs], "a signature table")
     preds = preds or [p.name for p in fb.schema]
     parts = []
     for pred in preds:
@@ -263,6 +264,7 @@ def sampled_signatures(
     """
     from ..operators.facts_ops import sample_atoms
 
+    plain_only([c for cs in problems.values() for c in cs], "a signature table")
     parts = []
     for pred in preds or [p.name for p in fb.schema]:
         cols = [f"a{i}" for i in range(fb.schema[pred].arity)]
