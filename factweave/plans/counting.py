@@ -13,7 +13,7 @@ rest, so a constant that appears in a third of all facts costs one row, not a qu
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from itertools import chain, combinations
+from itertools import chain, combinations, permutations
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -441,8 +441,92 @@ def num_groundings(c: Clause, fb: FactBase, distinct: bool = False) -> dict[int,
     return out
 
 
+def _components(t: CountTerm) -> list[tuple[tuple[Atom, ...], tuple[Guard, ...]]]:
+    """Parts of a term that share no variable; the count of the term is the product of theirs."""
+    groups: list[tuple[set[str], list]] = []
+    for item in [*t.atoms, *t.guards]:
+        names, members = set(item.variables()), [item]
+        rest = []
+        for g in groups:
+            if g[0] & names:
+                names, members = g[0] | names, g[1] + members
+            else:
+                rest.append(g)
+        groups = rest + [(names, members)]
+    fixed = [g for g in groups if not any(isinstance(x, Atom) for x in g[1]) and not g[0]]
+    groups = [g for g in groups if g not in fixed]
+    if fixed and groups:  # comparisons of constants filter the first part
+        groups[0][1].extend(x for g in fixed for x in g[1])
+    elif fixed:
+        groups = [(set(), [x for g in fixed for x in g[1]])]
+    return [
+        (tuple(x for x in m if isinstance(x, Atom)), tuple(x for x in m if isinstance(x, Guard))) for _, m in groups
+    ]
+
+
+def _named_alike(atoms: tuple[Atom, ...], guards: tuple[Guard, ...], var_types: dict[str, str]) -> tuple:
+    """The least renaming of a part over the orders of its atoms (up to four), so that equal parts are one key."""
+    orders = permutations(atoms) if len(atoms) <= 4 else [atoms]
+    best = None
+    for order in orders:
+        names: dict[str, Term] = {}
+        for item in [*order, *guards]:
+            for v in item.variables():
+                names.setdefault(v, Term("var", f"x{len(names)}"))
+
+        def renamed(args):
+            return tuple(names[a.name] if a.is_var else a for a in args)
+
+        key = (
+            tuple(sorted(Atom(a.pred, renamed(a.args), a.which, a.inner) for a in order)),
+            tuple(sorted(Guard(g.pred, renamed(g.args), g.positive) for g in guards)),
+            tuple(sorted((t.name, var_types[v]) for v, t in names.items() if v in var_types)),
+        )
+        best = key if best is None or key < best else best
+    return best
+
+
+def scalar_counts(
+    terms: list[tuple[tuple[str, ...], CountTerm, dict[str, str]]], fb: FactBase, tags: list[str]
+) -> DataFrame:
+    """``fold, <tags>..., n``: terms without kept variables, summed per tag, each distinct part counted once.
+
+    Terms are split into parts that share no variable. Parts equal up to names, within a rule or across
+    rules, are one count; a term is a product of counts, and only those counts, one row per
+    (fold, part), are put beside the table of terms.
+    """
+    parts: dict[tuple, int] = {}
+    rows = []
+    for tag, t, vt in terms:
+        if t.keep:
+            raise ValueError("a scalar term keeps no variable")
+        ids = [parts.setdefault(_named_alike(a, g, vt), len(parts)) for a, g in _components(t)]
+        for f in fb.folds():
+            n = t.coef
+            for type_ in t.free:
+                n *= fb.size(f, type_)
+            rows.append((f, *tag, str(n), ids))
+    table = small_table(
+        fb.spark, rows, ", ".join(["fold int", *[f"{c} string" for c in tags], "coef string", "parts array<int>"])
+    )
+    product = F.col("coef").cast(EXACT)
+    if parts:
+        counted = [
+            join_count(fb, atoms, guards, (), dict(types)).select("fold", F.lit(i).alias("part"), F.col("n").cast(EXACT).alias("n"))
+            for (atoms, guards, types), i in parts.items()
+        ]
+        counts = union_all(counted).groupBy("fold", "part").agg(F.sum("n").cast(EXACT).alias("n"))
+        by_fold = counts.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("counts"))
+        table = table.join(F.broadcast(by_fold), "fold", "left")  # one row a fold, one entry a part of a rule
+        product = F.aggregate(
+            "parts", product,
+            lambda acc, i: (acc * F.coalesce(F.col("counts")[i], F.lit(0).cast(EXACT))).cast(EXACT),
+        )
+    return table.withColumn("n", product).groupBy("fold", *tags).agg(F.sum("n").cast(EXACT).alias("n"))
+
+
 def clause_counts(clauses: list[Clause], fb: FactBase) -> DataFrame:
-    """True, false, unknown and total groundings of every clause, all clauses in one job.
+    """True, false, unknown and total groundings of every clause, all clauses in one job with shared counts.
 
     Columns ``fold, clause_id, n_true, n_false, n_unknown, n_total`` (exact decimals).
     """
@@ -457,16 +541,12 @@ def clause_counts(clauses: list[Clause], fb: FactBase) -> DataFrame:
         for tag, mode in modes:
             ins, outs, guards = requirements(list(c.literals), fb, mode)
             for t in signed_terms(ins, outs, vt, (), guards):
-                parts.append(
-                    term_counts(fb, t, vt).select(
-                        "fold", F.lit(c.clause_id).alias("clause_id"), F.lit(tag).alias("tag"), "n"
-                    )
-                )
+                parts.append(((c.clause_id, tag), t, vt))
     total_df = small_table(fb.spark, totals, "fold int, clause_id string, t string")
     zero = F.lit(0).cast(EXACT)
     if parts:
         sums = (
-            union_all(parts)
+            scalar_counts(parts, fb, ["clause_id", "tag"])
             .groupBy("fold", "clause_id")
             .agg(
                 F.sum(F.when(F.col("tag") == "f", F.col("n"))).cast(EXACT).alias("f"),
@@ -502,8 +582,8 @@ def conjunction_counts(clauses: list[Clause], fb: FactBase, distinct: bool = Fal
             outs = outs + pairwise_equalities(vt)
         base += [(f, c.clause_id) for f in fb.folds()]
         for t in signed_terms(ins, outs, vt, (), guards):
-            parts.append(term_counts(fb, t, vt).select("fold", F.lit(c.clause_id).alias("clause_id"), "n"))
-    sums = union_all(parts).groupBy("fold", "clause_id").agg(F.sum("n").cast(EXACT).alias("n"))
+            parts.append(((c.clause_id,), t, vt))
+    sums = scalar_counts(parts, fb, ["clause_id"])
     rows = small_table(fb.spark, base, "fold int, clause_id string")
     return rows.join(sums, ["fold", "clause_id"], "left").select(
         "fold", "clause_id", F.coalesce("n", F.lit(0).cast(EXACT)).alias("n")

@@ -12,9 +12,9 @@ from itertools import permutations
 from pyspark.sql import DataFrame, functions as F
 
 from .local import small_table
-from ..facts import FactBase, union_all
+from ..facts import FactBase
 from ..rules import Clause, Literal
-from .counting import EXACT, Atom, pairwise_equalities, signed_terms, subsets, term_counts
+from .counting import EXACT, Atom, pairwise_equalities, scalar_counts, signed_terms, subsets
 
 
 def bit(i: int, n: int) -> int:
@@ -28,7 +28,7 @@ def pattern_counts(clauses: list[Clause], fb: FactBase, distinct: bool = True, s
     ``distinct`` counts bindings with pairwise distinct constants per type; ``start`` is added to
     every cell.
     """
-    parts, base = [], []
+    parts, base, below = [], [], []
     for c in clauses:
         n = len(c.literals)
         vt = c.var_types(fb.schema)
@@ -38,18 +38,15 @@ def pattern_counts(clauses: list[Clause], fb: FactBase, distinct: bool = True, s
             upper = sum(bit(i, n) for i in chosen)
             ins = [Atom(c.literals[i].pred, c.literals[i].args) for i in chosen]
             # This superset count enters every pattern below it with alternating sign.
-            below = [
-                F.struct(F.lit(m).alias("mask"), F.lit((-1) ** bin(upper ^ m).count("1")).alias("sign"))
-                for m in range(1 << n)
-                if m & upper == m
+            below += [
+                (c.clause_id, str(upper), m, (-1) ** bin(upper ^ m).count("1")) for m in range(1 << n) if m & upper == m
             ]
-            for t in signed_terms(ins, outs, vt):
-                parts.append(
-                    term_counts(fb, t, vt)
-                    .select("fold", "n", F.lit(c.clause_id).alias("clause_id"), F.explode(F.array(*below)).alias("b"))
-                    .select("fold", "clause_id", "b.mask", (F.col("n") * F.col("b.sign")).cast(EXACT).alias("n"))
-                )
-    sums = union_all(parts).groupBy("fold", "clause_id", "mask").agg(F.sum("n").cast(EXACT).alias("n"))
+            parts += [((c.clause_id, str(upper)), t, vt) for t in signed_terms(ins, outs, vt)]
+    signs = small_table(fb.spark, below, "clause_id string, upper string, mask int, sign int")
+    sums = (
+        scalar_counts(parts, fb, ["clause_id", "upper"]).join(F.broadcast(signs), ["clause_id", "upper"])
+        .groupBy("fold", "clause_id", "mask").agg(F.sum((F.col("n") * F.col("sign")).cast(EXACT)).cast(EXACT).alias("n"))
+    )
     cells = small_table(fb.spark, base, "fold int, clause_id string, mask int")
     zero = F.lit(0).cast(EXACT)
     return cells.join(sums, ["fold", "clause_id", "mask"], "left").select(

@@ -180,3 +180,18 @@ def test_comparison_partners_are_not_paired(spark):
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
     assert joins and all("@v" in line or "clause_id" in line or "@part" in line for line in joins), joins
+
+
+def test_equal_parts_are_counted_once(spark, monkeypatch):
+    from factweave.plans import counting
+
+    calls = []
+    plain = counting.join_count
+    monkeypatch.setattr(counting, "join_count", lambda fb, atoms, *rest: calls.append(atoms) or plain(fb, atoms, *rest))
+    facts = tiny_facts(21)
+    fb = fact_base(spark, facts)
+    texts = ["!P(x,y) v !R(y,z)", "!R(b,k) v !P(a,b)", "!P(x,y) v !R(y,z) v !S(w)", "!Q(x,z) v !Q(z,x)", "!Q(u,w) v !Q(w,u) v !S(k)"]
+    rules = [clause(t) for t in texts]
+    got = {r["clause_id"]: int(r["n_false"]) for r in clause_counts(rules, fb).collect()}
+    assert got == {c.clause_id: n_false(c, facts, 0) for c in rules}
+    assert len(calls) == 3  # P with R, Q with Q, S
