@@ -40,7 +40,11 @@ def _selected(words: np.ndarray, doc: np.ndarray, span: int, full: int) -> tuple
 
 
 def item_fingerprints(items: DataFrame, window: int) -> DataFrame:
-    """Kept k-grams of the benchmark. An item of n < window words is one run of n words; none: no row."""
+    """Kept k-grams of the benchmark. An item of n < window words is one run of n words; none: no row.
+
+    A row carries the k-gram and up to ``window - GRAM`` words on either side, which is as far as a document's
+    row reaches, so the rows of a long item grow with its length and not with its square.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,9 +60,11 @@ def item_fingerprints(items: DataFrame, window: int) -> DataFrame:
                         continue
                     span = min(window, int(z - a))
                     pos, fp = _selected(wh[a:z], doc[a:z], span, window)
-                    words = b" ".join(raw[x:y] for x, y in zip(s[a:z], e[a:z])).decode("utf-8", "replace")
+                    side, k = (window - GRAM, GRAM) if span == window else (0, span)
                     for p, f in zip(pos.tolist(), fp.view(np.int64).tolist()):
-                        for c, v in zip(out, (ids[lo + i], f, span, p, words)):
+                        x, y = int(a) + max(0, p - side), min(int(z), int(a) + p + k + side)
+                        words = b" ".join(raw[i0:i1] for i0, i1 in zip(s[x:y], e[x:y])).decode("utf-8", "replace")
+                        for c, v in zip(out, (ids[lo + i], f, span, int(a) + p - x, words)):
                             c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),

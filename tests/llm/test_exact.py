@@ -239,3 +239,16 @@ def test_shards(frame):
         where[r.text_crc32].add(r.shard)
     assert all(len(s) == 1 for crc, s in where.items() if crc != zlib.crc32(b"hot " * 60))
     assert sharding.shards(frame([]), 8).count() == 0
+
+
+def test_long_item_grows_with_its_length(frame):
+    from factweave.llm import decontaminate
+
+    words = [f"w{i}" for i in range(4000)]
+    spark = frame([]).sparkSession
+    items = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    held = decontaminate.item_fingerprints(items, 13).selectExpr("sum(length(item_words)) AS n").first()["n"]
+    assert held < 10 * len(" ".join(words)) * 2
+    docs = frame([(1, " ".join(words[100:112])), (2, " ".join(words[100:113])), (3, "a b " + " ".join(words[3980:]) + " c"), (4, " ".join(words))])
+    got = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (0, []), 2: (13, ["long"]), 3: (20, ["long"]), 4: (4000, ["long"])}
