@@ -1,7 +1,8 @@
 """Licence scans with a trained paragraph classifier.
 
 Paragraphs are hashed to sparse word n-grams and scored by a multinomial logistic regression over licence
-families and an unknown class. It is trained on variations of licence sentences and on paragraphs of the corpus; the
+families and an unknown class. Paragraphs are the lines of a text that share word shingles with a template, and
+runs of such lines that follow each other, since notices are wrapped and commented out. It is trained on variations of licence sentences and on paragraphs of the corpus; the
 unknown class is calibrated by a temperature and a threshold on held-out examples. A predicted family counts only if
 the paragraph also shares enough word shingles with a template of that family.
 """
@@ -42,6 +43,14 @@ TEMPLATES: dict[str, list[str]] = {
         "this work is licensed under a creative commons attribution 4 0 international license",
         "dedicated to the public domain under cc0 1 0 universal",
     ],
+    "boost": [
+        "distributed under the boost software license version 1 0",
+        "boost software license version 1 0 august 17th 2003",
+    ],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "licensed under the eclipse public license version 2 0",
+    ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu lesser general public license version 2 1",
@@ -49,6 +58,10 @@ TEMPLATES: dict[str, list[str]] = {
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
         "spdx license identifier gpl 3 0 or later",
     ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "licensed under the isc license",
+    ],
     "mit": [
         "released under the mit license",
         "licensed under the mit license",
@@ -63,7 +76,24 @@ TEMPLATES: dict[str, list[str]] = {
         "all rights reserved no part of this publication may be reproduced or transmitted in any form without prior written permission",
         "confidential and proprietary unauthorized copying of this file is strictly prohibited",
     ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "licensed under the zlib license",
+    ],
+}
+# fixed values: names of licences in SPDX lines, by family
+SPDX = {
+    "apache": ["apache 2 0"], "boost": ["bsl 1 0"], "bsd": ["bsd 2 clause", "bsd 3 clause", "0bsd"],
+    "cc": ["cc by 4 0", "cc by sa 4 0", "cc by nc 4 0", "cc0 1 0"], "epl": ["epl 1 0", "epl 2 0"],
+    "gpl": [f"{name} {v} {end}" for name, vs in (("gpl", ("2 0", "3 0")), ("lgpl", ("2 1", "3 0")), ("agpl", ("3 0",)))
+            for v in vs for end in ("only", "or later")],
+    "isc": ["isc"], "mit": ["mit"], "mpl": ["mpl 2 0"], "unlicense": ["unlicense"], "zlib": ["zlib"],
 }
+for _family, _names in SPDX.items():
+    TEMPLATES[_family] += [t for t in (f"spdx license identifier {x}" for x in _names) if t not in TEMPLATES[_family]]
 FAMILIES = sorted(TEMPLATES)
 # fixed words put around and into notices for training
 _LEADS = ("", "copyright 2021 the authors", "note", "this project is", "this file is", "the code is", "unless stated otherwise this is")
@@ -104,6 +134,33 @@ def paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[full], e[full], doc[full]
 
 
+def wrapped(buf: np.ndarray, s: np.ndarray, e: np.ndarray, doc: np.ndarray, offs: np.ndarray, keys: np.ndarray):
+    """Lines that share a shingle with a template, and (first, last) lines of runs of them that follow each other.
+
+    Shingles run on over line ends; punctuation and comment marks are no words. A blank line ends a run.
+    """
+    words, of = _words(buf, offs)
+    low, ends, _ = C.word_spans(C.LOWER[buf], offs, C.ALNUM)
+    h, ok = C.shingles(words, of, SHINGLE)
+    at = np.flatnonzero(ok & np.isin(h, keys))
+    touched = np.zeros(len(s), bool)
+    if not len(at):
+        return touched, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    feeds = np.concatenate(([0], np.cumsum(buf == 10)))
+    joined = np.zeros(len(s), bool)  # a line follows directly on the one before
+    joined[1:] = (doc[1:] == doc[:-1]) & (feeds[s[1:]] - feeds[e[:-1]] <= 1)
+    block = np.cumsum(~joined)
+    first = np.searchsorted(s, low[at], side="right") - 1
+    last = np.searchsorted(s, low[at + SHINGLE - 1], side="right") - 1
+    whole = block[first] == block[last]
+    lines, _ = C.ragged_ranges(np.arange(len(s)), first[whole], last[whole] + 1)
+    touched[lines] = True
+    opens = touched & ~(np.concatenate(([False], touched[:-1])) & joined)
+    closes = touched & ~np.concatenate(((touched & joined)[1:], [False]))
+    a, z = np.flatnonzero(opens), np.flatnonzero(closes)
+    return touched, a[z > a], z[z > a]
+
+
 # ---------------------------------------------------------------- the model
 
 
@@ -165,12 +222,17 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
 
 def known_examples() -> tuple[list[str], list[int]]:
-    """Variations of the templates: words before and after, and words left out or doubled."""
+    """Variations of the templates: words before and after, and words left out or doubled.
+
+    SPDX lines keep their last words, without which they name no licence.
+    """
     texts, labels = [], []
     for c, family in enumerate(FAMILIES):
         for t in TEMPLATES[family]:
             words = t.split()
             forms = [words, words[1:], words[:-1], words[: len(words) // 2] + words[len(words) // 2 + 1 :], words[:2] + words]
+            if words[0] == "spdx":
+                forms = [words, words[1:], words[:2] + words]
             for form in forms:
                 for lead in _LEADS:
                     for tail in _TAILS:
@@ -187,10 +249,10 @@ def _unknown_examples(rows: DataFrame, n: int) -> list[str]:
     share = min(1.0, n / total)  # one paragraph of each drawn document
     u = F.shiftrightunsigned(F.xxhash64(F.lit(53), "key", "text"), 11) / F.lit(float(1 << 53))
     lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.trim(x) != "")
-    drawn = rows.filter(u < F.lit(share)).select(lines.alias("p")).filter(F.size("p") > 0).select(
-        F.element_at("p", (F.pmod(F.xxhash64(F.col("p")[0]), F.size("p")) + 1).cast("int")).alias("p")
+    drawn = rows.withColumn("u", u).filter(F.col("u") < F.lit(share)).select("u", lines.alias("p")).filter(F.size("p") > 0).select(
+        "u", F.element_at("p", (F.pmod(F.xxhash64(F.col("p")[0]), F.size("p")) + 1).cast("int")).alias("p")
     )
-    texts = [r["p"] for r in drawn.limit(2 * n).collect()]
+    texts = [r["p"] for r in drawn.orderBy("u", "p").limit(2 * n).collect()]
     if not texts:
         return []
     words, doc = _words(*_flat(texts))
@@ -227,7 +289,9 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, n_paragraphs, notices) of every document; notices are array<struct<paragraph, family, chance, share>>.
 
     A paragraph is a line that is not blank, counted from 0; a line of any length is looked at whole. It is a notice
-    if a family's chance reaches the calibrated threshold and the family is confirmed by a template. Null
+    if a family's chance reaches the calibrated threshold and the family is confirmed by a template. A run of lines that
+    follow each other and share shingles with templates is judged as one paragraph too, named by its first line,
+    unless one of its lines is a notice by itself. Lines without a template's shingle cannot be confirmed and are only counted. Null
     and empty texts have no paragraphs; repeated rows each get a row; an empty table gives an empty result; other
     columns are ignored.
     """
@@ -248,23 +312,33 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
                 s, e, doc = paragraphs(buf, offs)
                 n_paragraphs[lo:hi] = np.bincount(doc, minlength=hi - lo)
                 first = C.per_text(doc, hi - lo)
-                # paragraphs become the texts of a chunk of their own
-                flat, size = C.ragged_ranges(buf, s, e)
-                bounds = np.concatenate(([0], np.cumsum(size)))
-                p = judge.chances(*ngrams(flat, bounds), len(s))
-                family = p[:, :-1].argmax(axis=1)
-                chance = p[np.arange(len(s)), family]
-                open_ = np.flatnonzero((chance >= threshold) & (p[:, -1] < chance))
-                if not len(open_):
-                    continue
-                few, size = C.ragged_ranges(buf, s[open_], e[open_])
-                words, of = _words(few, np.concatenate(([0], np.cumsum(size))))
-                share = _confirmed(words, of, len(open_), family[open_], templates)
-                for i, x in zip(open_.tolist(), share.tolist()):
-                    if x >= CONFIRM:
-                        notices[lo + int(doc[i])].append({
-                            "paragraph": i - int(first[doc[i]]), "family": FAMILIES[family[i]], "chance": float(chance[i]), "share": x,
+                touched, begin, last = wrapped(buf, s, e, doc, offs, templates[0])
+                noticed = np.zeros(len(s) + 1, np.int64)
+                single = np.flatnonzero(touched)
+                for at, end in ((single, single), (begin, last)):
+                    if at is begin:  # runs none of whose lines was found by itself
+                        total = np.concatenate(([0], np.cumsum(noticed)))
+                        free = total[end + 1] == total[at]
+                        at, end = at[free], end[free]
+                    if not len(at):
+                        continue
+                    # the candidates become the texts of a chunk of their own
+                    flat, size = C.ragged_ranges(buf, s[at], e[end])
+                    bounds = np.concatenate(([0], np.cumsum(size)))
+                    p = judge.chances(*ngrams(flat, bounds), len(at))
+                    family = p[:, :-1].argmax(axis=1)
+                    chance = p[np.arange(len(at)), family]
+                    words, of = _words(flat, bounds)
+                    share = _confirmed(words, of, len(at), family, templates)
+                    good = (chance >= threshold) & (p[:, -1] < chance) & (share >= CONFIRM)
+                    for i in np.flatnonzero(good).tolist():
+                        line = int(at[i])
+                        noticed[line] = 1
+                        notices[lo + int(doc[line])].append({
+                            "paragraph": line - int(first[doc[line]]), "family": FAMILIES[family[i]],
+                            "chance": float(chance[i]), "share": float(share[i]),
                         })
+            notices = [sorted(found, key=lambda x: x["paragraph"]) for found in notices]
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("chance", pa.float64()), ("share", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), pa.array(n_paragraphs), pa.array(notices, kind)], names=["key", "n_paragraphs", "notices"]

@@ -385,6 +385,35 @@ def test_licence_scan(frame):
     assert licences.scan(frame([])).count() == 0
 
 
+def test_wrapped_and_short_notices(frame):
+    rng = random.Random(4)
+    found = {
+        "bsd": [
+            "/*\n * Copyright (c) 2019, The Authors\n *\n * Redistribution and use in source and binary forms, with or without\n"
+            " * modification, are permitted provided that the following conditions\n * are met:\n * 1. Keep this notice.\n */\nint main;",
+            "# SPDX-License-Identifier: BSD-2-Clause",
+        ],
+        "gpl": ["// SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+        "isc": ["Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby\r\ngranted, provided that"],
+        "epl": ["This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0"],
+        "unlicense": ["This is free and unencumbered software released into the public domain."],
+        "boost": [" ** Distributed under the Boost Software License,\n ** Version 1.0."],
+        "zlib": ["This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\n"
+                 "arising from the use of this software."],
+    }
+    docs, want = [], {}
+    for family, texts in found.items():
+        for t in texts:
+            key = len(docs)
+            docs.append((key, "\n".join(prose(rng, 15, 2000) for _ in range(3)) + "\n\n" + t + "\n\n" + prose(rng, 15, 2000)))
+            want[key] = [family]
+    # a blank line parts a notice, and words of a template far from each other are none
+    docs.append((900, "Redistribution and use in source\n\nand binary forms, with or\n\nwithout modification, are"))
+    docs.append((901, prose(rng, 10, 2000) + "\nthe following conditions are met\n" + prose(rng, 10, 2000)))
+    got = {r.doc_id: [n.family for n in r.notices] for r in licences.scan(frame(docs)).collect()}
+    assert got == {**want, 900: [], 901: []}
+
+
 def test_licence_held_out_accuracy():
     texts, labels = licences.known_examples()
     rng = random.Random(1)
