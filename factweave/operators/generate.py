@@ -12,6 +12,7 @@ from ..facts import FactBase
 from ..functions import literals as L
 from ..functions.computed import is_computed
 from ..plans.counting import clause_counts
+from ..plans.storage import cut
 from ..rules import LITERALS_TYPE, Clause, collect_rules, unit
 from ..schema import Schema
 
@@ -351,7 +352,9 @@ def patterns(schema: Schema, spark: SparkSession, max_literals: int = 2, max_var
 
 def new_only(rules: DataFrame, theory: DataFrame) -> DataFrame:
     """Rules that are not in the theory, up to renaming."""
-    return _distinct(rules).join(_distinct(theory).select("text"), "text", "left_anti")
+    # stored, or the join's test for nulls would write the canonical form of every row that the theory is read from
+    known = cut(_distinct(theory).select("text"))
+    return _distinct(rules).join(known, "text", "left_anti")
 
 
 def lift(rules: DataFrame) -> DataFrame:
