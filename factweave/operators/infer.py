@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.local import small_table
@@ -83,35 +82,34 @@ def propagate_units(g: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(g: DataFrame) -> DataFrame:
     """``fold, atom, component``: least atom name reachable through shared clauses.
 
+    Atoms are numbered once and a clause is known by its least number, so the rounds join and aggregate numbers only.
     Labels move atom -> clause -> atom, so a clause or atom of any size costs one row per literal;
     each round also jumps to the label's own label, which shortens long chains.
     """
-    every = cut(ground_literals(g).select("fold", "gid", "atom", F.col("k")).distinct())
+    every = cut(g.select("fold", "gid", F.size("lits").alias("k"), F.explode(F.array_distinct(F.transform("lits", lambda l: l["atom"]))).alias("atom")))
+    atoms = cut(every.select(*ATOM).distinct().withColumn("node", F.monotonically_increasing_id()))
     # Only clauses with several atoms connect anything.
-    lits = every.filter("k > 1").select("fold", "gid", "atom").persist(StorageLevel.MEMORY_AND_DISK)
-    alone = every.select(*ATOM).distinct().join(lits.select(*ATOM).distinct(), ATOM, "left_anti").withColumn(
-        "component", F.col("atom")
-    )
+    numbered = cut(every.filter("k > 1").join(atoms, ATOM).select("fold", "gid", "node"))
+    hubs = numbered.groupBy("fold", "gid").agg(F.min("node").alias("hub"))
+    lits = cut(numbered.join(hubs, ["fold", "gid"]).select("hub", "node").distinct())
     if lits.isEmpty():
-        return alone
-    clause_min = lits.groupBy("fold", "gid").agg(F.min("atom").alias("m"))
-    labels = cut(lits.join(clause_min, ["fold", "gid"]).groupBy(*ATOM).agg(F.min("m").alias("component")))
+        return atoms.select(*ATOM, F.col("atom").alias("component"))
+    labels = cut(lits.groupBy("node").agg(F.min("hub").alias("label")))
     while True:
-        jump = labels.select("fold", F.col("atom").alias("component"), F.col("component").alias("j"))
-        labels = labels.join(jump, ["fold", "component"]).select(*ATOM, F.col("j").alias("component"))
-        clause_min = lits.join(labels, ATOM).groupBy("fold", "gid").agg(
-            F.min("component").alias("m"), F.max("component").alias("top")
-        )
-        near = lits.join(clause_min, ["fold", "gid"]).groupBy(*ATOM).agg(
-            F.min("m").alias("component"), F.max(F.col("m") != F.col("top")).alias("mixed")
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("j"))
+        labels = labels.join(jump, "label").select("node", F.col("j").alias("label"))
+        hub_min = lits.join(labels, "node").groupBy("hub").agg(F.min("label").alias("m"), F.max("label").alias("top"))
+        near = lits.join(hub_min, "hub").groupBy("node").agg(
+            F.min("m").alias("label"), F.max(F.col("m") != F.col("top")).alias("mixed")
         )
         labels = cut(near)
         settled = labels.filter("mixed").isEmpty()
-        labels = labels.select(*ATOM, "component")
+        labels = labels.select("node", "label")
         if settled:
             break
-    lits.unpersist()
-    return labels.unionByName(alone)
+    named = cut(atoms.join(labels, "node", "left").select(*ATOM, F.coalesce("label", "node").alias("label")))
+    names = named.groupBy("label").agg(F.min("atom").alias("component"))
+    return named.join(names, "label").select(*ATOM, "component")
 
 
 def colour(g: DataFrame, seed: int = 0, block: DataFrame | None = None) -> DataFrame:
