@@ -230,20 +230,55 @@ def neighbours(fb: FactBase, atoms: DataFrame) -> DataFrame:
 def neighbour_counts(fb: FactBase) -> DataFrame:
     """``fold, pred, args, n``: how many other facts share a constant with each fact of one or two arguments.
 
-    Degrees per constant are added up and facts that share both constants are taken off once, so a
-    constant occurring in a third of all facts costs one row.
+    Degrees per constant are joined to each argument and added up, and facts that share both constants are taken off
+    once, so a constant occurring in a third of all facts costs one row. Pairs are counted only where two predicates,
+    or one with two arguments of one type, can hold the same two constants.
     """
-    sides = _exploded(fb, None)
-    degree = sides.groupBy("fold", "type", "const").agg(F.count(F.lit(1)).alias("d"))
-    by_fact = sides.join(degree, ["fold", "type", "const"]).groupBy("fold", "pred", "args").agg(
-        F.sum("d").alias("d"), F.collect_set(F.struct("type", "const")).alias("members"), F.count(F.lit(1)).alias("k")
-    )
-    members = F.array_sort("members")
-    pairs = by_fact.filter("k = 2").groupBy("fold", members.alias("members")).agg(F.count(F.lit(1)).alias("twins"))
-    out = by_fact.withColumn("members", members).join(pairs, ["fold", "members"], "left")
-    # Two constants: each twin (the fact itself included) was counted once per constant.
-    n = F.when(F.col("k") == 2, F.col("d") - F.col("twins") - 1).otherwise(F.col("d") - 1)
-    return out.select("fold", "pred", "args", n.alias("n"))
+    sides = {t: [] for p in fb.schema for t in p.types}
+    relations = {p.name: _apart(fb, p.name) for p in fb.schema}
+    for p in fb.schema:
+        for i, t in enumerate(p.types):
+            sides[t].append(relations[p.name].select("fold", F.col(f"a{i}").alias("const")))
+    degrees = {t: union_all(parts).groupBy("fold", "const").agg(F.count(F.lit(1)).alias("d")) for t, parts in sides.items()}
+    pairs: dict[tuple, list] = {}
+    for p in fb.schema:
+        if p.arity == 2:
+            pairs.setdefault(tuple(sorted(p.types)), []).append((p, relations[p.name].select("fold", *_pair(p.types))))
+    out = []
+    for p in fb.schema:
+        df, n = relations[p.name], F.lit(-1).cast("bigint")
+        for i, t in enumerate(p.types):
+            df = df.join(degrees[t].select("fold", F.col("const").alias(f"a{i}"), F.col("d").alias(f"d{i}")), ["fold", f"a{i}"])
+            n = n + F.col(f"d{i}")
+        if p.arity == 2:
+            alike = pairs[tuple(sorted(p.types))]
+            if len(alike) == 1 and p.types[0] != p.types[1]:
+                n = n - 1  # only the fact itself was counted once per constant
+            else:
+                twins = union_all([rows for _, rows in alike]).groupBy("fold", "lo", "hi").agg(F.count(F.lit(1)).alias("twins"))
+                df = df.withColumns(dict(zip(["lo", "hi"], _pair(p.types)))).join(twins, ["fold", "lo", "hi"])
+                n = n - F.col("twins")
+        args = F.array(*[f"a{i}" for i in range(p.arity)])
+        out.append(df.select("fold", F.lit(p.name).alias("pred"), args.alias("args"), n.alias("n")))
+    return union_all(out)
+
+
+def _pair(types: tuple[str, ...]) -> list[Column]:
+    """The two constants of a fact in an order that depends on their types, or on the constants if those are equal."""
+    first, second = F.col("a0"), F.col("a1")
+    if types[0] == types[1]:
+        first, second = F.least("a0", "a1"), F.greatest("a0", "a1")
+    elif types[0] > types[1]:
+        first, second = second, first
+    return [first.alias("lo"), second.alias("hi")]
+
+
+def _apart(fb: FactBase, pred: str) -> DataFrame:
+    """The facts of a predicate without a repeated constant."""
+    rel = fb.relation(pred)
+    for i, j in combinations(range(fb.schema[pred].arity), 2):
+        rel = rel.filter(F.col(f"a{i}") != F.col(f"a{j}"))
+    return rel
 
 
 def _exploded(fb: FactBase, preds: list[str] | None) -> DataFrame:
@@ -252,10 +287,8 @@ def _exploded(fb: FactBase, preds: list[str] | None) -> DataFrame:
     for p in fb.schema:
         if preds and p.name not in preds:
             continue
-        rel = fb.relation(p.name)
+        rel = _apart(fb, p.name)
         cols = [f"a{i}" for i in range(p.arity)]
-        for i, j in combinations(range(p.arity), 2):
-            rel = rel.filter(F.col(cols[i]) != F.col(cols[j]))
         args = F.array(*cols)
         for i, t in enumerate(p.types):
             parts.append(

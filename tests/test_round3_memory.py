@@ -48,3 +48,18 @@ def test_component_rounds_store_numbers_only(spark, monkeypatch):
     assert got == {x: least[find(x)] for x in list(root)}
     rounds = [df for df in stored if "label" in df.columns and "atom" not in df.columns]
     assert len(rounds) > 1 and all(t in ("bigint", "boolean") for df in rounds for _, t in df.dtypes)
+
+
+def test_neighbour_counts_join_degrees_without_lists(spark):
+    rng = random.Random(6)
+    schema = Schema.of(Predicate("P", ("c", "o")), Predicate("Q", ("o", "c")), Predicate("L", ("c", "c")), Predicate("U", ("o",)), Predicate("R", ("o", "r")))
+    facts = set()
+    for _ in range(60):
+        c, d, o, r = (f"{x}{rng.randrange(6)}" for x in ("c", "c", "o", "r"))
+        facts |= {("P", (c, o)), ("Q", (o, d)), ("L", (c, d)), ("U", (o,)), ("R", (o, r))}
+    rows = [(0, p, list(a), "true") for p, a in sorted(facts) for _ in range(2)] + [(0, "P", ["c1", None], "true"), (0, "U", [None], "true")]
+    df = GR.neighbour_counts(FactBase(schema, spark.createDataFrame(rows, FACTS)))
+    whole = [(p, a) for p, a in facts if len(set(a)) == len(a)]
+    want = {(p, a): sum(1 for q, b in whole if (q, b) != (p, a) and set(a) & set(b)) for p, a in whole}
+    assert {(r.pred, tuple(r.args)): r.n for r in df.collect()} == want
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
