@@ -192,6 +192,14 @@ def _block_scores(lits: DataFrame, state: DataFrame, keys: list[str], targets: D
     return mine.filter(F.col("n_true") == F.col("own")).groupBy(*keys, "unit", "atom").agg(F.sum(gain).alias("score"))
 
 
+def _fixed_scores(lits: DataFrame) -> DataFrame:
+    """``fold, unit, atom, fixed``: the part of ``_block_scores`` from clauses inside one unit, which no state changes."""
+    by_unit = lits.groupBy("fold", "gid", "unit").agg(F.sum((~F.col("positive")).cast("int")).alias("denied"))
+    gain = F.when(F.col("positive") & (F.col("denied") == 0), F.col("weight")).when(
+        ~F.col("positive") & (F.col("denied") == 1), -F.col("weight")).otherwise(0.0)
+    return lits.join(by_unit, ["fold", "gid", "unit"]).groupBy("fold", "unit", "atom").agg(F.sum(gain).alias("fixed"))
+
+
 def gibbs_blocks(
     g: DataFrame, block: DataFrame, chains: int = 8, burn: int = 20, steps: int = 100, seed: int = 0
 ) -> DataFrame:
@@ -206,7 +214,12 @@ def gibbs_blocks(
     block = cut(block.select(*ATOM, "block").distinct())
     colours = cut(colour(g, seed, block).join(block, ATOM, "left").withColumn("unit", F.coalesce("block", "atom")))
     lits = cut(_weighted_literals(g).join(colours.select(*ATOM, "unit"), ATOM))
-    n = colours.agg(F.max("colour")).first()[0]
+    # Clauses inside one unit score the same in every state; only the others are read again in each sweep.
+    linking = lits.groupBy("fold", "gid").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).filter("lo <> hi").select("fold", "gid")
+    tied = cut(lits.join(linking, ["fold", "gid"], "left_semi"))
+    fixed = _fixed_scores(lits.join(linking, ["fold", "gid"], "left_anti"))
+    colours = cut(colours.join(fixed, ["fold", "unit", "atom"], "left").fillna(0.0, ["fixed"]))
+    n, free = colours.agg(F.max("colour")).first()[0], tied.isEmpty()
     if n is None:
         return colours.select(*ATOM, F.lit(0.0).alias("p"))
 
@@ -224,8 +237,10 @@ def gibbs_blocks(
     for sweep in range(burn + steps):
         for c in range(n + 1):
             targets = colours.filter(F.col("colour") == c)
-            scores = _block_scores(lits, state, keys, targets)
-            rows = everyone.filter(F.col("colour") == c).join(scores, keys + ["unit", "atom"], "left").fillna(0.0, ["score"])
+            rows = everyone.filter(F.col("colour") == c).withColumn("score", F.col("fixed"))
+            if not free:
+                scores = _block_scores(tied, state, keys, targets).withColumnRenamed("score", "moved")
+                rows = rows.join(scores, keys + ["unit", "atom"], "left").withColumn("score", F.col("fixed") + F.coalesce("moved", F.lit(0.0)))
             new = drawn(rows, sweep).select(*keys, "atom", F.col("value").alias("new"))
             state = state.join(new, keys + ["atom"], "left").withColumn("value", F.coalesce("new", "value")).drop("new")
             if sweep >= burn and c == n:

@@ -1,5 +1,6 @@
 """Rows that jobs sort or keep in a task stay narrow, and work that does not change is not repeated."""
 
+import math
 import random
 
 from factweave.facts import FactBase
@@ -63,3 +64,25 @@ def test_neighbour_counts_join_degrees_without_lists(spark):
     want = {(p, a): sum(1 for q, b in whole if (q, b) != (p, a) and set(a) & set(b)) for p, a in whole}
     assert {(r.pred, tuple(r.args)): r.n for r in df.collect()} == want
     assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_score_unlinked_clauses_once(spark, monkeypatch):
+    block = spark.createDataFrame([(0, f"a{d}{v}", f"b{d}") for d in range(6) for v in range(3)], "fold int, atom string, block string")
+    rows = [(0, f"g{d}", [(f"a{d}0", True)], 1.5, False, 1.0) for d in range(6)]
+    rows += [(0, f"h{d}", [(f"a{d}1", False), (f"a{d}2", False)], 0.7, False, 1.0) for d in range(6)]  # one alternative of two: always true
+    seen, scores = [], I._block_scores
+
+    def counted(lits, *rest):
+        seen.append({r.gid for r in lits.select("gid").distinct().collect()})
+        return scores(lits, *rest)
+
+    monkeypatch.setattr(I, "_block_scores", counted)
+    g = spark.createDataFrame(rows, GROUND)
+    p = {r.atom: r.p for r in I.gibbs_blocks(g, block, chains=300, burn=0, steps=1, seed=3).collect()}
+    z = math.exp(1.5) + 2
+    assert not seen and len(p) == 18
+    assert abs(sum(p[f"a{d}0"] for d in range(6)) / 6 - math.exp(1.5) / z) < 0.05
+    assert all(abs(sum(p[f"a{d}{v}"] for v in range(3)) - 1) < 1e-9 for d in range(6))
+    linked = g.unionByName(spark.createDataFrame([(0, "t", [("a00", False), ("a10", True)], 2.0, False, 1.0)], GROUND))
+    I.gibbs_blocks(linked, block, chains=2, burn=0, steps=1, seed=3).collect()
+    assert seen and all(s == {"t"} for s in seen)
