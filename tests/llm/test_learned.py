@@ -1,7 +1,7 @@
 """Operators without an exact plain version: estimates within bounds, accuracy, templates, passages and the pipeline."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -150,6 +150,24 @@ def test_main_text(spark):
     assert templates.extract(frame.limit(0)).count() == 0
 
 
+def test_words_of_one_page_share_rows_and_classes_are_those_of_a_plain_count(spark):
+    rng = random.Random(5)
+    words = {k: [f"w{rng.randrange(10**9)}" for _ in range(1500)] for k in range(12)}
+    html = {k: f"<body><nav>menu home</nav><p>{' '.join(w)}<p>menu {'often ' * (k % 3)}<div>our desk</div></body>" for k, w in words.items()}
+    rows = spark.createDataFrame([(k, "a" if k < 9 else "b", h) for k, h in html.items()], "uid long, host string, html string").coalesce(2)
+    assert templates._vectors(rows).count() <= 12 * 4 * templates.BUCKETS < 12 * 1500  # one row a token before
+    got = {r.host: {frozenset(c) for c in r.classes} for r in templates.host_templates(rows).collect()}
+    seen = defaultdict(dict)
+    for k in range(9):
+        for t, n in Counter(templates.parse(html[k])[0]).items():
+            seen[t][k] = n
+    alike = defaultdict(set)
+    for t, pages in seen.items():
+        if len(pages) >= templates.MIN_PAGES:
+            alike[tuple(sorted(pages.items()))].add(t)
+    assert got == {"a": {frozenset(c) for c in alike.values() if len(c) > 1}}  # host b has too few pages
+
+
 def test_a_host_of_copies_keeps_its_article(spark):
     one = page("<nav>menu</nav><article><p>the same words on every page</p></article>")
     frame = spark.createDataFrame([(k, "http://a.example/", one) for k in range(8)], "page_id long, url string, html string")
