@@ -11,10 +11,11 @@ labelled ones; each takes its words from one half of a bounded sample of the lab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common as C
@@ -345,8 +346,13 @@ def quality() -> Column:
     return 1 - F.greatest("junk", "toxic")
 
 
-def _score(rows: DataFrame, labels: DataFrame | None, schema: str, carried: list[str], training_rows: int) -> DataFrame:
+def _score(
+    rows: DataFrame, labels: DataFrame | None, schema: str, carried: list[str], training_rows: int,
+    text_in: Callable[[pa.RecordBatch], pa.Array] | None = None,
+) -> DataFrame:
+    """``text_in`` finds the texts in the carried columns; without it they are sent beside them."""
     spark = rows.sparkSession
+    C.small_batches(spark)
     learned = learn_words(rows, labels)
     models = fit_label_models(rows, learned)
     weights = fit_scorer(rows, models, learned, training_rows)
@@ -355,7 +361,7 @@ def _score(rows: DataFrame, labels: DataFrame | None, schema: str, carried: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chance = {t: np.zeros(len(b)) for t in TARGETS}
-            for lo, hi, buf, offs in C.text_chunks(b.column("text")):
+            for lo, hi, buf, offs in C.text_chunks(text_in(b) if text_in else b.column("text")):
                 votes, doc, at = votes_and_features(buf, offs, learned)
                 extra = _vote_features(votes)
                 for t, w in shared.value.items():
@@ -365,7 +371,7 @@ def _score(rows: DataFrame, labels: DataFrame | None, schema: str, carried: list
                 [*(b.column(c) for c in carried), *(pa.array(chance[t]) for t in TARGETS)], names=[*carried, *TARGETS]
             )
 
-    return rows.mapInArrow(run, schema)
+    return (rows.select(*carried) if text_in else rows).mapInArrow(run, schema)
 
 
 def good_documents(
@@ -377,5 +383,10 @@ def good_documents(
     )
     C.importable(docs.sparkSession)
     kind = rows.schema["row"].dataType.simpleString()
-    out = _score(rows, labels, f"row {kind}, junk double, toxic double", ["row"], training_rows)
+    whole = docs.schema[text].dataType.simpleString() == "string"
+
+    def text_in(b: pa.RecordBatch) -> pa.Array:
+        return pc.fill_null(b.column("row").field(text), "")
+
+    out = _score(rows, labels, f"row {kind}, junk double, toxic double", ["row"], training_rows, text_in if whole else None)
     return out.filter(quality() >= 0.5).select("row.*")

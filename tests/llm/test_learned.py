@@ -119,6 +119,17 @@ def test_quality_odd_rows(spark, frame):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) <= Counter(docs)
 
 
+def test_the_stage_sends_a_text_once_and_few_rows_at_a_time(spark, frame):
+    docs = frame([(k, f"A plain line of words, number {k}, that says nothing bad at all.") for k in range(40)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    kept = quality.good_documents(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert "coalesce" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    typed = docs.withColumn("text", docs["text"].cast("binary"))
+    got = {r.doc_id for r in kept.collect()}
+    assert got == {r.doc_id for r in quality.good_documents(typed).collect()} == {r.doc_id for r in quality.scored(docs).filter("not rejected").collect()}
+
+
 # ---------------------------------------------------------------- pages
 
 
