@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..facts import FactBase, union_all
+from ..plans.storage import small_tasks
 from ..schema import Predicate, Schema
 
 
@@ -62,8 +63,10 @@ WORD = r"[^\p{L}\p{N}]+"
 def view_fact_base(spark, folder: str, preds: list[str], folds: int = 1) -> FactBase:
     """Fact base over parquet tables in a folder; ``HasWord(doc, word)`` is tokenised from whole texts.
 
-    With ``folds`` > 1, customers, orders, ... are dealt to folds by the first argument.
+    With ``folds`` > 1, customers, orders, ... are dealt to folds by the first argument. Limits the shuffle that the
+    session's adaptive execution puts in one task (``small_tasks``).
     """
+    small_tasks(spark)
     decls, parts = [], []
     for pred in preds:
         if pred == "HasWord":
