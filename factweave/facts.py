@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .plans.storage import freeing
 from .schema import Schema
 
 FACTS_DDL = "fold int, pred string, args array<string>, truth string"
@@ -101,7 +102,8 @@ class FactBase:
 
     def domain_sizes(self) -> dict[tuple[int, str], int]:
         if self._sizes is None:
-            rows = self.constants().groupBy("fold", "type").count().collect()
+            with freeing(self.spark):
+                rows = self.constants().groupBy("fold", "type").count().collect()
             self._sizes = {(r["fold"], r["type"]): r["count"] for r in rows}
             missing = [t for t in self.schema.types() if not any(k[1] == t for k in self._sizes)]
             if missing:
@@ -128,7 +130,8 @@ class FactBase:
                 self.relation(p.name).groupBy("fold").count().select("fold", F.lit(p.name).alias("pred"), "count")
                 for p in self.schema
             ]
-            self._totals = {(r["fold"], r["pred"]): r["count"] for r in union_all(parts).collect()}
+            with freeing(self.spark):
+                self._totals = {(r["fold"], r["pred"]): r["count"] for r in union_all(parts).collect()}
         return self._totals
 
     def per_fold(self, values: dict[int, int | float], type_: str = "decimal(38,0)") -> Column:

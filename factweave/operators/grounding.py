@@ -18,6 +18,7 @@ from ..plans.counting import (
     subsets,
     vcol,
 )
+from ..plans.storage import freeing, stored
 from ..rules import EQUALS, LITERALS_TYPE, Clause, Literal, plain_only
 
 GROUND_LITERALS = "array<struct<atom:string,positive:boolean>>"
@@ -129,11 +130,13 @@ def ground_network(clauses: list[Clause], fb: FactBase, query: DataFrame) -> Dat
 
     ``fold, clause_id, lits, weight, hard, frequency``: lits are the unknown literals; frequency is
     the number of groundings that leave exactly these literals, so evidence-only variables are
-    counted rather than listed.
+    counted rather than listed. The groundings of a clause are stored for each choice of unknown literals, so that
+    the shuffles of one are gone before the next.
     """
     plain_only(clauses, "a ground network")
     fb = query_canopy(fb, query)
-    preds = {r["pred"] for r in query.select("pred").distinct().collect()}
+    with freeing(fb.spark):
+        preds = {r["pred"] for r in query.select("pred").distinct().collect()}
     parts = []
     for c in clauses:
         vt = c.var_types(fb.schema)
@@ -156,11 +159,14 @@ def ground_network(clauses: list[Clause], fb: FactBase, query: DataFrame) -> Dat
                 ]
             )
             parts.append(
-                df.filter("n > 0").select(
-                    "fold", F.lit(c.clause_id).alias("clause_id"),
-                    F.array_sort(F.array_distinct(lits)).cast(GROUND_LITERALS).alias("lits"),
-                    F.lit(float(c.weight)).alias("weight"), F.lit(c.hard).alias("hard"),
-                    F.col("n").cast("double").alias("frequency"),
+                stored(
+                    df.filter("n > 0").select(
+                        "fold", F.lit(c.clause_id).alias("clause_id"),
+                        F.array_sort(F.array_distinct(lits)).cast(GROUND_LITERALS).alias("lits"),
+                        F.lit(float(c.weight)).alias("weight"), F.lit(c.hard).alias("hard"),
+                        F.col("n").cast("double").alias("frequency"),
+                    ),
+                    "groundings",
                 )
             )
     if not parts:

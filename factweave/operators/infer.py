@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..facts import union_all
 from ..plans.local import small_table
-from ..plans.storage import cut, fresh_path
+from ..plans.storage import cut, drop, freeing, stored, thinned
 
 ATOM = ["fold", "atom"]
 
@@ -27,56 +28,63 @@ def propagate_units(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     A hard clause with one literal fixes its atom; a hard clause whose weight is negative demands
     that all its literals are false.  Satisfied clauses go, false literals are removed from the rest.
     Repeats until nothing more is forced. An atom forced both ways is an error, and so is a hard clause
-    that its fixed atoms contradict. The clauses are stored once; a round stores forced atoms and the clauses they occur in.
-    Remaining clauses are simplified in one pass when they are read.
+    that its fixed atoms contradict. Hard clauses are stored once, without names; a round stores forced atoms and the clauses they
+    occur in, and shuffles only what a filter of these lets through. Remaining clauses are simplified in one pass over ``g`` when they are read.
     """
     spark, cols = g.sparkSession, ["fold", "gid", "lits", "weight", "hard", "frequency"]
-    path = fresh_path(spark, "ground")
-    g.select(*cols).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
     negative = F.coalesce(F.col("weight") < 0, F.lit(False))
-    hard = rows.filter("hard").select("fold", "row", "lits", negative.alias("neg"))
+    hard = stored(g.filter("hard").select("fold", "lits", negative.alias("neg")).withColumn("row", F.monotonically_increasing_id()), "hard_clauses")
     lits = hard.select("fold", "row", "neg", F.size("lits").alias("k"), F.explode("lits").alias("l")).select(
         "fold", "row", "neg", "k", "l.atom", "l.positive"
     )
     new = lits.filter("k = 1 or neg").select(*ATOM, (F.col("positive") != F.col("neg")).alias("value"))
-    fixed, hits, rounds = None, None, 0
+    fixed, hits = [], []
     while True:
-        units = cut(new.distinct())
-        clash = units.groupBy(*ATOM).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+        units = stored(new.distinct(), "units")
+        with freeing(spark):
+            clash = units.groupBy(*ATOM).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
         if clash:
             raise ValueError(f"hard clauses contradict each other on {clash[0]['atom']}")
         if units.isEmpty():
             break
-        fixed = units if fixed is None else fixed.unionByName(units)
+        fixed.append(units)
         # Only clauses with a newly fixed atom change; they are kept as the atoms that became false.
         agrees = F.col("value") == F.col("positive")
-        hit = cut(lits.join(units, ATOM).groupBy("fold", "row", "neg", "k").agg(
-            F.max(agrees).alias("sat"), F.collect_list(F.when(~agrees, F.col("atom"))).alias("gone")))
-        hits = hit if hits is None else hits.unionByName(hit)
-        rounds += 1
-        if rounds % 16 == 0:  # keeps the plan short on long chains
-            fixed, hits = cut(fixed), cut(hits)
-        state = hits.join(hit.select("fold", "row"), ["fold", "row"], "left_semi").groupBy("fold", "row", "neg", "k").agg(
+        hit = stored(thinned(lits, units, ATOM).join(units, ATOM).groupBy("fold", "row", "neg", "k").agg(
+            F.max(agrees).alias("sat"), F.collect_list(F.when(~agrees, F.col("atom"))).alias("gone")), "hits")
+        hits.append(hit)
+        state = union_all(hits).join(hit.select("fold", "row"), ["fold", "row"], "left_semi").groupBy("fold", "row", "neg", "k").agg(
             F.max("sat").alias("sat"), F.flatten(F.collect_list("gone")).alias("gone"))
         left = F.col("k") - F.size("gone")
-        near = cut(state.filter(F.when(F.col("neg"), F.col("sat")).otherwise(~F.col("sat") & (left <= 1))).withColumn("left", left))
+        near = stored(state.filter(F.when(F.col("neg"), F.col("sat")).otherwise(~F.col("sat") & (left <= 1))).withColumn("left", left), "near")
+        of_row = thinned(hard.select("fold", "row", "lits"), near, ["fold", "row"])
         broken = near.filter("neg or left = 0").limit(1)
         if not broken.isEmpty():
-            broken = broken.join(hard.select("fold", "row", "lits"), ["fold", "row"]).first()
+            broken = broken.join(of_row, ["fold", "row"]).first()
             raise ValueError(f"hard clauses contradict each other on {[l['atom'] for l in broken['lits']]}")
         last = F.get(F.filter("lits", lambda l: ~F.array_contains("gone", l["atom"])), F.lit(0))
-        new = near.join(hard.select("fold", "row", "lits"), ["fold", "row"]).select("fold", last.alias("l")).select(
+        new = near.join(of_row, ["fold", "row"]).select("fold", last.alias("l")).select(
             "fold", "l.atom", F.col("l.positive").alias("value"))
-    if fixed is None:
-        return rows.select(*cols), small_table(spark, [], "fold int, atom string, value boolean")
-    every = rows.select("fold", "row", F.explode("lits").alias("l")).select("fold", "row", "l.atom", "l.positive")
-    state = every.join(fixed, ATOM, "left").groupBy("fold", "row").agg(
+        if len(hits) == 16:  # keeps the plan short on long chains
+            fixed, hits = ([_joined(parts, name)] for parts, name in ((fixed, "units"), (hits, "hits")))
+    if not fixed:
+        return g.select(*cols), small_table(spark, [], "fold int, atom string, value boolean")
+    fixed = union_all(fixed)
+    every = g.select("fold", "lits").distinct().select("fold", "lits", F.explode("lits").alias("l")).select("fold", "lits", "l.atom", "l.positive")
+    state = every.join(fixed, ATOM, "left").groupBy("fold", "lits").agg(
         F.max(F.coalesce(F.col("value") == F.col("positive"), F.lit(False))).alias("sat"),
         F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.struct("atom", "positive")))).alias("left"),
     ).filter(~F.col("sat") & (F.size("left") > 0))
     left = F.col("left").cast("array<struct<atom:string,positive:boolean>>").alias("lits")
-    return rows.drop("lits").join(state, ["fold", "row"]).select("fold", "gid", left, "weight", "hard", "frequency"), fixed
+    return g.join(state, ["fold", "lits"]).select("fold", "gid", left, "weight", "hard", "frequency"), fixed
+
+
+def _joined(parts: list[DataFrame], name: str) -> DataFrame:
+    """Several stored tables as one."""
+    out = stored(union_all(parts), name)
+    for p in parts:
+        drop(p)
+    return out
 
 
 def components(g: DataFrame) -> DataFrame:
@@ -322,8 +330,6 @@ def gibbs(
     p = F.sum("hits") / F.lit(float(chains * steps))
     out = state.groupBy(*ATOM).agg(((p * 10000 + 0.5) / 10001).alias("p"))
     if keep_samples:
-        from ..facts import union_all
-
         return out, union_all(samples)
     return out
 
