@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.local import small_table
+from ..plans.storage import stored
 from . import dbl, n, query, r6, views
 from .base import GOOD_SQL, MAIN, MAIN_RULES, good_docs
 from ..facts import FactBase, union_all
@@ -376,8 +377,8 @@ def q_components(spark, sf):
     "SELECT (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(*) FROM orders) AS n_atoms, CAST(0 AS BIGINT) AS n_conflicts",
 )
 def q_colouring(spark, sf):
-    g = GR.merge_ground(order_network(spark, sf)).persist()
-    c = I.colour(g)
+    g = I.numbered(GR.merge_ground(order_network(spark, sf)))
+    c = stored(I.colour(g), "colouring")
     clash = (
         I.ground_literals(g).join(c, ["fold", "atom"]).groupBy("fold", "gid", "colour").agg(F.count(F.lit(1)).alias("k"))
         .agg(F.coalesce(F.sum((F.col("k") > 1).cast("bigint")), F.lit(0).cast("bigint")).alias("n_conflicts"))

@@ -18,6 +18,11 @@ def ground_literals(g: DataFrame) -> DataFrame:
     )
 
 
+def numbered(g: DataFrame) -> DataFrame:
+    """The ground clauses, stored once, each of its own number as gid: eight bytes beside every literal instead of a name of 64."""
+    return stored(g.withColumn("gid", F.monotonically_increasing_id()), "ground")
+
+
 def atoms_of(g: DataFrame) -> DataFrame:
     return ground_literals(g).select(*ATOM).distinct()
 
@@ -139,21 +144,38 @@ def colour(g: DataFrame, seed: int = 0, block: DataFrame | None = None) -> DataF
 
 
 def _coloured(lits: DataFrame, seed: int) -> DataFrame:
-    prio = F.struct(F.xxhash64(F.lit(seed), "atom").alias("h"), F.col("atom").alias("a"))
-    open_lits = cut(lits.withColumn("prio", prio))
-    done, c = None, 0
-    while c == 0 or not open_lits.isEmpty():
-        best = open_lits.groupBy("fold", "gid").agg(F.max("prio").alias("best"))
-        chosen = (
-            open_lits.join(best, ["fold", "gid"]).groupBy(*ATOM)
-            .agg(F.min(F.col("prio") == F.col("best")).alias("top")).filter("top")
-            .select(*ATOM, F.lit(c).alias("colour"))
-        )
-        chosen = cut(chosen)
-        done = chosen if done is None else done.unionByName(chosen)
-        open_lits = cut(open_lits.join(chosen, ATOM, "left_anti"))
-        c += 1
-    return done
+    """``fold, atom, colour`` from ``fold, gid, atom``.
+
+    An atom goes by the hash that is its priority, and a clause is one row with its atoms from the highest priority down: of the
+    open atoms those are chosen that stand below no other. Rounds store the clauses that still have several open atoms.
+    Where two atoms of a fold have one hash, all go by hash and name. Clauses whose hashes are equal count as one, which only
+    keeps more atoms apart.
+    """
+    hashed = F.xxhash64(F.lit(seed), "atom")
+    atoms = stored(lits.select(*ATOM).distinct().withColumn("node", hashed), "atoms")
+    with freeing(lits.sparkSession):
+        alike = atoms.groupBy("fold", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    node = hashed if alike else F.struct(hashed.alias("h"), F.col("atom").alias("a"))
+    open_ = stored(atoms.select("fold", node.alias("node")), "open_atoms")
+    clauses = stored(
+        lits.select("fold", F.xxhash64("fold", "gid").alias("clause"), node.alias("node"))
+        .groupBy("fold", "clause").agg(F.sort_array(F.collect_set("node"), asc=False).alias("nodes"))
+        .filter(F.size("nodes") > 1).select("fold", "nodes"), "clause_atoms")
+    done, c = [], 0
+    while c == 0 or not open_.isEmpty():
+        below = clauses.select("fold", F.explode(F.slice("nodes", 2, F.greatest(F.size("nodes") - 1, F.lit(0)))).alias("node")).distinct()
+        chosen = stored(open_.join(below, ["fold", "node"], "left_anti").withColumn("colour", F.lit(c)), "colours")
+        done.append(chosen)
+        taken = chosen.select("fold", F.col("node").alias("top"), F.lit(True).alias("gone"))
+        # a chosen atom is the first of all its clauses
+        rest = clauses.withColumn("top", F.col("nodes")[0]).join(taken, ["fold", "top"], "left").select(
+            "fold", F.when(F.col("gone"), F.slice("nodes", 2, F.size("nodes") - 1)).otherwise(F.col("nodes")).alias("nodes"))
+        left = stored(rest.filter(F.size("nodes") > 1), "clause_atoms")
+        still = stored(open_.join(chosen, ["fold", "node"], "left_anti"), "open_atoms")
+        drop(clauses)
+        drop(open_)
+        clauses, open_, c = left, still, c + 1
+    return atoms.select(*ATOM, node.alias("node")).join(union_all(done), ["fold", "node"]).select(*ATOM, "colour")
 
 
 def _soft_weights(g: DataFrame) -> DataFrame:

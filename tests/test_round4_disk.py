@@ -1,6 +1,7 @@
-"""What unit propagation and grounding leave on disk, and that their cheaper forms give the same."""
+"""What unit propagation, colouring and grounding leave on disk, and that their cheaper forms give the same."""
 
 import os
+import random
 import time
 
 import pytest
@@ -47,6 +48,37 @@ def test_propagation_keeps_clauses_that_repeat(spark):
     assert got == [(0, "soft", [("z", True)])] * 2 + [(1, "soft", [("a1", False), ("z", True)])]
 
 
+def plain_colours(rows, prio):
+    """Round by round: atoms of the highest priority in all their clauses; rows of one gid are one clause."""
+    clauses = {}
+    for fold, gid, lits, *_ in rows:
+        clauses.setdefault((fold, gid), set()).update((fold, a) for a, _ in lits)
+    open_, out, c = set().union(*clauses.values()), {}, 0
+    while open_:
+        top = {a for a in open_ if all(max(x & open_, key=prio) == a for x in clauses.values() if a in x)}
+        out |= dict.fromkeys(top, c)
+        open_ -= top
+        c += 1
+    return out
+
+
+def test_colours_are_those_of_the_plain_rounds_and_leave_no_shuffle_files(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):  # a gid may repeat, and its rows are one clause
+        names = rng.sample([f"a{j}" for j in range(25)], rng.randint(1, 4))
+        rows.append((i % 2, f"g{i // 3}", [(a, rng.random() < 0.5) for a in names], 1.0, False, 1.0))
+    g = spark.createDataFrame(rows, GROUND)
+    hashes = {r.atom: r.h for r in spark.range(25).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("atom")).select(
+        "atom", F.xxhash64(F.lit(7), "atom").alias("h")).collect()}
+    before = shuffle_files(spark)
+    found = I.colour(g, 7)
+    assert not settled(spark, before)
+    got = [((r.fold, r.atom), r.colour) for r in found.collect()]
+    want = plain_colours(rows, lambda a: (hashes[a[1]], a[1]))
+    assert dict(got) == want and len(got) == len(want)
+
+
 def test_rows_with_a_partner_pass_the_filter(spark, monkeypatch):
     df = spark.range(4000).select((F.col("id") % 2).cast("int").alias("fold"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("atom"))
     keys = storage.stored(df.filter("atom LIKE 'x1%'"), "keys")
